@@ -1,0 +1,19 @@
+"""Size-checked broadcast of dimension tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only when the table is proven to hold at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows. A larger table is returned without hint, so the join is
+    shuffled and adaptive execution splits its hot keys.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
