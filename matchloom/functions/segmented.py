@@ -24,8 +24,9 @@ class Running:
     inclusive: bool = True
 
 
-def time_bucket(ts: str, width: str = "1 day") -> Column:
-    return F.window(F.col(ts), width)["start"]
+def time_bucket(ts: str, seconds: int = 86_400) -> Column:
+    """Number of the ``seconds``-wide bucket a timestamp falls in."""
+    return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column, specs: list[Running]) -> DataFrame:
@@ -53,6 +54,10 @@ def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column, sp
             finals.append((spec.out, F.coalesce(F.last(spec.value, ignorenulls=True).over(local), F.col(carry))))
         else:
             raise ValueError(f"unknown running kind {spec.kind!r}")
-    carry_in = work.groupBy(*keys, "_bucket").agg(*partials).select(*keys, "_bucket", *carries)
-    result = work.join(carry_in, [*keys, "_bucket"])
+    join_keys = [*keys, "_bucket"]
+    carry_in = work.groupBy(*join_keys).agg(*partials).select(*join_keys, *carries)
+    for key in join_keys:
+        carry_in = carry_in.withColumnRenamed(key, f"_k_{key}")
+    same = [work[key].eqNullSafe(carry_in[f"_k_{key}"]) for key in join_keys]
+    result = work.join(carry_in, same)
     return result.select(*df.columns, *[expr.alias(name) for name, expr in finals])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .wordlists import MIN_STEM, PROTECTED_TOKENS, STEM_SUFFIXES
 
 _PUNCT = ".#+/-"
-_MARKS = ""
+_MARKS = "\ue000\ue001\ue002\ue003\ue004"
 _MARK_TABLE = str.maketrans(_PUNCT, _MARKS)
 _SEPARATORS = r"[[^\p{L}\p{Nd}" + _MARKS[0] + "-" + _MARKS[-1] + r"]\x{10000}-\x{10FFFF}]+"
 _ANY_MARK = "[" + _MARKS[0] + "-" + _MARKS[-1] + "]"
