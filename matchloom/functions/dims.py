@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the table is proven to hold at most ``max_rows`` rows.
+def pin_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``(table, True)`` with the rows held by the plan itself when the table is proven small, else ``(df, False)``.
 
-    The check reads at most ``max_rows + 1`` rows. A larger table is returned without hint, so the join is
-    shuffled and adaptive execution splits its hot keys.
+    At most ``max_rows + 1`` rows are read, and a small table is computed once however often it is joined.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows or head.nbytes > MAX_BROADCAST_BYTES:
+        return df, False
+    return df.sparkSession.createDataFrame(head, schema=df.schema), True
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only for a table proven small. A larger one is returned without hint, so the join is
+    shuffled and adaptive execution splits its hot keys."""
+    pinned, small = pin_if_small(df, max_rows)
+    return F.broadcast(pinned) if small else df

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def jaro_winkler_python(a: str, b: str) -> float:
@@ -34,7 +37,7 @@ def jaro_winkler_python(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_python(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -61,7 +64,7 @@ def jaro_winkler_keys(word: str, threshold: float) -> list[str]:
 
     A pair at the threshold needs Jaro >= J with J = (t - 0.1 p) / (1 - 0.1 p) for a common prefix p, and
     Jaro <= (m/a + m/b + 1) / 3 for m common characters, so m >= (3J - 1) a b / (a + b). Two character
-    multisets sharing m characters share one of the len - m + 1 rarest of each. Pairs without common
+    multisets sharing m characters share g of the len - m + g rarest of each, in the same order. Pairs without common
     prefix must meet the higher bound of p = 0; the others also share their first character.
     """
     n = len(word)
@@ -78,15 +81,57 @@ def jaro_winkler_keys(word: str, threshold: float) -> list[str]:
             if need > min(n, other):
                 continue
             needed = max(1, int(-(-need // 1)))
-            keys.update(f"{tag}|{min(n, other)}-{max(n, other)}|{k}" for k in ordered[: n - needed + 1])
+            group = min(needed, 3)
+            head = ordered[: n - needed + group]
+            lengths = f"{tag}|{min(n, other)}-{max(n, other)}"
+            keys.update(f"{lengths}|{''.join(k)}" for k in combinations(head, group))
     return sorted(keys)
 
 
 def key_udf(threshold: float):
     """Arrow function giving the candidate keys of each word."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def keys(words: pd.Series) -> pd.Series:
         return words.map(lambda w: jaro_winkler_keys(w, threshold))
 
     return keys
+
+
+def segments(n: int, distance: int) -> list[tuple[int, int]]:
+    """``(start, end)`` of the ``distance + 1`` parts of a word of length ``n``."""
+    parts = distance + 1
+    return [(n * i // parts, n * (i + 1) // parts) for i in range(parts)]
+
+
+def segment_keys(word: str, distance: int) -> list[str]:
+    n = len(word)
+    if n <= distance:
+        return [f"{n}"]
+    return [f"{n}|{i}|{word[s:e]}" for i, (s, e) in enumerate(segments(n, distance))]
+
+
+def segment_probes(word: str, distance: int) -> list[str]:
+    keys = set()
+    for n in range(max(0, len(word) - distance), len(word) + distance + 1):
+        if n <= distance:
+            keys.add(f"{n}")
+            continue
+        for i, (s, e) in enumerate(segments(n, distance)):
+            for at in range(max(0, s - distance), min(s + distance, len(word) - (e - s)) + 1):
+                keys.add(f"{n}|{i}|{word[at:at + e - s]}")
+    return sorted(keys)
+
+
+def segment_udfs(distance: int):
+    """Arrow functions giving the segments of the indexed words and the probes of the other side."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: segment_keys(w, distance))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def probe(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: segment_probes(w, distance))
+
+    return cut, probe

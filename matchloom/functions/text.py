@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .wordlists import MIN_STEM, PROTECTED_TOKENS, STEM_SUFFIXES
 
@@ -84,18 +85,12 @@ def is_latin(col: Column) -> Column:
 def fold_latin(col: Column) -> Column:
     """Built-in folding, exact for texts where :func:`is_latin` holds."""
     text = F.lower(col)
-    marked = text
     for token in PROTECTED_TOKENS:
-        marked = F.replace(marked, F.lit(token), F.lit(token.translate(_MARK_TABLE)))
-    found = None
-    for token in PROTECTED_TOKENS:
-        hit = text.contains(token)
-        found = hit if found is None else found | hit
-    text = F.when(found, marked).otherwise(text)
+        text = F.replace(text, F.lit(token), F.lit(token.translate(_MARK_TABLE)))
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _FROM, _TO)).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_exact(texts: pd.Series) -> pd.Series:
     return texts.map(fold_python, na_action="ignore")
 
@@ -116,12 +111,20 @@ def with_folded(df: DataFrame, col: str, out: str = "folded", unicode: str = "ex
 def normalized(folded: Column) -> Column:
     """Normal form of a folded text: words separated by one space, protected punctuation restored."""
     clean = F.trim(F.regexp_replace(folded, _SEPARATORS, " "))
-    return F.when(clean.rlike(_ANY_MARK), F.translate(clean, _MARKS, _PUNCT)).otherwise(clean)
+    for mark, char in zip(_MARKS, _PUNCT):
+        clean = F.replace(clean, F.lit(mark), F.lit(char))
+    return clean
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for use inside ``body``. Lambdas are evaluated per element without sharing common
+    parts, so anything costly that a lambda needs is bound outside it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def words(norm: Column) -> Column:
     """Words of a normal form; empty array for an empty text."""
-    return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
+    return F.filter(F.split(norm, " "), lambda w: w != "")
 
 
 def tokens(folded: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import broadcast_if_small
-from ..functions.similarity import jaro_winkler, key_udf
+from ..functions.similarity import jaro_winkler, key_udf, segment_udfs
 
 
 def normalized_levenshtein(a: Column, b: Column) -> Column:
@@ -14,43 +14,26 @@ def normalized_levenshtein(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
+def _spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Even tasks for the costly functions below: their input is small in bytes, so it would be coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def _jaro_winkler_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     keys = key_udf(threshold)
     lk = broadcast_if_small(left.select("a", F.explode(keys("a")).alias("k")))
-    rk = right.select("b", F.explode(keys("b")).alias("k"))
-    pairs = rk.join(lk, "k").select("a", "b").distinct()
+    rk = _spread(right, "b").select("b", F.explode(keys("b")).alias("k"))
+    pairs = _spread(rk.join(lk, "k").select("a", "b"), "a", "b").distinct()
     return pairs.withColumn("score", jaro_winkler("a", "b")).filter(F.col("score") >= threshold)
 
 
 def _levenshtein_pairs(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     """Segment keys: a word cut in ``distance + 1`` parts keeps one part unchanged, shifted by at most
     ``distance``, in every word within that distance. Words too short to cut meet on their length only."""
-    parts = distance + 1
-    n = F.length("a")
-
-    def cut(i: Column) -> Column:
-        return F.floor(n * i / parts).cast("int")
-
-    whole = F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.struct(
-        i.alias("part"), F.expr("a").substr(cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"), cut(i).alias("at")))
-    short = F.array(F.struct(F.lit(-1).alias("part"), F.lit("").alias("piece"), F.lit(0).alias("at")))
-    lk = left.select("a", n.alias("na"), F.inline(F.when(n >= parts, whole).otherwise(short)))
-    lk = broadcast_if_small(lk)
-
-    m = F.length("b")
-    lengths = F.sequence(F.greatest(m - distance, F.lit(0)), m + distance)
-    long = F.flatten(F.transform(F.filter(lengths, lambda x: x >= parts), lambda x: F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(distance)), lambda i: F.transform(
-            F.filter(
-                F.sequence(F.floor(x * i / parts).cast("int") - distance, F.floor(x * i / parts).cast("int") + distance),
-                lambda p: (p >= 0) & (p + F.floor(x * (i + 1) / parts) - F.floor(x * i / parts) <= m)),
-            lambda p: F.struct(
-                x.alias("na"), i.alias("part"),
-                F.expr("b").substr(p + 1, (F.floor(x * (i + 1) / parts) - F.floor(x * i / parts)).cast("int")).alias("piece")))))))
-    tiny = F.transform(F.filter(lengths, lambda x: x < parts), lambda x: F.struct(
-        x.alias("na"), F.lit(-1).alias("part"), F.lit("").alias("piece")))
-    rk = right.select("b", F.explode(F.array_distinct(F.concat(long, tiny))).alias("k")).select("b", "k.*")
-    pairs = rk.join(lk, ["na", "part", "piece"]).select("a", "b").distinct()
+    cut, probe = segment_udfs(distance)
+    lk = broadcast_if_small(left.select("a", F.explode(cut("a")).alias("k")))
+    rk = _spread(right, "b").select("b", F.explode(probe("b")).alias("k"))
+    pairs = rk.join(lk, "k").select("a", "b").distinct()
     return pairs.withColumn("score", F.levenshtein("a", "b")).filter(F.col("score") <= distance)
 
 

@@ -58,36 +58,36 @@ def stem_vocabulary(tokens: DataFrame, col: str = "token") -> DataFrame:
 def header_label(norm: Column, headers: dict[str, str]) -> Column:
     """Label of a normalised line when it is a header, else null; longest keyword first."""
     keys = sorted(headers, key=lambda k: (-len(k), k))
-    keyword = F.regexp_extract(norm, "^(" + tx.any_of(keys) + r")(?: |\z)", 1)
+    pattern = "^(" + tx.any_of(keys) + r")(?: |\z)"
     labels = F.create_map(*[F.lit(x) for key in keys for x in (key, headers[key])])
-    short = F.size(F.split(norm, " ")) <= MAX_HEADER_WORDS
-    return F.when((keyword != "") & short, labels[keyword])
+    long = "^(?:[^ ]+ ){" + str(MAX_HEADER_WORDS) + "}"
+    return tx.let(norm, lambda n: F.when(~n.rlike(long), F.try_element_at(labels, F.regexp_extract(n, pattern, 1))))
 
 
 def with_sections(df: DataFrame, headers: dict[str, str], preamble: str, col: str = "text",
                   folded: str = "folded") -> DataFrame:
     """Add ``sections``: array of ``(ord, label, body, folded)`` of each row, in order."""
-    lines = F.split(F.col(col), "\n", -1)
-    folded_lines = F.split(F.col(folded), "\n", -1)
-    labels = F.transform(folded_lines, lambda line: header_label(tx.normalized(line), headers))
-    work = df.withColumns({"_lines": lines, "_folded_lines": folded_lines, "_labels": labels})
-    n = F.size("_lines")
-    heads = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("_labels", i).isNotNull())
-    work = work.withColumn("_heads", F.concat(F.array(F.lit(0)), heads, F.array(n + 1)))
-
-    def section(k: Column) -> Column:
-        start = F.element_at("_heads", k)
-        length = F.element_at("_heads", k + 1) - start - 1
-        label = F.when(k == 1, F.lit(preamble)).otherwise(F.element_at("_labels", start))
+    cells = F.zip_with(
+        F.split(F.col(col), "\n", -1), F.split(F.col(folded), "\n", -1),
+        lambda raw, low: F.struct(raw.alias("raw"), low.alias("low"),
+                                  header_label(tx.normalized(low), headers).alias("label")))
+
+    def cut(c: Column) -> Column:
+        at = F.filter(F.transform(c, lambda x, i: F.when(x["label"].isNotNull(), i + 1)), lambda i: i.isNotNull())
+        return tx.let(F.concat(F.array(F.lit(0)), at, F.array(F.size(c) + 1)), lambda h: F.transform(
+            F.sequence(F.lit(1), F.size(h) - 1), lambda k: section(c, h, k)))
+
+    def section(c: Column, h: Column, k: Column) -> Column:
+        start = F.element_at(h, k)
+        body = F.slice(c, start + 1, F.element_at(h, k + 1) - start - 1)
         return F.struct(
             (k - 1).alias("ord"),
-            label.alias("label"),
-            tx.trim_space(F.array_join(F.slice("_lines", start + 1, length), "\n")).alias("body"),
-            F.array_join(F.slice("_folded_lines", start + 1, length), "\n").alias("folded"),
+            F.when(k == 1, F.lit(preamble)).otherwise(F.element_at(c, F.greatest(start, F.lit(1)))["label"]).alias("label"),
+            tx.trim_space(F.array_join(F.transform(body, lambda x: x["raw"]), "\n")).alias("body"),
+            F.array_join(F.transform(body, lambda x: x["low"]), "\n").alias("folded"),
         )
 
-    sections = F.transform(F.sequence(F.lit(1), F.size("_heads") - 1), section)
-    return work.withColumn("sections", sections).drop("_lines", "_folded_lines", "_labels", "_heads")
+    return df.withColumn("sections", tx.let(cells, cut))
 
 
 def split_sections(df: DataFrame, headers: dict[str, str] | None = None, preamble: str = "header",

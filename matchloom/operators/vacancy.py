@@ -25,10 +25,11 @@ def requirement_weight(category: Column, section: Column, n: Column) -> Column:
 
 
 def extract_requirements(jobs: DataFrame, lexicon: Lexicon, headers: dict[str, str] | None = None,
-                         key: str = "job_id", col: str = "text", unicode: str = "exact") -> DataFrame:
+                         key: str = "job_id", col: str = "text", unicode: str = "exact",
+                         index: DataFrame | None = None) -> DataFrame:
     """V1: ``(key, skill_id, display, category, section, n, weight)``, the best section of each skill counting."""
     sections = sections_of(jobs, headers or JOB_HEADERS, "title", key, col, unicode)
-    hits = scan_occurrences(sections, lexicon_index(lexicon), key)
+    hits = scan_occurrences(sections, lexicon_index(lexicon) if index is None else index, key)
     rank = _lookup(F.col("label"), SECTION_MULTIPLIER, 0.6)
     best = hits.groupBy(key, "skill_id").agg(F.max_by("label", rank).alias("section"), F.count(F.lit(1)).alias("n"))
     names = broadcast_if_small(lexicon.entries.select("skill_id", F.col("canonical").alias("display"), "category"))
