@@ -50,9 +50,10 @@ def extract_entities(docs: DataFrame, key: str = "doc_id", col: str = "text", sk
             F.array_distinct(F.transform(all_, lambda x: x["low"])),
             lambda low: F.element_at(F.filter(all_, lambda x: x["low"] == low), 1)["value"]))
 
-    entries = F.concat(*[
-        F.transform(distinct_ignoring_case(values), lambda v, k=kind: F.struct(F.lit(k).alias("kind"), v.alias("value")))
-        for kind, values in found.items()])
+    def rows_of(kind: str, values: Column) -> Column:
+        return F.transform(distinct_ignoring_case(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    entries = F.concat(*[rows_of(kind, values) for kind, values in found.items()])
     return docs.filter(~tx.is_blank(text)).select(key, F.inline(entries))
 
 

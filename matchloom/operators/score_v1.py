@@ -237,10 +237,10 @@ def report_v1(scores: DataFrame) -> DataFrame:
 
 def keyword_report(scores: DataFrame) -> DataFrame:
     """C11: one row per pair and keyword with report labels."""
-    lists = F.concat(*[
-        F.transform(name, lambda k, n=name: F.struct(F.lit(n).alias("list"), k.alias("k")))
-        for name in ("present", "partial", "missing")])
-    rows = scores.select("cv_id", "job_id", F.inline(lists))
+    def tagged(name: str) -> Column:
+        return F.transform(name, lambda k: F.struct(F.lit(name).alias("list"), k.alias("k")))
+
+    rows = scores.select("cv_id", "job_id", F.inline(F.concat(*[tagged(n) for n in ("present", "partial", "missing")])))
     return rows.select(
         "cv_id", "job_id", "list", F.col("k.skill_id").alias("skill_id"),
         report_label("category", F.col("k.category")).alias("category"),
