@@ -59,14 +59,14 @@ def steps(spark, sf):
 
 
 def a6(spark, sf):
-    return audit.best_of_n(steps(spark, sf))
+    return audit.best_of_n(steps(spark, sf)).na.fill(-1)
 
 
 def a7(spark, sf):
     requests = steps(spark, sf).groupBy("request_id").agg(
         F.count(F.lit(1)).cast("int").alias("iteration_count"), (F.max("score") * 4).alias("elapsed_seconds")
     ).withColumn("threshold", (F.col("request_id") % 110).cast("int"))
-    return audit.run_status(steps(spark, sf), requests)
+    return audit.run_status(steps(spark, sf), requests).na.fill(-1, ["best_step", "best_score"])
 
 
 def a8(spark, sf):
@@ -162,3 +162,6 @@ ORACLES = {
         coalesce(string_agg(f, ',' ORDER BY f) FILTER (WHERE m = 1), '') AS risks
         FROM (SELECT conv_id, role || '_' || turn AS f, turn % 3 AS m FROM conversations) GROUP BY conv_id""",
 }
+
+for _name in ("a6_best_of_n", "a7_run_status"):
+    ORACLES[_name] = c.sql_no_null(ORACLES[_name], "best_step", "best_score")

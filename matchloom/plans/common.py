@@ -17,6 +17,7 @@ from ..sources.lexicon import Lexicon, lexicon_from_skills
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -78,6 +79,11 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(doc.alias("cv_id"), F.explode(picks).alias("job_id"))
 
 
+def sql_no_null(sql: str, *cols: str) -> str:
+    """Nulls in numeric columns as -1, so both sides return plain integers."""
+    return f"SELECT * REPLACE ({', '.join(f'coalesce({x}, -1) AS {x}' for x in cols)}) FROM ({sql})"
+
+
 # --- SQL fragments --------------------------------------------------------------------------------
 
 

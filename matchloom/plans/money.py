@@ -19,7 +19,7 @@ def ts(text):
 
 
 def us(name):
-    return F.unix_micros(name).alias(name)
+    return F.coalesce(F.unix_micros(name), F.lit(-1)).alias(name)
 
 
 # --- inputs ---------------------------------------------------------------------------------------
@@ -136,7 +136,7 @@ def p1(spark, sf):
     orders = payments(spark, sf).select("id", "package_id")
     ok, bad = pay.attach_package(orders, pay.packages(spark))
     return ok.select("id", "package_id", "credits", "amount_in_cents", F.lit(None).cast("string").alias("error_code")).unionByName(
-        bad.select("id", "package_id", F.lit(None).cast("int").alias("credits"), F.lit(None).cast("long").alias("amount_in_cents"), "error_code"))
+        bad.select("id", "package_id", F.lit(None).cast("int").alias("credits"), F.lit(None).cast("long").alias("amount_in_cents"), "error_code")).na.fill(-1)
 
 
 def p2(spark, sf):
@@ -208,7 +208,7 @@ def u1(spark, sf):
     ok, bad = subscriptions(spark, sf)
     return ok.select("id", "status", us("period_end"), us("next_charge_at"), "credits_per_month", F.col("price").cast("double").alias("price"), F.lit(None).cast("string").alias("error_code")).unionByName(
         bad.select("id", F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("period_end"), F.lit(None).cast("long").alias("next_charge_at"),
-                   F.lit(None).cast("int").alias("credits_per_month"), F.lit(None).cast("double").alias("price"), "error_code"))
+                   F.lit(None).cast("int").alias("credits_per_month"), F.lit(None).cast("double").alias("price"), "error_code")).na.fill(-1)
 
 
 def _folded(spark, sf):
@@ -420,10 +420,10 @@ ORACLES = {
           CASE WHEN NOT hit THEN epoch_us(next_charge_at) END AS next_charge_at FROM r""",
     "u7_grants": f"""WITH RECURSIVE {_SUBS} SELECT user_id, 'subscription:' || id AS reference, CAST(CASE plan WHEN 'Starter' THEN 30 ELSE 100 END AS BIGINT) AS delta,
           epoch_us(TIMESTAMP '{START}') AS created_at FROM subs WHERE user_id % 11 <> 0
-        UNION ALL SELECT user_id, 'subscription:' || sid || ':' || event_id, CAST(CASE plan WHEN 'Starter' THEN 30 ELSE 100 END AS BIGINT), epoch_us(at)
+        UNION ALL SELECT user_id, 'subscription:' || sid || ':' || event_id, CAST(CASE plan WHEN 'Starter' THEN 30 ELSE 100 END AS BIGINT), epoch_us(ch.at)
         FROM ch JOIN subs ON id = sid WHERE outcome = 'success' AND event_id NOT IN (SELECT bad_event FROM walk WHERE bad_event IS NOT NULL)""",
-    "i1_number_documents": """WITH d AS (SELECT o_orderkey AS id, 'P' || left(o_orderpriority, 1) AS prefix, o_orderdate AS at FROM orders WHERE o_orderstatus = 'F'),
-        n AS (SELECT id, prefix, row_number() OVER (PARTITION BY prefix ORDER BY at, id) + CASE prefix WHEN 'P1' THEN 100 WHEN 'P2' THEN 49 ELSE 0 END AS no FROM d)
+    "i1_number_documents": """WITH d AS (SELECT o_orderkey AS id, 'P' || left(o_orderpriority, 1) AS prefix, o_orderdate AS made FROM orders WHERE o_orderstatus = 'F'),
+        n AS (SELECT id, prefix, row_number() OVER (PARTITION BY prefix ORDER BY made, id) + CASE prefix WHEN 'P1' THEN 100 WHEN 'P2' THEN 49 ELSE 0 END AS no FROM d)
         SELECT id, prefix, no, prefix || '-' || lpad(CAST(no AS VARCHAR), 8, '0') AS number FROM n""",
     "i2_document_kind": """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'Invoice' WHEN 'O' THEN 'CreditNote' ELSE 'SupportDocument' END AS kind,
         CASE o_orderstatus WHEN 'F' THEN 'FV' WHEN 'O' THEN 'NC' ELSE 'DS' END AS prefix FROM orders""",
@@ -433,3 +433,11 @@ ORACLES = {
         UNION ALL SELECT prefix, no, 'OUT_OF_RANGE' FROM used WHERE no < CASE prefix WHEN 'P2' THEN 50 ELSE 1 END OR no > CASE prefix WHEN 'P1' THEN 9999999 WHEN 'P2' THEN 400 ELSE 99999999 END
         UNION ALL SELECT prefix, no, 'GAP_BEFORE' FROM (SELECT *, lag(no) OVER (PARTITION BY prefix ORDER BY no) AS p FROM used) WHERE p < no - 1""",
 }
+
+_NULLABLE = {
+    "p1_attach_package": ["credits", "amount_in_cents"], "p5_merge_payments": ["updated_at", "paid_at"], "p8_reconcile": ["paid_at"],
+    "u1_create_subscriptions": ["period_end", "next_charge_at", "credits_per_month", "price"],
+    "u2_fold_charges": ["last_charge_at", "next_charge_at", "canceled_at"], "u6_cancel": ["canceled_at", "next_charge_at"],
+}
+for _name, _cols in _NULLABLE.items():
+    ORACLES[_name] = c.sql_no_null(ORACLES[_name], *_cols)
