@@ -39,7 +39,7 @@ def match_exact(open_req: DataFrame, placement: DataFrame) -> DataFrame:
 
 
 def _witness(open_req: DataFrame, placement: DataFrame, edges: DataFrame, tier: str, credit: float) -> DataFrame:
-    reach = placement.join(broadcast_if_small(edges), placement["skill_id"] == edges["have"]).select(
+    reach = placement.join(broadcast_if_small(edges), F.col("skill_id") == F.col("have")).select(
         "cv_id", F.col("want").alias("skill_id"), F.struct("first_ord", "first_pos", "placement").alias("w"))
     first = reach.groupBy("cv_id", "skill_id").agg(F.min("w").alias("w"))
     hit = open_req.join(first, ["cv_id", "skill_id"])

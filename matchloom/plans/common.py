@@ -47,7 +47,7 @@ def skills_of_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return items.select(
         item.cast("int").alias("entry_ord"),
         name(item).alias("id"),
-        F.array_join(F.slice("w", 1, 3), " ").alias("canonical"),
+        F.when(item % 3 == 0, F.concat(picked(0), F.lit("s"))).otherwise(F.array_join(F.slice("w", 1, 3), " ")).alias("canonical"),
         F.element_at(F.array(F.lit("hardSkill"), F.lit("tool"), F.lit("softSkill"), F.lit("other")),
                      (item % 4 + 1).cast("int")).alias("category"),
         F.array_compact(F.array(F.concat_ws(" ", picked(3), picked(4)), picked(6), picked(8))).alias("aliases"),
@@ -87,19 +87,22 @@ def sql_no_null(sql: str, *cols: str) -> str:
 # --- SQL fragments --------------------------------------------------------------------------------
 
 
-def sql_regex(literal: str) -> str:
-    return "".join("\\" + c if c in ".+#/-" else c for c in literal)
-
-
-TOKEN_PATTERN = "(?:" + "|".join(sql_regex(t).replace("\\#", "#").replace("\\/", "/") for t in PROTECTED_TOKENS) + r"|[\p{L}\p{Nd}])+"
+_MARKED = {".": 57344, "#": 57345, "+": 57346, "/": 57347, "-": 57348}
+_BACK = "concat(" + ", ".join(f"chr({n})" for n in _MARKED.values()) + ")"
+TOKEN_PATTERN = "[\\p{L}\\p{Nd}\\x{E000}-\\x{E004}]+"
 
 
 def sql_fold(x: str) -> str:
-    return f"replace(strip_accents(replace(lower(nfc_normalize({x})), 'ñ', chr(57360))), chr(57360), 'ñ')"
+    """Protected tokens are marked first, as accents decide what is one; ñ is guarded against accent stripping."""
+    out = f"lower(nfc_normalize({x}))"
+    for token in PROTECTED_TOKENS:
+        parts = [f"chr({_MARKED[ch]})" if ch in _MARKED else f"'{ch}'" for ch in token]
+        out = f"replace({out}, '{token}', concat({', '.join(parts)}))"
+    return f"replace(strip_accents(replace({out}, 'ñ', chr(57360))), chr(57360), 'ñ')"
 
 
 def sql_words(x: str) -> str:
-    return f"regexp_extract_all({sql_fold(x)}, '{TOKEN_PATTERN}')"
+    return f"list_transform(regexp_extract_all({sql_fold(x)}, '{TOKEN_PATTERN}'), lambda t0: translate(t0, {_BACK}, '.#+/-'))"
 
 
 def sql_norm(x: str) -> str:
@@ -144,7 +147,7 @@ def sql_sections(source: str, key: str, headers: dict[str, str], preamble: str,
 
 SQL_SKILLS = f"""
     skills AS (
-      SELECT item_id AS entry_ord, 'b' || item_id AS skill_id, array_to_string(w[1:3], ' ') AS canonical,
+      SELECT item_id AS entry_ord, 'b' || item_id AS skill_id, CASE WHEN item_id % 3 = 0 THEN w[1] || 's' ELSE array_to_string(w[1:3], ' ') END AS canonical,
         ['hard', 'tool', 'soft', 'generic'][item_id % 4 + 1] AS category,
         list_filter([concat_ws(' ', w[4], w[5]), w[7], w[9]], lambda x: x IS NOT NULL) AS aliases,
         'b' || (item_id + 1) AS implies, 'b' || (item_id + 2) AS related, 'b' || (item_id + 3) AS confusable

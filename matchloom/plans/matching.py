@@ -249,7 +249,7 @@ def _keywords(name: str, tiers: str) -> str:
     return f"coalesce(string_agg(skill_id || '/' || {note}, ',' ORDER BY weight DESC, skill_id) FILTER (WHERE tier IN ({tiers})), '') AS {name}"
 
 
-_TOP = """SELECT job_id, rank, cv_id, overall, band, covered, n AS n_requirements FROM (
+_TOP = """SELECT job_id, CAST(rank AS INTEGER) AS rank, cv_id, overall, band, CAST(covered AS INTEGER) AS covered, CAST(n AS INTEGER) AS n_requirements FROM (
     SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY overall DESC, cv_id) AS rank FROM banded) WHERE rank <= 10"""
 
 ORACLES = {
