@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.dims import pin_if_small
 from ..functions.wordlists import PROTECTED_TOKENS, STEM_SUFFIXES
+from ..sources.tables import spread_if_narrow
 from ..sources.lexicon import Lexicon, lexicon_from_skills
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_if_narrow(df) if name == "documents" else df
 
 
 # Frequent words of the generated prose, used as section headers and verbs.
