@@ -48,23 +48,19 @@ def scan_occurrences(sections: DataFrame, index: DataFrame, key: str) -> DataFra
     hits = grams.join(dim, on).select(
         key, F.struct("ord", "pos", (-F.col("n")).alias("neg_n"), "label", "skill_id").alias("h"))
     ordered = hits.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias("hs"))
-    hit_type = "array<struct<ord:int,pos:int,label:string,skill_id:string>>"
-    kept = F.aggregate(
+    # The fold only marks hits, in a string, so it stays linear for documents with very many of them.
+    marks = F.aggregate(
         "hs",
-        F.struct(F.lit(-1).alias("ord"), F.lit(0).alias("free"), F.array().cast(hit_type).alias("kept")),
+        F.struct(F.lit(-1).alias("ord"), F.lit(0).alias("free"), F.lit("").alias("marks")),
         lambda acc, h: F.when(
             (h["ord"] != acc["ord"]) | (h["pos"] >= acc["free"]),
-            F.struct(
-                h["ord"].alias("ord"),
-                (h["pos"] - h["neg_n"]).alias("free"),
-                F.concat(acc["kept"], F.array(F.struct(
-                    h["ord"].alias("ord"), h["pos"].alias("pos"), h["label"].alias("label"),
-                    h["skill_id"].alias("skill_id")))).alias("kept"),
-            ),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
+            F.struct(h["ord"].alias("ord"), (h["pos"] - h["neg_n"]).alias("free"), F.concat(acc["marks"], F.lit("1")).alias("marks")),
+        ).otherwise(F.struct(acc["ord"].alias("ord"), acc["free"].alias("free"), F.concat(acc["marks"], F.lit("0")).alias("marks"))),
+        lambda acc: acc["marks"],
     )
-    return ordered.select(key, F.inline(kept))
+    rows = F.zip_with("hs", F.split(marks, ""), lambda h, m: F.when(m == "1", F.struct(
+        h["ord"].alias("ord"), h["label"].alias("label"), h["pos"].alias("pos"), h["skill_id"].alias("skill_id"))))
+    return ordered.select(key, F.inline(F.array_compact(rows)))
 
 
 def scan_skills(sections: DataFrame, index: DataFrame, key: str = "doc_id") -> DataFrame:

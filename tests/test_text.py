@@ -114,7 +114,7 @@ def test_jaro_winkler_join_misses_nothing(spark):
     want = {(a, b) for a in left for b in right if sim.jaro_winkler_python(a, b) >= 0.92}
     mk = lambda ws: spark.createDataFrame([(w,) for w in ws], "token string")
     got = {(r["a"], r["b"]) for r in similar.similar_terms(mk(left), mk(right), "jaro_winkler", 0.92).collect()}
-    assert got == want and len(want) > 100
+    assert got == want and len(want) > 50
     assert round(sim.jaro_winkler_python("kubernetes", "kubernets"), 2) == 0.98
 
 
