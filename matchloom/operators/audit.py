@@ -21,12 +21,15 @@ _TITLE = r"(?U)\b(" + "|".join(ENTITY_TITLES) + r")\b"
 
 
 def _listed(text: Column, names: list[str], mode: str) -> Column:
-    low = F.lower(text)
-    if mode == "substring":
-        hits = [F.when(low.contains(n.lower()), F.lit(n)) for n in names]
-    else:
-        hits = [F.when(low.rlike(r"(?<![\p{L}\p{N}])" + tx.any_of([n.lower()]) + r"(?![\p{L}\p{N}])"), F.lit(n)) for n in names]
-    return F.array_compact(F.array(*hits))
+    def found(low: Column) -> Column:
+        def hit(n: str) -> Column:
+            if mode == "substring":
+                return low.contains(n.lower())
+            return low.rlike(r"(?<![\p{L}\p{N}])" + tx.any_of([n.lower()]) + r"(?![\p{L}\p{N}])")
+
+        return F.array_compact(F.array(*[F.when(hit(n), F.lit(n)) for n in names]))
+
+    return tx.let(F.lower(text), found)
 
 
 def extract_entities(docs: DataFrame, key: str = "doc_id", col: str = "text", skills: list[str] | None = None,
