@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from ..sources.scratch import scratch_dir
+from . import byte_bpe, records, token_counts
 from .shared import read
 
 
@@ -14,5 +15,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe}
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    index = records.write_records(read(spark, sf_dir, "documents"), scratch_dir(spark, "records"), tokenizer, end_id=1)
+    out = records.with_starts(records.record_checksums(index, tokenizer))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {"op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts, "op10_records": op10_records}
 ORACLES: dict[str, str] = {}
