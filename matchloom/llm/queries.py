@@ -6,10 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import scratch_dir
-from . import byte_bpe, records, token_counts
+from . import byte_bpe, decontamination, records, simhash, token_counts
 from .shared import read
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.report(decontamination.find_hits(docs, read(spark, sf_dir, "benchmark")))
+
+
+_WORDS = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+OP3_SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)
+    WHERE item_id IS NOT NULL AND len(w) > 0),
+  grams AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+  docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+  runs AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM items))),
+  hits AS (SELECT doc_id, n, i, item FROM runs JOIN grams USING (n, g)),
+  covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+  named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -19,6 +42,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "fingerprint", "component_id")
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     index = records.write_records(read(spark, sf_dir, "documents"), scratch_dir(spark, "records"), tokenizer, end_id=1)
@@ -26,5 +54,6 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts, "op10_records": op10_records}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_decontamination": op3_decontamination, "op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts,
+           "op9_simhash": op9_simhash, "op10_records": op10_records}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL}
