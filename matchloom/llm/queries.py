@@ -6,10 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import scratch_dir
-from . import byte_bpe, decontamination, records, simhash, token_counts
+from . import byte_bpe, cross_polytope, decontamination, records, simhash, token_counts
 from .shared import read
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b
+    WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+  reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, low AS component_id, vec_id = low AS kept
+FROM embeddings JOIN (SELECT a AS vec_id, min(b) AS low FROM reached GROUP BY a) USING (vec_id)
+  LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+"""
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.report(decontamination.find_hits(docs, read(spark, sf_dir, "benchmark")))
@@ -54,6 +70,6 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts,
+QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op3_decontamination": op3_decontamination, "op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts,
            "op9_simhash": op9_simhash, "op10_records": op10_records}
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op3_decontamination": OP3_SQL}
