@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import stored
+from .shared import stored, whole_groups
 from .simhash import forest
 
 COSINE = 0.9
@@ -27,6 +27,9 @@ BLOCK = 512
 
 _PAIRS = 200_000
 
+#: What a cell is named by: table, bucket and, of a full bucket, its pair of blocks.
+CELL = ["table", "bucket", "i", "j"]
+
 
 class Hasher:
     """Buckets of unit vectors of one dimension."""
@@ -167,54 +170,29 @@ def _meet(conf: tuple[int, int, int, int], cosine: float):
     """Per cell and vector: links first met there, counted with copies, and the smallest node they lead to."""
     cell = Cell(conf, cosine)
 
-    def answered(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.Table.from_batches(rows)
-        key = np.stack([part.column(c).to_numpy() for c in ("table", "bucket", "i", "j")], axis=1)
-        edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
-        node, copies = part.column("node").to_numpy(), part.column("copies").to_numpy()
-        own, side = part.column("own").to_numpy(zero_copy_only=False), part.column("side").to_numpy()
-        nodes, counts, tops = [], [], []
-        for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if t - s < 2 or not own[s:t].any():
-                continue
-            x = _unit(part.column("vector").slice(s, t - s).to_pylist())
-            a, b = cell.close(x, own[s:t], side[s:t])
-            if not len(a):
-                continue
-            here = cell.first_here(int(key[s, 0]) % conf[0], node[s:t], x, own[s:t], a, b)
-            a, b = a[here], b[here]
-            n = np.zeros(t - s, np.int64)
-            np.add.at(n, a, copies[s:t][b])
-            np.add.at(n, b, copies[s:t][a])
-            found = np.flatnonzero(n)
-            nodes.append(node[s:t][found])
-            counts.append(n[found])
-            tops.append(node[s:t][forest(t - s, a, b)][found])
-        if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (nodes, counts, tops)], names=["node", "n", "top"])
-
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
-            if not len(key):
-                continue
-            # all but the rows of the last cell are complete; cells are small, so what is held is
-            begin = int(np.flatnonzero((key != key[-1]).any(1))[-1]) + 1 if (key != key[-1]).any() else 0
-            if held and (begin or (key[0] != last).any()):
-                whole = 0 if (key[0] != last).any() else None
-                if whole is None or begin:
-                    yield from answered([*held, batch.slice(0, begin)])
-                else:
-                    yield from answered(held)
-                held = []
-            elif begin:
-                yield from answered([batch.slice(0, begin)])
-            held.append(batch.slice(begin))
-            last = key[-1]
-        if held:
-            yield from answered(held)
+        for part, edge in whole_groups(batches, CELL):
+            table, node, copies, side = (part.column(c).to_numpy() for c in ("table", "node", "copies", "side"))
+            own = part.column("own").to_numpy()
+            nodes, counts, tops = [], [], []
+            for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if t - s < 2 or not own[s:t].any():
+                    continue
+                x = _unit(part.column("vector").slice(s, t - s).to_pylist())
+                a, b = cell.close(x, own[s:t], side[s:t])
+                if not len(a):
+                    continue
+                here = cell.first_here(int(table[s]) % conf[0], node[s:t], x, own[s:t], a, b)
+                a, b = a[here], b[here]
+                n = np.zeros(t - s, np.int64)
+                np.add.at(n, a, copies[s:t][b])
+                np.add.at(n, b, copies[s:t][a])
+                found = np.flatnonzero(n)
+                nodes.append(node[s:t][found])
+                counts.append(n[found])
+                tops.append(node[s:t][forest(t - s, a, b)][found])
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (nodes, counts, tops)], names=["node", "n", "top"])
 
     return met
 
@@ -245,8 +223,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     cells = dealt.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     i, j = F.least("_mine", "_other"), F.greatest("_mine", "_other")
     cells = cells.select("table", "bucket", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "own", "node", "copies", "vector")
-    keys = ["table", "bucket", "i", "j"]
-    met = stored(cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_meet(conf, cosine), "node long, n long, top long"), "links")
+    met = stored(cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_meet(conf, cosine), "node long, n long, top long"), "links")
     counts = met.groupBy("node").agg(F.sum("n").alias("_n"))
     joined = components(met.select(F.col("node").alias("a"), F.col("top").alias("b")), name="vectors")
     by_mark = distinct.select("mark", "node", "copies").join(counts, "node", "left").join(joined, "node", "left")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import scratch_dir
@@ -35,3 +37,30 @@ def chunks(table: pa.RecordBatch, rows: int = TEXTS_PER_BATCH) -> Iterator[pa.Re
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null is the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables that never cut a group, with the places where groups begin and the number of rows.
+
+    Only the rows of the last group of a batch are held back for the next, so groups must be of bounded size.
+    """
+
+    def begins(part: pa.Table) -> np.ndarray:
+        new = np.zeros(max(part.num_rows - 1, 0), bool)
+        for k in keys:
+            column = part.column(k)
+            new |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        part = part if held is None else pa.concat_tables([held, part])
+        if not part.num_rows:
+            continue
+        at = begins(part)
+        held = part.slice(int(at[-1]))
+        if len(at) > 1:
+            yield part.slice(0, int(at[-1])), at
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
