@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import scratch_dir
-from . import byte_bpe, cross_polytope, decontamination, records, simhash, token_counts
+from . import byte_bpe, cross_polytope, decontamination, line_dedup, records, simhash, token_counts
 from .shared import read
 
 
@@ -58,6 +58,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "fingerprint", "component_id")
@@ -71,5 +76,5 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op3_decontamination": op3_decontamination, "op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts,
-           "op9_simhash": op9_simhash, "op10_records": op10_records}
+           "op7_line_dedup": op7_line_dedup, "op9_simhash": op9_simhash, "op10_records": op10_records}
 ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op3_decontamination": OP3_SQL}
