@@ -71,7 +71,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     index = records.write_records(read(spark, sf_dir, "documents"), scratch_dir(spark, "records"), tokenizer, end_id=1)
-    out = records.with_starts(records.record_checksums(index, tokenizer))
+    out = records.record_checksums(records.with_starts(index), tokenizer)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -8,7 +8,9 @@ the vocabulary has at most 65,536 ids, else 4.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,14 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import WHITE
 from .crc32c import masked
 from .shared import TEXTS_PER_BATCH, chunks, texts_of
-from .token_counts import STRETCH
 
 HEAD, TAIL = 12, 4
 
 #: Ids of stretches kept per worker process, and the longest stretch that is kept; a full store starts anew.
-KEPT, KEPT_CHARS = 400_000, 48
+KEPT, KEPT_CHARS = 800_000, 48
+
+#: Visible text, cut where a sign follows Latin letters: letters and signs never share a token. U+00D7 and U+00F7 are
+#: signs, and U+0130 in lower case ends in one.
+STRETCH = re.compile(f"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+(?=[.,;:!?])|[^{WHITE}]+")
 
 INDEX_SCHEMA = "shard long, file string, start_in_shard long, offset long, n_bytes long, n_tokens long"
 
@@ -38,26 +44,43 @@ def id_type(n_ids: int) -> np.dtype:
 class Encoder:
     """The tokenizers library over whole texts, with the ids of frequent stretches kept.
 
-    No token, normal form or pattern of such a vocabulary reaches from one stretch (white space, then visible text)
-    into the next, so each is encoded by the library once and looked up afterwards.
+    It is for vocabularies that drop white space, keep letters and signs apart and lower-case (this is verified). No
+    token, normal form or pattern of theirs reaches from one stretch into the next, so the library encodes each
+    stretch once, and its ids are looked up afterwards.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        pattern = split.get("pattern", {}).get("Regex", "")
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        added = spec.get("added_tokens", [])
+        if split.get("behavior") != "Removed" or not split.get("invert") or "[^\\s\\p{L}\\p{N}]+" not in pattern or "Lowercase" not in steps \
+                or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+            raise ValueError(f"{path} is not a vocabulary that drops white space, splits at signs and lower-cases")
+        self.special = [t["content"].lower() for t in added]
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         self.dtype = id_type(self.library.get_vocab_size(with_added_tokens=True))
         self.kept: dict[str, bytes] = {}
 
+    def _stretches(self, text: str) -> list[str]:
+        if text.isascii():  # what the library would do first; not where it could make a special string
+            low = text.lower()
+            text = text if any(x in low for x in self.special) else low
+        return STRETCH.findall(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, without special tokens of a template."""
-        cut = [STRETCH.findall(x) for x in texts]
+        cut = [self._stretches(x) for x in texts]
         if len(self.kept) > KEPT:
             self.kept = {}
-        new = list(set().union(*cut).difference(self.kept)) if cut else []
+        new = list(set().union(*cut).difference(self.kept))
         fresh = self.library.encode_batch_fast(new, add_special_tokens=False)
         ids = {x: np.array(e.ids, self.dtype).tobytes() for x, e in zip(new, fresh, strict=True)}
         self.kept.update((x, v) for x, v in ids.items() if len(x) <= KEPT_CHARS)
