@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir
-from . import byte_bpe, cross_polytope, decontamination, line_dedup, records, simhash, token_counts
+from . import byte_bpe, cross_polytope, decontamination, language_id, line_dedup, perspectives, records, simhash, token_counts, url_templates
 from .shared import read
 
 
@@ -26,6 +27,27 @@ FROM embeddings JOIN (SELECT a AS vec_id, min(b) AS low FROM reached GROUP BY a)
 """
 
 
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perspectives.rotate(read(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return out.select("conv_id", "speaker", "first_turn", "n_turns", "text", spans.alias("spans"))
+
+
+OP2_SQL = """
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, turn // 64 AS part FROM conversations),
+  speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
+  heads AS (SELECT t.*, speaker, '<|im_start|>' || CASE WHEN role IS NULL THEN 'user' WHEN role = speaker THEN 'assistant'
+      WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head
+    FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+  placed AS (SELECT *, CAST(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text
+      ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM heads)
+SELECT conv_id, speaker, min(turn) AS first_turn, count(*) AS n_turns,
+  string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text,
+  coalesce(string_agg((stop - 11 - length(text)) || '-' || (stop - 1), ',' ORDER BY turn, role, text) FILTER (WHERE role = speaker), '') AS spans
+FROM placed GROUP BY conv_id, speaker, part
+"""
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.report(decontamination.find_hits(docs, read(spark, sf_dir, "benchmark")))
@@ -49,6 +71,13 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs, language_id.learnable())
+    held_out = F.coalesce(~language_id.learnable(), F.lit(False))
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -63,6 +92,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+#: The rules of the query.
+RULES = [url_templates.Rule("org", "/", "allow"), url_templates.Rule("example.org", "/es/", "block"), url_templates.Rule("example.org", "/en/1", "block"),
+         url_templates.Rule("com", "/fr/", "allow"), url_templates.Rule("com", "/de/", "block")]
+
+
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose id its path names; it is known to be bad if that document is labelled toxic or poor."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract(url_templates.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long").alias("_doc"))
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return url_templates.judge(pages.join(labels, pages["_doc"] == labels["doc_id"], "left").select("page_id", "url", "bad"), RULES)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "fingerprint", "component_id")
@@ -75,6 +116,9 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op3_decontamination": op3_decontamination, "op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts,
-           "op7_line_dedup": op7_line_dedup, "op9_simhash": op9_simhash, "op10_records": op10_records}
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op3_decontamination": OP3_SQL}
+QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup, "op2_perspectives": op2_perspectives, "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id, "op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts, "op7_line_dedup": op7_line_dedup,
+    "op8_url_templates": op8_url_templates, "op9_simhash": op9_simhash, "op10_records": op10_records,
+}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op2_perspectives": OP2_SQL, "op3_decontamination": OP3_SQL}

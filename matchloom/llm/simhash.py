@@ -277,3 +277,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
     by_fp = stored(named.select("fp", "_root").join(least, "_root").select("fp", "component_id"), "simhash-groups")
     return marks.join(by_fp, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` without documents that are not the first, by id, of their component.
+
+    Repeated rows of a first document all stay. Rows with a null id go, unless all of a component are such; then they
+    stay. All columns stay.
+    """
+    groups = near_duplicates(docs, id_col, text_col, max_bits)
+    first = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
+    return docs.join(first, docs[id_col].eqNullSafe(first["_first"]), "left_semi")
