@@ -33,8 +33,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, with all rows of that id. Rows without
-    an id stay only where a whole group has none."""
+    """Of each group of near-duplicates the document with the smallest id stays, with all rows of that id; rows without
+    an id stay."""
     return simhash.keep_first(docs)
 
 

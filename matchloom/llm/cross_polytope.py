@@ -135,11 +135,11 @@ class Cell:
     def __init__(self, conf: tuple[int, int, int, int], cosine: float):
         self.conf, self.cosine = conf, cosine
 
-    def close(self, x: np.ndarray, own: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of pairs with at least the wanted cosine of which one has this bucket as its own."""
-        s, t = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(t):
-            t = s
+    def close(self, x: np.ndarray, own: np.ndarray, side: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs with at least the wanted cosine of which one has this bucket as its own. ``one``: the cell is a
+        block with itself."""
+        s = np.flatnonzero(side == 0)
+        t = s if one else np.flatnonzero(side == 1)
         near = x[s] @ x[t].T >= self.cosine
         near &= own[s][:, None] | own[t][None, :]
         a, b = np.nonzero(near)
@@ -172,14 +172,14 @@ def _meet(conf: tuple[int, int, int, int], cosine: float):
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, edge in whole_groups(batches, CELL):
-            table, node, copies, side = (part.column(c).to_numpy() for c in ("table", "node", "copies", "side"))
+            table, i, j, node, copies, side = (part.column(c).to_numpy() for c in ("table", "i", "j", "node", "copies", "side"))
             own = part.column("own").to_numpy()
             nodes, counts, tops = [], [], []
             for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if t - s < 2 or not own[s:t].any():
                     continue
                 x = _unit(part.column("vector").slice(s, t - s).to_pylist())
-                a, b = cell.close(x, own[s:t], side[s:t])
+                a, b = cell.close(x, own[s:t], side[s:t], i[s] == j[s])
                 if not len(a):
                     continue
                 here = cell.first_here(int(table[s]) % conf[0], node[s:t], x, own[s:t], a, b)

@@ -213,7 +213,7 @@ def _rest(size: int, similarity: float):
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, edge in whole_groups(batches, CELL):
-            mark, root, line, side = (part.column(c).to_pylist() for c in ("mark", "root", "line", "side"))
+            block_i, block_j, mark, root, line, side = (part.column(c).to_pylist() for c in ("i", "j", "mark", "root", "line", "side"))
             a, b = [], []
             for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if len({*root[s:t]}) < 2:
@@ -227,7 +227,7 @@ def _rest(size: int, similarity: float):
                     return r
 
                 sets = [shingles(x, size) for x in line[s:t]]
-                two = any(side[s:t])
+                two = block_i[s] != block_j[s]
                 for i in range(s, t):
                     for j in range(i + 1, t):
                         if two and side[i] == side[j]:

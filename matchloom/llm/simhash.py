@@ -282,9 +282,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` without documents that are not the first, by id, of their component.
 
-    Repeated rows of a first document all stay. Rows with a null id go, unless all of a component are such; then they
-    stay. All columns stay.
+    Repeated rows of a first document all stay, and so do rows with a null id, which no component is named by. All
+    columns stay.
     """
     groups = near_duplicates(docs, id_col, text_col, max_bits)
-    first = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(first["_first"]), "left_semi")
+    later = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_later"))
+    first = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_later"))
+    # an id that is the first of one component and not of another, as its rows differ, stays
+    return docs.join(later.distinct().join(first.distinct(), "_later", "left_anti"), docs[id_col] == F.col("_later"), "left_anti")

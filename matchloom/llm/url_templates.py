@@ -23,7 +23,7 @@ MIN_CHILDREN, RARE_SHARE = 5, 0.5
 #: A child is rare below this share of its node's URLs.
 RARE = 0.01
 
-#: Standard errors within which a branch's labelled rate counts as that of its node, so the branch merges with its like.
+#: Standard errors, and one URL, within which a branch's bad URLs are what its node's rate lets expect, so it merges.
 MERGE_Z = 2.0
 
 #: Weight, in labelled URLs, of the rate over all labelled URLs, and the smoothed bad rate from which a template is rejected.
@@ -74,8 +74,8 @@ def templates(urls: DataFrame, depth: int = DEPTH, min_children: int = MIN_CHILD
     """``(host, path, n, n_labelled, n_bad, template)`` of distinct (host, path) rows with counts.
 
     From the top down, the children of a node are counted. Where they vary, rare ones become ``*``. Of the others,
-    those whose bad rate lies within ``merge_z`` standard errors of their node's pooled rate, and those without labels
-    of a node that has some, merge into ``*`` as well, so what stays literal is a branch that differs. A level sums by
+    those whose bad URLs are within ``merge_z`` standard errors and one URL of what their node's rate lets expect, such
+    as those without labels, merge into ``*`` as well, so what stays literal is a branch that differs. A level sums by
     (host, template, segment), combined before the shuffle, so a hot host is spread over its segments; its per-node
     sums are one row.
     """
@@ -91,8 +91,8 @@ def templates(urls: DataFrame, depth: int = DEPTH, min_children: int = MIN_CHILD
         judged = judged.join(loose, ["host", "_t"])
         varies = (F.col("t_kids") >= min_children) & (F.col("_loose") > rare_share * F.col("t_n"))
         pooled = F.try_divide("t_bad", "t_lab")
-        error = F.sqrt(pooled * (1 - pooled) / F.col("c_lab"))
-        alike = (F.col("t_kids") > 1) & (F.col("t_lab") > 0) & F.coalesce(F.abs(F.col("c_bad") / F.nullif("c_lab", F.lit(0)) - pooled) <= merge_z * error, F.lit(True))
+        off, error = F.abs(F.col("c_bad") - F.col("c_lab") * pooled), F.sqrt(F.col("c_lab") * pooled * (1 - pooled))
+        alike = (F.col("t_kids") > 1) & (F.col("t_lab") > 0) & (off <= merge_z * error + 1)
         wild = (varies & F.col("_rare")) | alike
         named = judged.select("host", "_t", "_s", F.concat("_t", F.lit("/"), F.when(wild, WILD).otherwise(F.col("_s"))).alias("_next"))
         named = stored(named, f"templates-{d}")
