@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,8 +61,26 @@ def _numbered(word: str) -> list[str]:
     return out
 
 
-def jaro_winkler_keys(word: str, threshold: float) -> list[str]:
-    """Keys such that any two words with Jaro-Winkler >= ``threshold`` share one.
+def _share(threshold: float, prefix: int) -> float:
+    """Of ``a b / (a + b)`` for lengths a and b, the part that characters in common must reach."""
+    jaro = (threshold - 0.1 * prefix) / (1 - 0.1 * prefix)
+    if 3 * jaro - 1 <= 1:
+        raise ValueError("threshold too low for exact keys")
+    return 3 * jaro - 1
+
+
+def _group(longer: int) -> int:
+    """Characters per key: long words are rare, so for them fewer and less selective keys do."""
+    return 3 if longer <= 16 else 2 if longer <= 40 else 1
+
+
+def in_reach(length: Column, other: Column, threshold: float) -> Column:
+    """Whether words of these lengths can be that similar at all."""
+    return _share(threshold, 4) * length * other / (length + other) - 1e-9 <= F.least(length, other)
+
+
+def jaro_winkler_keys(word: str, threshold: float, lengths: Iterable[int]) -> list[str]:
+    """Keys such that ``word`` and any word of one of ``lengths`` with Jaro-Winkler >= ``threshold`` share one.
 
     A pair at the threshold needs Jaro >= J with J = (t - 0.1 p) / (1 - 0.1 p) for a common prefix p, and
     Jaro <= (m/a + m/b + 1) / 3 for m common characters, so m >= (3J - 1) a b / (a + b). Two character
@@ -71,29 +91,26 @@ def jaro_winkler_keys(word: str, threshold: float) -> list[str]:
     ordered = _numbered(word)
     keys = set()
     for tag, prefix in (("n", 0), (f"p{word[:1]}", 4)):
-        jaro = (threshold - 0.1 * prefix) / (1 - 0.1 * prefix)
-        share = 3 * jaro - 1
-        if share <= 1:
-            raise ValueError("threshold too low for exact keys")
+        share = _share(threshold, prefix)
         # Lengths b that can reach the bound: m <= min(a, b).
-        for other in range(1, 4 * n + 4):
+        for other in lengths:
             need = share * n * other / (n + other) - 1e-9
             if need > min(n, other):
                 continue
             needed = max(1, int(-(-need // 1)))
-            group = min(needed, 3)
+            group = min(needed, _group(max(n, other)))
             head = ordered[: n - needed + group]
-            lengths = f"{tag}|{min(n, other)}-{max(n, other)}"
-            keys.update(f"{lengths}|{''.join(k)}" for k in combinations(head, group))
+            pair = f"{tag}|{min(n, other)}-{max(n, other)}"
+            keys.update(f"{pair}|{''.join(k)}" for k in combinations(head, group))
     return sorted(keys)
 
 
 def key_udf(threshold: float):
-    """Arrow function giving the candidate keys of each word."""
+    """Arrow function giving the candidate keys of each word towards words of the given lengths."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: jaro_winkler_keys(w, threshold))
+    def keys(words: pd.Series, lengths: pd.Series) -> pd.Series:
+        return pd.Series([jaro_winkler_keys(w, threshold, sorted(n)) for w, n in zip(words, lengths)])
 
     return keys
 

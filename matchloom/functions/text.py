@@ -98,15 +98,14 @@ def _fold_exact(texts: pd.Series) -> pd.Series:
 def with_folded(df: DataFrame, col: str, out: str = "folded", unicode: str = "exact") -> DataFrame:
     """Add the folded text.
 
-    ``unicode='exact'`` sends the rows outside the Latin ranges, and only those, through an Arrow function;
-    ``unicode='latin'`` stays on built-ins, for corpora known to be Latin.
+    ``unicode='exact'`` sends the texts outside the Latin ranges, and only those, through an Arrow function, in the same
+    scan; ``unicode='latin'`` stays on built-ins, for corpora known to be Latin.
     """
     text = F.col(col)
     if unicode == "latin":
         return df.withColumn(out, fold_latin(text))
     plain = F.coalesce(is_latin(text), F.lit(True))
-    return df.filter(plain).withColumn(out, fold_latin(text)).unionByName(
-        df.filter(~plain).withColumn(out, _fold_exact(text)))
+    return df.withColumn(out, F.coalesce(_fold_exact(F.when(~plain, text)), fold_latin(text)))
 
 
 def normalized(folded: Column) -> Column:

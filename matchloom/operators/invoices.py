@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import broadcast_if_small
 from ..functions.segmented import Running, running, time_bucket
 
 # Document prefixes and the automatic range.
@@ -23,7 +22,7 @@ def number_documents(docs: DataFrame, ranges: DataFrame, bucket_seconds: int = 8
     """Gap-free ``number`` per prefix in (created_at, id) order, continuing each range; a prefix without
     range starts at 1. One prefix may hold all documents: it is counted per time bucket."""
     seq = running(docs, ["prefix"], ["created_at", "id"], time_bucket("created_at", bucket_seconds), [Running("_n", "count")])
-    start = broadcast_if_small(ranges.select("prefix", F.col("current").cast("long").alias("_current")))
+    start = ranges.select("prefix", F.col("current").cast("long").alias("_current"))
     no = F.coalesce("_current", F.lit(RANGE_FROM - 1).cast("long")) + F.col("_n")
     return seq.join(start, "prefix", "left").withColumn("no", no).withColumn(
         "number", F.format_string("%s-%08d", "prefix", "no")).drop("_n", "_current")
@@ -43,7 +42,7 @@ def audit_numbering(invoices: DataFrame, ranges: DataFrame, block: int = 100_000
     Gaps are found inside blocks of numbers; the first number of a block is compared with the last of the
     preceding one, so a prefix is never ordered in one task.
     """
-    dim = broadcast_if_small(ranges.select("prefix", "from_no", "to_no"))
+    dim = ranges.select("prefix", "from_no", "to_no")
     used = invoices.groupBy("prefix", "no").agg(F.count(F.lit(1)).alias("n")).join(dim, "prefix", "left")
     low, high = F.coalesce("from_no", F.lit(RANGE_FROM)), F.coalesce("to_no", F.lit(RANGE_TO))
     outside = used.filter(~F.col("no").between(low, high)).select("prefix", "no", F.lit("OUT_OF_RANGE").alias("code"))

@@ -13,10 +13,11 @@ ORDER = ["created_at", "id"]
 WELCOME_CREDITS = 3
 
 
-def entries_from_events(events: DataFrame) -> DataFrame:
-    """``events(id, user_id, kind, ref, amount, created_at)`` to ledger entries.
+def entries_from_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``events(id, user_id, kind, ref, amount, created_at)`` to ``(ledger entries, rejected events)``.
 
-    Kinds: welcome, purchase, consumption, batch_consumption, refund, manual.
+    Kinds: welcome, purchase, consumption, batch_consumption, refund, manual. Events of another kind, or none, are
+    rejected with a code.
     """
     kind, ref, amount = F.col("kind"), F.col("ref"), F.col("amount")
     reason = (F.when(kind == "welcome", "Welcome").when(kind == "purchase", "Purchase")
@@ -31,8 +32,9 @@ def entries_from_events(events: DataFrame) -> DataFrame:
     delta = (F.when(kind == "welcome", F.lit(WELCOME_CREDITS)).when(kind == "purchase", amount)
              .when(kind == "consumption", F.lit(-1)).when(kind == "batch_consumption", -amount)
              .when(kind == "refund", F.lit(1)).when(kind == "manual", amount))
-    return events.select("id", "user_id", reason.alias("reason"), reference.alias("reference"),
-                         delta.cast("long").alias("delta"), "created_at").filter("reason is not null")
+    known = events.filter(reason.isNotNull())
+    entries = known.select("id", "user_id", reason.alias("reason"), reference.alias("reference"), delta.cast("long").alias("delta"), "created_at")
+    return entries, events.filter(reason.isNull()).withColumn("error_code", F.lit("UNKNOWN_KIND"))
 
 
 def first_entries(entries: DataFrame) -> DataFrame:
@@ -158,7 +160,8 @@ def history_page(entries: DataFrame, limit: int, cursors: DataFrame | None = Non
     """One page per user, newest first, with ``next_cursor`` when more rows follow.
 
     ``cursors(user_id, cursor)`` continues behind a row; an unreadable cursor starts anew. The limit is
-    clamped to 1..200 and one row is looked ahead; ranks are limited before the shuffle.
+    clamped to 1..200 and one row is looked ahead; ranks are limited before the shuffle. Rows of one instant are
+    ordered by their id as text, as the cursor holds it, so pages neither skip nor repeat a row.
     """
     limit = min(max(limit, 1), 200)
     rows = entries
@@ -167,11 +170,11 @@ def history_page(entries: DataFrame, limit: int, cursors: DataFrame | None = Non
         parts = cursors.select("user_id", F.regexp_extract(raw, r"^(-?\d+):", 1).try_cast("long").alias("_ticks"),
                                F.regexp_extract(raw, r"^-?\d+:(.*)\z", 1).alias("_id"))
         parts = parts.filter("_ticks is not null")
-        at = F.timestamp_micros(F.floor((F.col("_ticks") - F.lit(621_355_968_000_000_000)) / 10))
+        at = F.timestamp_micros(F.expr("(_ticks - 621355968000000000L) div 10"))
         rows = rows.join(parts.select("user_id", at.alias("_at"), "_id"), "user_id", "left").filter(
             F.col("_at").isNull() | (F.col("created_at") < F.col("_at"))
             | ((F.col("created_at") == F.col("_at")) & (F.col("id").cast("string") < F.col("_id")))).drop("_at", "_id")
-    newest = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    newest = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").cast("string").desc())
     ranked = rows.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= limit + 1)
     more = F.lead("id").over(newest).isNotNull() & (F.col("rn") == limit)
     return ranked.withColumn("next_cursor", F.when(more, cursor(F.col("created_at"), F.col("id")))).filter(F.col("rn") <= limit)

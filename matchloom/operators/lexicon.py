@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.dims import broadcast_if_small
 from ..functions.wordlists import CONFUSABLE_TERMS, MAX_GRAM, PROMINENT_SECTIONS
 from ..sources.lexicon import Lexicon
 from .text import with_sections
@@ -31,15 +30,15 @@ def _grams_of(index: DataFrame) -> DataFrame:
 def scan_occurrences(sections: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Greedy longest n-gram occurrences ``(key, ord, label, pos, skill_id)``.
 
-    ``sections`` has ``(key, ord, label, folded)``. All n-grams are looked up by one broadcast join on their
-    first word; only the hits are shuffled, once, by document, and overlaps are dropped in position order.
+    ``sections`` has ``(key, ord, label, folded)``. All n-grams are looked up by one join on their first
+    word, which is a broadcast for a lexicon of ordinary size; only the hits are shuffled, once, by document, and overlaps are dropped in position order.
     """
     w = tx.tokens(F.col("folded"))
     work = sections.select(key, "ord", "label", w.alias("_w"))
     work = work.withColumns({"_w2": F.slice("_w", 2, F.size("_w")), "_w3": F.slice("_w", 3, F.size("_w"))})
     grams = work.select(key, "ord", "label", F.posexplode(F.arrays_zip("_w", "_w2", "_w3")).alias("pos", "g"))
     grams = grams.select(key, "ord", "label", "pos", "g._w", "g._w2", "g._w3")
-    dim = broadcast_if_small(_grams_of(index))
+    dim = _grams_of(index)
     on = (
         (F.col("_w") == F.col("i1"))
         & ((F.col("n") < 2) | (F.col("_w2") == F.col("i2")))

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.dims import broadcast_if_small
 from ..functions.wordlists import FUZZY_THRESHOLD
 from .similar import similar_terms
 
@@ -39,7 +38,7 @@ def match_exact(open_req: DataFrame, placement: DataFrame) -> DataFrame:
 
 
 def _witness(open_req: DataFrame, placement: DataFrame, edges: DataFrame, tier: str, credit: float) -> DataFrame:
-    reach = placement.join(broadcast_if_small(edges), F.col("skill_id") == F.col("have")).select(
+    reach = placement.join(edges, F.col("skill_id") == F.col("have")).select(
         "cv_id", F.col("want").alias("skill_id"), F.struct("first_ord", "first_pos", "placement").alias("w"))
     first = reach.groupBy("cv_id", "skill_id").agg(F.min("w").alias("w"))
     hit = open_req.join(first, ["cv_id", "skill_id"])
@@ -66,25 +65,25 @@ def requirement_terms(requirements: DataFrame) -> DataFrame:
 def lemma_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(skill_id, token)``: words whose stem is the stem of the requirement term."""
     stems = vocabulary.select("token", tx.stem(F.col("token")).alias("term_stem"))
-    return stems.join(broadcast_if_small(terms.filter("term_stem <> ''")), "term_stem").select("skill_id", "token")
+    return stems.join(terms.filter("term_stem <> ''"), "term_stem").select("skill_id", "token")
 
 
 def fuzzy_words(terms: DataFrame, vocabulary: DataFrame, edges: dict[str, DataFrame],
                 threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """``(skill_id, token, score)``: similar words, confusable pairs excluded by anti joins."""
     near = similar_terms(terms, vocabulary, "jaro_winkler", threshold, left_col="term")
-    named = near.join(broadcast_if_small(terms.select("skill_id", "term")), near["a"] == F.col("term"))
+    named = near.join(terms.select("skill_id", "term"), near["a"] == F.col("term"))
     named = named.select("skill_id", "term", F.col("b").alias("token"), "score")
     by_term = named.select("*", F.least("term", "token").alias("a"), F.greatest("term", "token").alias("b"))
-    by_term = by_term.join(broadcast_if_small(edges["confusable_terms"]), ["a", "b"], "left_anti").drop("a", "b")
+    by_term = by_term.join(edges["confusable_terms"], ["a", "b"], "left_anti").drop("a", "b")
     by_id = by_term.select("*", F.least("skill_id", "token").alias("a"), F.greatest("skill_id", "token").alias("b"))
-    return by_id.join(broadcast_if_small(edges["confusable"]), ["a", "b"], "left_anti").select("skill_id", "token", "score")
+    return by_id.join(edges["confusable"], ["a", "b"], "left_anti").select("skill_id", "token", "score")
 
 
 def match_stem(open_req: DataFrame, stems: DataFrame) -> DataFrame:
     """M4: ``stems(cv_id, stem)`` holds the stem of the requirement's normalised display."""
     terms = requirement_terms(open_req).select("skill_id", F.col("term_stem").alias("stem")).filter("stem <> ''")
-    keyed = open_req.join(broadcast_if_small(terms), "skill_id")
+    keyed = open_req.join(terms, "skill_id")
     hit = keyed.join(stems.select("cv_id", "stem"), ["cv_id", "stem"], "left_semi")
     return _tier(hit, "Lemma", F.lit("Buried"), F.lit(0.85))
 
@@ -93,7 +92,7 @@ def match_fuzzy(open_req: DataFrame, tokens: DataFrame, edges: dict[str, DataFra
                 threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """M5: best similar word of ``tokens(cv_id, token)``."""
     near = fuzzy_words(requirement_terms(open_req), tokens.select("token").distinct(), edges, threshold)
-    held = tokens.join(broadcast_if_small(near), "token").groupBy("cv_id", "skill_id").agg(F.max("score").alias("score"))
+    held = tokens.join(near, "token").groupBy("cv_id", "skill_id").agg(F.max("score").alias("score"))
     hit = open_req.join(held, ["cv_id", "skill_id"])
     return _tier(hit, "Fuzzy", F.lit("Buried"), F.lit(0.85) * F.col("score"))
 
@@ -130,8 +129,7 @@ def evidence(placement: DataFrame, edges: dict[str, DataFrame], cv_words: DataFr
     own = placement.select("cv_id", "skill_id", F.lit(0).alias("rank"), at.alias("at"), F.lit(0.0).alias("neg_score"), "placement")
 
     def through(table: DataFrame, rank: int) -> DataFrame:
-        dim = broadcast_if_small(table)
-        return placement.join(dim, placement["skill_id"] == dim["have"]).select(
+        return placement.join(table, placement["skill_id"] == table["have"]).select(
             "cv_id", F.col("want").alias("skill_id"), F.lit(rank).alias("rank"), at.alias("at"),
             F.lit(0.0).alias("neg_score"), "placement")
 
@@ -145,7 +143,7 @@ def evidence(placement: DataFrame, edges: dict[str, DataFrame], cv_words: DataFr
             near = near.unionByName(close.select(
                 "skill_id", "token", F.lit(4).alias("rank"), (-F.col("score")).alias("neg_score")))
         held = cv_words.select("cv_id", F.explode(F.array_distinct("words")).alias("token")).join(
-            broadcast_if_small(near), "token")
+            near, "token")
         rows = rows.unionByName(held.select(
             "cv_id", "skill_id", "rank",
             F.lit(None).cast("struct<first_ord:int,first_pos:int>").alias("at"), "neg_score", F.lit("Buried").alias("placement")))
@@ -165,10 +163,10 @@ def match_pairs(pairs: DataFrame, cv_evidence: DataFrame, requirement_sets: Data
     """M7: one row per pair with ``matches`` (array in requirement order) and ``context_hash``.
 
     Pairs of one vacancy may be a large part of all pairs: the requirement side is one row per vacancy and is
-    broadcast when proven small, else adaptive execution splits the hot vacancy.
+    broadcast where its size allows, else adaptive execution splits the hot vacancy.
     """
     joined = pairs.select("cv_id", "job_id").join(cv_evidence, "cv_id", "left").join(
-        broadcast_if_small(requirement_sets), "job_id", "left")
+        requirement_sets, "job_id", "left")
 
     def resolve(r: Column) -> Column:
         m = F.try_element_at(F.col("skills"), r["skill_id"])

@@ -18,9 +18,9 @@ def packages(spark: SparkSession) -> DataFrame:
 
 
 def attach_package(orders: DataFrame, package_table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(known, rejected)``. The package table is a fixed list of a few rows."""
+    """``(known, rejected)``. The join is planned by the package table's size."""
     dim = package_table.select(F.lower("package_id").alias("_p"), F.col("package_id").alias("_canonical"), "credits", "amount_in_cents", "currency")
-    joined = orders.join(F.broadcast(dim), F.lower("package_id") == F.col("_p"), "left").drop("_p")
+    joined = orders.join(dim, F.lower("package_id") == F.col("_p"), "left").drop("_p")
     known = joined.filter("_canonical is not null").withColumn("package_id", F.col("_canonical")).drop("_canonical")
     rejected = joined.filter("_canonical is null").select(*orders.columns, F.lit("PAYMENT/INVALID_PACKAGE").alias("error_code"))
     return known, rejected

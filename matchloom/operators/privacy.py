@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import broadcast_if_small
 from ..functions.segmented import Running, running, time_bucket
 
 # --- N1-N3: consent records (id, user_id, policy_version, consent_date, revoked_at, purpose) --------
@@ -149,7 +148,7 @@ def flag_asof(events: DataFrame, changes: DataFrame, defaults: DataFrame, bucket
         changes.select("flag", F.col("changed_at").alias("_at"), F.lit(0).alias("_o"), F.format_string("%020d", F.col("id").cast("long")).alias("_id"), F.col("new_value").alias("_v")),
         allowMissingColumns=True)
     carried = running(rows, ["flag"], ["_at", "_o", "_id"], time_bucket("_at", bucket_seconds), [Running("value", "last", F.col("_v"))])
-    dim = broadcast_if_small(defaults.select(F.col("name").alias("flag"), "default_value"))
+    dim = defaults.select(F.col("name").alias("flag"), "default_value")
     out = carried.filter("_o = 1").join(dim, "flag", "left").withColumn("value", F.coalesce("value", "default_value"))
     cols = events.columns
     return (out.filter("value is not null").select(*cols, "value"),
@@ -160,7 +159,7 @@ def flag_audit(changes: DataFrame, defaults: DataFrame, bucket_seconds: int = 86
     """change log with ``old_value``; the default precedes the first change, no-op changes are kept."""
     log = running(changes, ["flag"], ["changed_at", "id"], time_bucket("changed_at", bucket_seconds),
                   [Running("old_value", "last", F.col("new_value"), inclusive=False)])
-    dim = broadcast_if_small(defaults.select(F.col("name").alias("flag"), "default_value"))
+    dim = defaults.select(F.col("name").alias("flag"), "default_value")
     return log.join(dim, "flag", "left").withColumn("old_value", F.coalesce("old_value", "default_value")).drop("default_value")
 
 
@@ -193,11 +192,14 @@ def fixed_window_quota(events: DataFrame, policies: list[tuple[str, int, int]] |
     """Q1: ``events(event_id, key, policy, at)`` with ``window_start`` and ``admitted``.
 
     Only the first permits of a window are ranked (limited before the shuffle); the last admitted event gives a
-    threshold that all events of the window are compared with.
+    threshold that all events of the window are compared with. Events of a policy that is not listed are not limited:
+    they are admitted and have no window.
     """
     policies = policies or POLICIES
     dim = events.sparkSession.createDataFrame(policies, "policy string, permit int, seconds int")
-    rows = events.join(F.broadcast(dim), "policy")
+    rows = events.join(dim, "policy")
+    free = events.join(dim.select("policy"), "policy", "left_anti").select(
+        *events.columns, F.lit(None).cast("timestamp").alias("window_start"), F.lit(True).alias("admitted"))
     width = F.col("seconds").cast("long") * 1_000_000
     start = F.floor(F.unix_micros("at") / width) * width
     rows = rows.withColumn("window_start", F.timestamp_micros(start))
@@ -206,7 +208,7 @@ def fixed_window_quota(events: DataFrame, policies: list[tuple[str, int, int]] |
     top = rows.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= max(p[1] for p in policies))
     last = top.filter(F.col("_rn") <= F.col("permit")).groupBy(*group).agg(F.max(F.struct("at", "event_id")).alias("_last"))
     return rows.join(last, group).withColumn("admitted", F.struct("at", "event_id") <= F.col("_last")).select(
-        *events.columns, "window_start", "admitted")
+        *events.columns, "window_start", "admitted").unionByName(free)
 
 
 def _anchored(limit: int, seconds: int):

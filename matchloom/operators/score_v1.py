@@ -35,11 +35,14 @@ def with_match_score(df: DataFrame, matches: str = "matches") -> DataFrame:
     })
 
 
-def match_score(matches: DataFrame) -> DataFrame:
-    """C1 over the long form ``(cv_id, job_id, skill_id, weight, credit)``, summed in weight and id order."""
+def match_score(matches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """C1 over the long form ``(cv_id, job_id, skill_id, weight, credit)``, summed in weight and id order, for every
+    pair of ``pairs(cv_id, job_id)``; one without requirements scores 0."""
     item = F.struct((-F.col("weight")).alias("o"), "skill_id", "weight", "credit")
     packed = matches.groupBy("cv_id", "job_id").agg(F.sort_array(F.collect_list(item)).alias("matches"))
-    return with_match_score(packed).select("cv_id", "job_id", "match", "match_confidence")
+    every = pairs.select("cv_id", "job_id").join(packed, ["cv_id", "job_id"], "left")
+    none = F.array().cast(packed.schema["matches"].dataType)
+    return with_match_score(every.withColumn("matches", F.coalesce("matches", none))).select("cv_id", "job_id", "match", "match_confidence")
 
 
 def structure_value(contact: str = "has_contact", experience: str = "has_experience",

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dims import broadcast_if_small
-from ..functions.similarity import jaro_winkler, key_udf, segment_udfs
+from ..functions.similarity import in_reach, jaro_winkler, key_udf, segment_udfs
 
 
 def normalized_levenshtein(a: Column, b: Column) -> Column:
@@ -20,9 +19,16 @@ def _spread(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _jaro_winkler_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``left`` is the small side: the lengths it has decide which keys a word of ``right`` gets, and one that is out of
+    reach of all of them is dropped before."""
     keys = key_udf(threshold)
-    lk = broadcast_if_small(left.select("a", F.explode(keys("a")).alias("k")))
-    rk = _spread(right, "b").select("b", F.explode(keys("b")).alias("k"))
+
+    def keyed(words: DataFrame, col: str, lengths: Column) -> DataFrame:
+        near = F.filter("_of", lambda n: in_reach(F.length(col), n, threshold))
+        return words.withColumn("_of", lengths).withColumn("_n", near).filter("size(_n) > 0").select(col, F.explode(keys(col, "_n")).alias("k"))
+
+    lk = keyed(left, "a", F.sequence(F.lit(1), 4 * F.length("a") + 4))
+    rk = keyed(_spread(right, "b"), "b", left.agg(F.collect_set(F.length("a"))).scalar())
     pairs = _spread(rk.join(lk, "k").select("a", "b"), "a", "b").distinct()
     return pairs.withColumn("score", jaro_winkler("a", "b")).filter(F.col("score") >= threshold)
 
@@ -31,7 +37,7 @@ def _levenshtein_pairs(left: DataFrame, right: DataFrame, distance: int) -> Data
     """Segment keys: a word cut in ``distance + 1`` parts keeps one part unchanged, shifted by at most
     ``distance``, in every word within that distance. Words too short to cut meet on their length only."""
     cut, probe = segment_udfs(distance)
-    lk = broadcast_if_small(left.select("a", F.explode(cut("a")).alias("k")))
+    lk = left.select("a", F.explode(cut("a")).alias("k"))
     rk = _spread(right, "b").select("b", F.explode(probe("b")).alias("k"))
     pairs = rk.join(lk, "k").select("a", "b").distinct()
     return pairs.withColumn("score", F.levenshtein("a", "b")).filter(F.col("score") <= distance)

@@ -16,6 +16,7 @@ from ..functions.wordlists import (
     IMPORT_HEADERS,
     INJECTION_PATTERNS,
     MAX_HEADER_WORDS,
+    STEM_SUFFIXES,
 )
 
 # --- T1-T3: words ---------------------------------------------------------------------------------
@@ -159,7 +160,7 @@ def section_warnings(df: DataFrame, key: str = "doc_id", col: str = "text") -> D
 _EMAIL = r"(?U)[\w.\-+]+@[\w\-]+\.[\w.\-]+"
 _PHONE = r"(?U)\+?\d[\d \-().]{6,}\d"
 _YEAR = r"(?U)\b(?:19|20)\d{2}\b"
-_MAX_SUFFIX = 8
+_MAX_SUFFIX = max(map(len, STEM_SUFFIXES))
 
 
 class VerbMatcher:
@@ -250,10 +251,11 @@ def redact(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def redaction_audit(df: DataFrame, key: str, col: str) -> DataFrame:
-    """Placeholders added per kind and text."""
-    fit = df.filter(F.coalesce(F.length(col), F.lit(0)) <= MAX_REDACT_CHARS)
-    work = fit.select(key, F.col(col).alias("_raw"), redacted(F.col(col)).alias("_clean"))
-    return work.select(key, *[
+    """Placeholders added per kind and text; over-long texts have no counts but the code of their rejection."""
+    clean, rejects = redact(df.select(key, col, F.col(col).alias("_raw")), [col])
+    work = clean.select(key, "_raw", F.col(col).alias("_clean"), F.lit(None).cast("string").alias("error_code")).unionByName(
+        rejects.select(key, F.lit(None).cast("string").alias("_raw"), F.lit(None).cast("string").alias("_clean"), "error_code"))
+    return work.select(key, "error_code", *[
         _count_of(F.col("_clean"), F.col("_raw"), mark).alias("n_" + mark.lower())
         for mark in ("EMAIL", "PHONE", "URL", "ADDRESS")
     ])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dims import broadcast_if_small
 from ..functions.wordlists import CATEGORY_BASE, JOB_HEADERS, SECTION_MULTIPLIER
 from ..sources.lexicon import Lexicon
 from .lexicon import lexicon_index, scan_occurrences, sections_of
@@ -32,7 +31,7 @@ def extract_requirements(jobs: DataFrame, lexicon: Lexicon, headers: dict[str, s
     hits = scan_occurrences(sections, lexicon_index(lexicon) if index is None else index, key)
     rank = _lookup(F.col("label"), SECTION_MULTIPLIER, 0.6)
     best = hits.groupBy(key, "skill_id").agg(F.max_by("label", rank).alias("section"), F.count(F.lit(1)).alias("n"))
-    names = broadcast_if_small(lexicon.entries.select("skill_id", F.col("canonical").alias("display"), "category"))
+    names = lexicon.entries.select("skill_id", F.col("canonical").alias("display"), "category")
     return best.join(names, "skill_id").select(
         key, "skill_id", "display", "category", "section", "n",
         requirement_weight(F.col("category"), F.col("section"), F.col("n")).alias("weight"))

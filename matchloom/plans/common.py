@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.dims import pin_if_small
 from ..functions.wordlists import PROTECTED_TOKENS, STEM_SUFFIXES
-from ..sources.tables import spread_if_narrow
 from ..sources.lexicon import Lexicon, lexicon_from_skills
 
 
@@ -20,7 +18,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread_if_narrow(df) if name == "documents" else df
+    # The generated corpus is one file of one row group, which is one task; a real one has many and is not dealt out.
+    return df.repartition(spark.sparkContext.defaultParallelism) if name == "documents" else df
 
 
 # Frequent words of the generated prose, used as section headers and verbs.
@@ -61,7 +60,7 @@ def skills_of_benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf: str) -> Lexicon:
-    skills, _ = pin_if_small(skills_of_benchmark(spark, sf))
+    skills = skills_of_benchmark(spark, sf)
     return lexicon_from_skills(skills, LEXICON_VERSION)
 
 

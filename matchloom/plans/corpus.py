@@ -54,15 +54,15 @@ def t6(spark, sf):
 
 
 def t7(spark, sf):
-    clean, _ = text.redact(c.table(spark, sf, "documents").select("doc_id", "text"), ["text"])
-    return clean
+    clean, rejects = text.redact(c.table(spark, sf, "documents").select("doc_id", "text"), ["text"])
+    return clean.withColumn("error_code", F.lit("")).unionByName(rejects.withColumn("text", F.lit("")))
 
 
 def t7_audit(spark, sf):
     turns = c.table(spark, sf, "conversations").select(
         F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("id"), "text")
     docs = c.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
-    return text.redaction_audit(turns.unionByName(docs), "id", "text")
+    return text.redaction_audit(turns.unionByName(docs), "id", "text").na.fill("", ["error_code"]).na.fill(-1)
 
 
 SCREEN = ["the the", "que la", "de la"]
@@ -274,12 +274,14 @@ ORACLES = {
             OR regexp_matches(text, '(^|[^\\pL\\pN_])(19|20)\\d{{2}}([^\\pL\\pN_]|$)') AS has_experience,
           action_verbs, quantified, word_count, coalesce(sections_present, '') AS sections_present
         FROM documents d JOIN labels USING (doc_id) JOIN agg USING (doc_id)""",
-    "t7_redact": f"SELECT doc_id, {_sql_redact('text')} AS text FROM documents WHERE length(text) <= 100000",
+    "t7_redact": f"""SELECT doc_id, CASE WHEN length(text) > 100000 THEN '' ELSE {_sql_redact('text')} END AS text,
+        CASE WHEN length(text) > 100000 THEN 'redaction_failure' ELSE '' END AS error_code FROM documents""",
     "t7_redaction_audit": f"""WITH src AS (
           SELECT conv_id || '-' || turn AS id, text FROM conversations UNION ALL SELECT 'd' || doc_id, text FROM documents),
         r AS (SELECT id, text, {_sql_redact('text')} AS cleaned FROM src WHERE length(text) <= 100000)
-        SELECT id, {_added('EMAIL')} AS n_email, {_added('PHONE')} AS n_phone, {_added('URL')} AS n_url,
-          {_added('ADDRESS')} AS n_address FROM r""",
+        SELECT id, '' AS error_code, {_added('EMAIL')} AS n_email, {_added('PHONE')} AS n_phone, {_added('URL')} AS n_url,
+          {_added('ADDRESS')} AS n_address FROM r
+        UNION ALL SELECT id, 'redaction_failure', -1, -1, -1, -1 FROM src WHERE length(text) > 100000""",
     "t8_quarantine": f"""SELECT conv_id, turn, CASE WHEN {_bad('t', SCREEN)} THEN 'quarantined' ELSE 'clean' END AS verdict
         FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS t FROM conversations)""",
     "t9_validate_requests": f"""WITH {c.SQL_PAIRS}, r AS (

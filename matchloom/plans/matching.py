@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.dims import pin_if_small
 from ..operators import lexicon as lx
 from ..operators import match, score_v1, text, vacancy
 from . import common as c
@@ -16,7 +15,7 @@ class Inputs:
 
     def __init__(self, spark, sf: str):
         self.lexicon = c.lexicon(spark, sf)
-        index, _ = pin_if_small(lx.lexicon_index(self.lexicon))
+        index = lx.lexicon_index(self.lexicon)
         self.edges = lx.lexicon_edges(self.lexicon, c.CONFUSABLE)
         folded = tx.with_folded(c.cvs(spark, sf), "text", "folded")
         self.docs = text.with_sections(folded, c.HEADERS, "header")
@@ -104,8 +103,8 @@ def m7_fuzzy(spark, sf):
 
 
 def c1(spark, sf):
-    rows = match.match_rows(Inputs(spark, sf).matched(False))
-    return score_v1.match_score(rows).select("cv_id", "job_id", _r("match"), "match_confidence")
+    i = Inputs(spark, sf)
+    return score_v1.match_score(match.match_rows(i.matched(False)), i.pairs).select("cv_id", "job_id", _r("match"), "match_confidence")
 
 
 def c2(spark, sf):
@@ -260,7 +259,7 @@ ORACLES = {
     "m6_resolve_cascade": f"{_BASE} SELECT cv_id, job_id, skill_id, tier, placement, round(credit, 6) AS credit FROM matches",
     "m7_match_pairs": f"{_BASE} SELECT cv_id, job_id, skill_id, tier, placement, round(weight, 6) AS weight, round(credit, 6) AS credit FROM matches",
     "c1_match_score": f"""{_SCORES} SELECT cv_id, job_id, round(match, 6) AS match,
-        CASE WHEN n >= 4 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS match_confidence FROM scored WHERE n > 0""",
+        CASE WHEN n >= 4 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS match_confidence FROM scored""",
     "c2_structure_score": f"""{_BASE}{_SIGNALS} SELECT cv_id, round(structure, 6) AS structure, concat_ws(',',
         CASE WHEN NOT has_contact THEN 'no-contact' END, CASE WHEN NOT has_experience THEN 'no-experience' END,
         'partial-measurement', CASE WHEN rep > 5 THEN 'keyword-stuffing' END) AS gates FROM parts""",

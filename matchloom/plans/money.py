@@ -25,15 +25,19 @@ def us(name):
 # --- inputs ---------------------------------------------------------------------------------------
 
 
-def entries(spark, sf):
+def ledger_events(spark, sf):
     e = c.table(spark, sf, "events")
     kind = (F.when(F.col("event_type") == "signup", "welcome").when(F.col("event_type") == "purchase", "purchase")
             .when(F.col("event_type") == "click", "consumption").when(F.col("event_type") == "error", "refund")
             .when(F.col("event_id") % 5 == 0, "batch_consumption"))
     ref = F.when(F.col("event_type").isin("click", "error"), F.col("event_id") % 200).otherwise(F.col("event_id")).cast("string")
-    return ledger.entries_from_events(e.select(
+    return e.select(
         F.col("event_id").alias("id"), "user_id", kind.alias("kind"), ref.alias("ref"),
-        F.when(F.col("event_type") == "purchase", 10).otherwise(7).alias("amount"), F.col("ts").alias("created_at")))
+        F.when(F.col("event_type") == "purchase", 10).otherwise(7).alias("amount"), F.col("ts").alias("created_at"))
+
+
+def entries(spark, sf):
+    return ledger.entries_from_events(ledger_events(spark, sf))[0]
 
 
 def payments(spark, sf):
@@ -95,7 +99,9 @@ def g2(spark, sf):
 
 
 def g3(spark, sf):
-    return entries(spark, sf).select("id", "user_id", "reason", "reference", "delta")
+    ok, bad = ledger.entries_from_events(ledger_events(spark, sf))
+    return ok.select("id", "user_id", "reason", "reference", "delta", F.lit("").alias("error_code")).unionByName(
+        bad.select("id", "user_id", F.lit("").alias("reason"), F.lit("").alias("reference"), F.lit(0).cast("long").alias("delta"), "error_code"))
 
 
 def g4(spark, sf):
@@ -358,13 +364,14 @@ ORACLES = {
         FROM fold f JOIN seq s ON s.user_id = f.user_id AND s.rn = f.rn + 1)
       SELECT id, user_id, delta, balance AS balance_after, verdict FROM fold WHERE id IS NOT NULL""",
     "g2_running_balance": f"{_ENT} SELECT id, user_id, balance_after FROM bal",
-    "g3_entries_from_events": f"{_ENT} SELECT id, user_id, reason, reference, delta FROM ent",
+    "g3_entries_from_events": f"""{_ENT} SELECT id, user_id, reason, reference, delta, '' AS error_code FROM ent
+        UNION ALL SELECT id, user_id, '', '', 0, 'UNKNOWN_KIND' FROM raw WHERE t NOT IN ('signup', 'purchase', 'click', 'error') AND NOT fifth""",
     "g4_valid_refunds": f"""{_ENT}, r AS (SELECT e.*, EXISTS (SELECT 1 FROM ent u WHERE u.user_id = e.user_id AND u.reason = 'Consumption'
           AND u.reference || ':refund' = e.reference AND (u.created_at, u.id) < (e.created_at, e.id)) AS ok FROM ent e WHERE reason = 'Refund')
         SELECT id, CASE WHEN NOT ok THEN 'NO_PRIOR_CONSUMPTION' WHEN row_number() OVER (PARTITION BY user_id, reference, ok ORDER BY created_at, id) = 1
           THEN 'VALID' ELSE 'ALREADY_REFUNDED' END AS verdict FROM r""",
     "g5_balance_view": f"{_ENT}{_VIEW} SELECT * FROM view",
-    "g6_history_page": f"""{_ENT}, r AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS k,
+    "g6_history_page": f"""{_ENT}, r AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, CAST(id AS VARCHAR) DESC) AS k,
           count(*) OVER (PARTITION BY user_id) AS n FROM bal)
         SELECT user_id, CAST((k - 1) // 5 + 1 AS INTEGER) AS page, CAST((k - 1) % 5 + 1 AS INTEGER) AS rn, id, k % 5 = 0 AND n > k AS more FROM r WHERE k <= 10""",
     "g7_spend_eligibility": f"""{_ENT}{_VIEW} SELECT c_custkey AS request_id, c_custkey % 400 AS user_id, c_custkey % 200 AS required, coalesce(balance, 0) AS balance,

@@ -32,8 +32,8 @@ def users(spark, sf):
 
 
 def s1(spark, sf):
-    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
-    return tables.load_table(spark, sf, "orders.parquet", schema)
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    return tables.load_table(spark, sf, "orders.parquet", schema).withColumn("o_orderdate", F.unix_micros("o_orderdate"))
 
 
 def s5(spark, sf):
@@ -73,7 +73,7 @@ def n3(spark, sf):
 
 
 def _revocations(spark, sf):
-    return _events(spark, sf, "error").filter("event_id % 10 = 0").select("user_id", "purpose", F.col("ts").alias("at"))
+    return _events(spark, sf, "error").select("user_id", "purpose", F.col("ts").alias("at"))
 
 
 def n3_revoke(spark, sf):
@@ -104,8 +104,8 @@ def n4_log(spark, sf):
 
 
 def _erased(spark, sf):
-    asked = _events(spark, sf, "error").filter("event_id % 4 = 0").select("user_id", F.col("ts").alias("at"))
-    payments = c.table(spark, sf, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("user_id"))
+    asked = _events(spark, sf, "error").select("user_id", F.col("ts").alias("at"))
+    payments = c.table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("user_id"))
     ledger = c.table(spark, sf, "events").select("event_id", "user_id")
     return pv.erase(users(spark, sf), payments, consents(spark, sf), {"ledger": ledger}, asked)
 
@@ -153,7 +153,7 @@ def quota_events(spark, sf):
     return c.table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_type").alias("policy"), F.col("ts").alias("at"))
 
 
-QUOTA = [("view", 1, 86_400), ("click", 2, 86_400 * 7), ("purchase", 3, 86_400 * 7), ("error", 1, 3_600), ("signup", 60, 60)]
+QUOTA = [("view", 1, 86_400), ("click", 2, 86_400 * 7), ("purchase", 3, 86_400 * 7), ("error", 1, 3_600)]
 
 
 def q1(spark, sf):
@@ -176,18 +176,18 @@ _CONS = f"""cons AS (SELECT event_id AS id, user_id, CAST(event_id % 4 AS INTEGE
     CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 DAY END AS revoked_at, {_PURPOSE} AS purpose FROM events WHERE event_type = 'signup'),
   act AS (SELECT * FROM cons WHERE revoked_at IS NULL QUALIFY row_number() OVER (PARTITION BY user_id, purpose ORDER BY consent_date DESC, id DESC) = 1),
   lat AS (SELECT * FROM cons QUALIFY row_number() OVER (PARTITION BY user_id, purpose ORDER BY consent_date DESC, id DESC) = 1)"""
-_REV = f"rev AS (SELECT user_id, {_PURPOSE} AS purpose, ts FROM events WHERE event_type = 'error' AND event_id % 10 = 0)"
+_REV = f"rev AS (SELECT user_id, {_PURPOSE} AS purpose, ts FROM events WHERE event_type = 'error')"
 _GATE = f"""WITH {_CONS}, asked AS (SELECT event_id AS request_id, user_id * 3 % 200 AS user_id, CASE WHEN event_id % 3 = 0 THEN 'access' ELSE 'rectify' END AS kind,
     CASE WHEN event_id % 5 < 3 THEN event_id || '@new.org' END AS email, CASE WHEN event_id % 7 < 3 THEN 'N' || event_id END AS name, ts FROM events WHERE event_type = 'click'),
   g AS (SELECT a.*, EXISTS (SELECT 1 FROM act WHERE act.user_id = a.user_id AND purpose = CASE kind WHEN 'access' THEN 'data-access' ELSE 'rectification' END) AS ok,
     EXISTS (SELECT 1 FROM customer WHERE c_custkey = a.user_id) AS known FROM asked a)"""
-_ERASE = f"""WITH {_CONS}, asked AS (SELECT user_id, min(ts) AS at_ts FROM events WHERE event_type = 'error' AND event_id % 4 = 0 GROUP BY user_id),
-  okd AS (SELECT *, EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 9 = 0 AND o_custkey = user_id) AS payer FROM asked
+_ERASE = f"""WITH {_CONS}, asked AS (SELECT user_id, min(ts) AS at_ts FROM events WHERE event_type = 'error' GROUP BY user_id),
+  okd AS (SELECT *, EXISTS (SELECT 1 FROM orders WHERE o_custkey * 2 = user_id) AS payer FROM asked
     WHERE user_id IN (SELECT user_id FROM act WHERE purpose = 'data-access') AND user_id IN (SELECT c_custkey FROM customer))"""
 _CHG = "chg AS (SELECT event_id AS id, 'f' || (user_id % 5) AS flag, ts, event_id % 2 = 0 AS v FROM events WHERE event_type = 'error')"
 
 ORACLES = {
-    "s1_load_table": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
+    "s1_load_table": "SELECT * REPLACE (epoch_us(o_orderdate) AS o_orderdate) FROM orders",
     "s5_upsert": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'click' DESC) = 1",
     "s7_upsert_users": """WITH l AS (SELECT ['LinkedIn', 'google', 'myspace'][event_id % 3 + 1] AS provider, CASE WHEN event_id % 50 = 0 THEN ' ' ELSE CAST(user_id * 11 AS VARCHAR) END AS provider_id,
           CASE WHEN event_id % 20 = 7 THEN 'a@b@c.org' ELSE event_id || '@site-x.org' END AS email, 'n' || event_id AS name, ts, event_id FROM events),
@@ -234,9 +234,9 @@ ORACLES = {
     "f2_flag_audit": f"""WITH {_CHG} SELECT id, flag, coalesce(CAST(lag(v) OVER (PARTITION BY flag ORDER BY ts, id) AS VARCHAR), CASE flag WHEN 'f0' THEN 'true' ELSE 'none' END) AS old_value,
         v AS new_value FROM chg""",
     "d1_expire": """SELECT CASE WHEN ts + INTERVAL 7 DAY < TIMESTAMP '2024-01-20' THEN 'deleted' ELSE 'kept' END AS what, count(*) AS n FROM events GROUP BY 1""",
-    "q1_fixed_window_quota": """WITH p(t, permit, s) AS (VALUES ('view', 1, 86400), ('click', 2, 604800), ('purchase', 3, 604800), ('error', 1, 3600), ('signup', 60, 60)),
-        e AS (SELECT event_id, user_id, event_type, ts, permit, epoch_us(ts) // (s * 1000000::BIGINT) * (s * 1000000::BIGINT) AS w FROM events JOIN p ON t = event_type)
-        SELECT event_id, w AS window_start, row_number() OVER (PARTITION BY user_id, event_type, w ORDER BY ts, event_id) <= permit AS admitted FROM e""",
+    "q1_fixed_window_quota": """WITH p(t, permit, s) AS (VALUES ('view', 1, 86400), ('click', 2, 604800), ('purchase', 3, 604800), ('error', 1, 3600)),
+        e AS (SELECT event_id, user_id, event_type, ts, permit, epoch_us(ts) // (s * 1000000::BIGINT) * (s * 1000000::BIGINT) AS w FROM events LEFT JOIN p ON t = event_type)
+        SELECT event_id, coalesce(w, -1) AS window_start, permit IS NULL OR row_number() OVER (PARTITION BY user_id, event_type, w ORDER BY ts, event_id) <= permit AS admitted FROM e""",
     "q2_anchored_window_quota": """WITH RECURSIVE s AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
         walk AS (SELECT event_id, user_id, rn, t, t AS anchor, 1 AS n FROM s WHERE rn = 1
           UNION ALL SELECT s.event_id, s.user_id, s.rn, s.t, CASE WHEN s.t - anchor >= 172800000000 THEN s.t ELSE anchor END, CASE WHEN s.t - anchor >= 172800000000 THEN 1 ELSE n + 1 END

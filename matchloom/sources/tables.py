@@ -29,13 +29,6 @@ def load_table(spark: SparkSession, directory: str, name: str, schema: str | Non
     return spark.read.schema(schema or SCHEMAS[name]).format(fmt).load(f"{directory}/{name}")
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Spread rows over the cores when a scan has fewer tasks than cores, as with one small file of one row
-    group; text work is CPU-bound. A scan that is wide enough is left alone, so no corpus is shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Append to a table of audit rows."""
     writer = df.write.mode("append")

@@ -49,6 +49,31 @@ def test_ledger_fixture_and_random_histories(spark):
     assert [got[i] for i in range(4)] == [3, 2, "NEGATIVE_BALANCE", 4]
 
 
+def test_pages_lose_no_row(spark):
+    """Many rows at one instant, in 2024 and where ticks no longer fit a double."""
+    rows = [(i, 1 + i % 2, datetime(2024 if i % 4 < 2 else 2031, 3, 1) + timedelta(microseconds=7 * (i // 9))) for i in range(150)]
+    frame = spark.createDataFrame(rows, "id long, user_id long, created_at timestamp").coalesce(1).cache()
+    seen, cursors = [], None
+    while True:
+        page = ledger.history_page(frame, 25, cursors).collect()
+        page = page if cursors is None else [r for r in page if r["user_id"] in live]
+        seen += [r["id"] for r in page]
+        following = [(r["user_id"], r["next_cursor"]) for r in page if r["next_cursor"]]
+        if not following:
+            break
+        live = {u for u, _ in following}
+        cursors = spark.createDataFrame(following, "user_id long, cursor string")
+    frame.unpersist()
+    assert sorted(seen) == [r[0] for r in rows]
+
+
+def test_unknown_events_are_rejected(spark):
+    events = spark.createDataFrame([(1, 1, "welcome", None, None, T0), (2, 1, "gift", "x", 5, T0), (3, 1, None, "x", 5, T0)],
+                                   "id long, user_id long, kind string, ref string, amount long, created_at timestamp")
+    ok, bad = ledger.entries_from_events(events)
+    assert [r["reference"] for r in ok.collect()] == ["welcome:1"] and {(r["id"], r["error_code"]) for r in bad.collect()} == {(2, "UNKNOWN_KIND"), (3, "UNKNOWN_KIND")}
+
+
 def test_running_equals_window_under_any_partitioning(spark):
     rng = random.Random(9)
     rows = [(i, rng.choice("aaab"), rng.randint(-5, 5), T0 + timedelta(minutes=rng.randint(0, 9_000))) for i in range(900)]

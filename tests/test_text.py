@@ -118,6 +118,18 @@ def test_jaro_winkler_join_misses_nothing(spark):
     assert round(sim.jaro_winkler_python("kubernetes", "kubernets"), 2) == 0.98
 
 
+def test_jaro_winkler_join_of_long_words(spark):
+    rng = random.Random(5)
+    left = [*_words(6, 30, "abcdef", 30), *("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (41, 60, 90, 200))]
+    right = [w[:i] + rng.choice("abx") + w[i + rng.randint(0, 2):] for w in left for i in (1, len(w) // 2, len(w) - 1)] + ["ab" * 5000]
+    want = {(a, b) for a in left for b in set(right) if abs(len(a) - len(b)) < 500 and sim.jaro_winkler_python(a, b) >= 0.92}
+    mk = lambda ws: spark.createDataFrame([(w,) for w in ws], "token string")
+    got = {(r["a"], r["b"]) for r in similar.similar_terms(mk(left), mk(right), "jaro_winkler", 0.92).collect()}
+    assert got == want and any(len(a) >= 90 for a, _ in want)
+    assert len(sim.jaro_winkler_keys("abcdefghij" * 16, 0.92, range(1, 400))) < 20_000
+    assert not spark.createDataFrame([(10_000,)], "n int").filter(sim.in_reach(F.col("n"), F.lit(30), 0.92)).count()
+
+
 def test_levenshtein_join_misses_nothing(spark):
     left, right = _words(3, 60, "abc", 6), _words(4, 200, "abc", 8)
 
