@@ -1,7 +1,7 @@
 """Inputs the generated tables stand in for, and SQL fragments shared by the checks.
 
-Documents play CVs, benchmark passages play vacancies and also give the skill lexicon (their first words
-as canonical names and aliases), so multi-word hits do occur in the corpus.
+Documents play CVs, benchmark passages play vacancies and also give the skill lexicon (their opening as canonical
+name, two-word phrases and single words of the whole passage as aliases), so multi-word hits do occur in the corpus.
 """
 
 from __future__ import annotations
@@ -44,14 +44,19 @@ def skills_of_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     def picked(i: int) -> F.Column:
         return F.get("w", F.lit(i))
 
-    item = F.col("item_id")
+    def each(first: int, last: F.Column, step: int, term) -> F.Column:
+        places = F.when(last >= first, F.sequence(F.lit(first), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, term)
+
+    item, n = F.col("item_id"), F.size("w")
+    phrases = each(3, n - 2, 3, lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
     return items.select(
         item.cast("int").alias("entry_ord"),
         name(item).alias("id"),
         F.when(item % 3 == 0, F.concat(picked(0), F.lit("s"))).otherwise(F.array_join(F.slice("w", 1, 3), " ")).alias("canonical"),
         F.element_at(F.array(F.lit("hardSkill"), F.lit("tool"), F.lit("softSkill"), F.lit("other")),
                      (item % 4 + 1).cast("int")).alias("category"),
-        F.array_compact(F.array(F.concat_ws(" ", picked(3), picked(4)), picked(6), picked(8))).alias("aliases"),
+        F.concat(phrases, each(8, n - 1, 16, lambda i: F.get("w", i))).alias("aliases"),
         F.array(name(item + 1)).alias("implies"),
         F.array(name(item + 2)).alias("related"),
         F.array(name(item + 5)).alias("broader"),
@@ -150,7 +155,8 @@ SQL_SKILLS = f"""
     skills AS (
       SELECT item_id AS entry_ord, 'b' || item_id AS skill_id, CASE WHEN item_id % 3 = 0 THEN w[1] || 's' ELSE array_to_string(w[1:3], ' ') END AS canonical,
         ['hard', 'tool', 'soft', 'generic'][item_id % 4 + 1] AS category,
-        list_filter([concat_ws(' ', w[4], w[5]), w[7], w[9]], lambda x: x IS NOT NULL) AS aliases,
+        list_concat(list_transform(range(4, len(w), 3), lambda i: w[i] || ' ' || w[i + 1]),
+          list_transform(range(9, len(w) + 1, 16), lambda i: w[i])) AS aliases,
         'b' || (item_id + 1) AS implies, 'b' || (item_id + 2) AS related, 'b' || (item_id + 3) AS confusable
       FROM (SELECT item_id, {sql_words('text')} AS w FROM benchmark)),
     names AS (
