@@ -122,6 +122,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def evaluated(df: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` of ``df``, worked out once per row: a filter on them is not pushed below, where it would repeat them."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def words(norm: Column) -> Column:
     """Words of a normal form; empty array for an empty text."""
     return F.filter(F.split(norm, " "), lambda w: w != "")

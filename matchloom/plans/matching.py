@@ -18,7 +18,8 @@ class Inputs:
         index = lx.lexicon_index(self.lexicon)
         self.edges = lx.lexicon_edges(self.lexicon, c.CONFUSABLE)
         folded = tx.with_folded(c.cvs(spark, sf), "text", "folded")
-        self.docs = text.with_sections(folded, c.HEADERS, "header")
+        # Placement, words and signals all start from the cut text, so it is kept when first computed; nothing runs here.
+        self.docs = text.with_sections(folded, c.HEADERS, "header").persist()
         sections = self.docs.select("cv_id", F.explode("sections").alias("s")).select("cv_id", "s.ord", "s.label", "s.folded")
         self.placement = lx.skill_placement(lx.scan_skills(sections, index, "cv_id"), "cv_id")
         self.requirements = vacancy.extract_requirements(c.jobs(spark, sf), self.lexicon, c.VACANCY_HEADERS, index=index)

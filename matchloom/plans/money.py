@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import invoices as inv
 from ..operators import ledger, payments as pay, subscriptions as sub
 from . import common as c
@@ -160,8 +161,9 @@ def p4(spark, sf):
 
 
 def _merged(spark, sf):
-    events = pay.verify_hmac(webhooks(spark, sf), SECRET).filter("valid_signature")
-    parsed = pay.parse_webhooks(events).filter("not is_recurring").select("event_id", "transaction_id", "mapped_status", "received_at")
+    read = pay.parse_webhooks(pay.verify_hmac(webhooks(spark, sf), SECRET))
+    read = tx.evaluated(read, "event_id", "transaction_id", "mapped_status", "received_at", "valid_signature", "is_recurring")
+    parsed = read.filter("valid_signature and not is_recurring").drop("valid_signature", "is_recurring")
     return pay.merge_payments(payments(spark, sf), parsed)
 
 
