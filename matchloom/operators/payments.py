@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .privacy import flag_asof
+
 TERMINAL = ["Approved", "Failed", "Error"]
 
 # Credit packages (id, credits, price in cents, currency).
@@ -111,6 +113,15 @@ def fan_out_approved(payments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries, invoices
 
 
+def gated_fan_out(payments: DataFrame, flag: Column, changes: DataFrame, defaults: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """P6 behind F1: ``(ledger entries, invoice requests, rejected)``. An approved payment is invoiced regardless; it is
+    credited only while its flag is on at ``paid_at``. One whose flag is unknown is not credited and is rejected."""
+    ok = payments.filter("status = 'Approved'").withColumns({"flag": flag, "at": F.col("paid_at")})
+    known, unknown = flag_asof(ok, changes, defaults)
+    entries, _ = fan_out_approved(known.filter("value").drop("flag", "at", "value"))
+    return entries, fan_out_approved(payments)[1], unknown.drop("flag", "at")
+
+
 def stale_pending(payments: DataFrame, as_of: Column, minutes: int = 5) -> DataFrame:
     """P7."""
     cutoff = as_of - F.expr(f"interval {minutes} minutes")

@@ -181,6 +181,18 @@ def p6(spark, sf):
         invoices.select(F.lit("invoice").alias("target"), "user_id", "reference", F.col("amount_in_cents").alias("amount"), us("created_at")))
 
 
+def p6_gated(spark, sf):
+    """A failed payment switches the flag of its users' group: on if its id is even."""
+    paid = _merged(spark, sf)[0]
+    changes = payments(spark, sf).filter("status = 'Failed'").select(
+        "id", F.concat(F.lit("f"), F.col("user_id") % 7).alias("flag"), F.col("created_at").alias("changed_at"), (F.col("id") % 2 == 0).alias("new_value"))
+    defaults = spark.createDataFrame([("f1", True), ("f2", False)], "name string, default_value boolean")
+    group = F.when(F.col("user_id") % 7 < 6, F.concat(F.lit("f"), F.col("user_id") % 7)).otherwise("f9")
+    credit, invoices, lost = pay.gated_fan_out(paid, group, changes, defaults)
+    return credit.select(F.lit("ledger").alias("target"), "reference").unionByName(invoices.select(F.lit("invoice").alias("target"), "reference")).unionByName(
+        lost.select(F.col("error_code").alias("target"), F.col("id").cast("string").alias("reference")))
+
+
 def p7(spark, sf):
     return pay.stale_pending(payments(spark, sf), ts(PAY_AS_OF)).select("id", "user_id", us("created_at"))
 
@@ -290,7 +302,7 @@ QUERIES = {
     "g1_apply_entries": g1, "g2_running_balance": g2, "g3_entries_from_events": g3, "g4_valid_refunds": g4, "g5_balance_view": g5,
     "g6_history_page": g6, "g7_spend_eligibility": g7, "g8_audit_ledger": g8,
     "p1_attach_package": p1, "p2_dedupe_checkouts": p2, "p3_verify_hmac": p3, "p4_parse_webhooks": p4, "p5_merge_payments": p5,
-    "p5_rejected_webhooks": p5_rejected, "p6_fan_out_approved": p6, "p7_stale_pending": p7, "p8_reconcile": p8, "p9_unsettled": p9,
+    "p5_rejected_webhooks": p5_rejected, "p6_fan_out_approved": p6, "p6_gated_fan_out": p6_gated, "p7_stale_pending": p7, "p8_reconcile": p8, "p9_unsettled": p9,
     "p10_payment_page": p10, "p11_audit_payments": p11,
     "u1_create_subscriptions": u1, "u2_fold_charges": u2, "u3_illegal_transitions": u3, "u4_due_for_retry": u4,
     "u5_current_subscription": u5, "u5_overlapping_subscriptions": u5_overlaps, "u6_cancel": u6, "u7_grants": u7,
@@ -396,6 +408,12 @@ ORACLES = {
     "p5_rejected_webhooks": f"{_MERGE} SELECT event_id, 'PAYMENT/NOT_FOUND' AS error_code FROM ev WHERE NOT EXISTS (SELECT 1 FROM pays WHERE provider_tx_id = tx)",
     "p6_fan_out_approved": f"""{_MERGE} SELECT 'ledger' AS target, user_id, 'payment:' || id AS reference, CAST(credits AS BIGINT) AS amount, epoch_us(paid_at) AS created_at FROM merged WHERE status = 'Approved'
         UNION ALL SELECT 'invoice', user_id, CAST(id AS VARCHAR), amount_in_cents, epoch_us(paid_at) FROM merged WHERE status = 'Approved'""",
+    "p6_gated_fan_out": f"""{_MERGE}, ok AS (SELECT *, CASE WHEN user_id % 7 < 6 THEN 'f' || (user_id % 7) ELSE 'f9' END AS flag FROM merged WHERE status = 'Approved'),
+        chg AS (SELECT 'f' || (user_id % 7) AS flag, created_at AS ts, arg_max(id % 2 = 0, id) AS v FROM pays WHERE status = 'Failed' GROUP BY ALL),
+        flagged AS (SELECT id, coalesce(v, CASE ok.flag WHEN 'f1' THEN true WHEN 'f2' THEN false END) AS value FROM ok ASOF LEFT JOIN chg ON ok.flag = chg.flag AND ok.paid_at >= chg.ts)
+        SELECT 'ledger' AS target, 'payment:' || id AS reference FROM flagged WHERE value
+        UNION ALL SELECT 'invoice', CAST(id AS VARCHAR) FROM ok
+        UNION ALL SELECT 'FLAG_NOT_FOUND', CAST(id AS VARCHAR) FROM flagged WHERE value IS NULL""",
     "p7_stale_pending": f"""WITH {_PAY} SELECT id, user_id, epoch_us(created_at) AS created_at FROM pays WHERE status = 'Pending' AND provider_tx_id IS NOT NULL
         AND created_at <= TIMESTAMP '{PAY_AS_OF}' - INTERVAL 5 MINUTE""",
     "p8_reconcile": f"""WITH {_PAY} SELECT id, ['Approved', 'Failed', 'Error'][id % 5 + 1] AS status, epoch_us(TIMESTAMP '{PAY_AS_OF}') AS updated_at,
