@@ -51,10 +51,13 @@ def grant(records: DataFrame, requests: DataFrame, revocations: DataFrame | None
             out.filter("not _ok").select(*cols, F.lit("CONSENT/ALREADY_GRANTED").alias("error_code")))
 
 
-def consent_history(records: DataFrame) -> DataFrame:
-    """Rank of each record in its user's history, newest first."""
-    newest = Window.partitionBy("user_id").orderBy(F.col("consent_date").desc(), F.col("id").desc())
-    return records.withColumn("rank", F.row_number().over(newest))
+def consent_history(records: DataFrame, bucket_seconds: int = 86_400 * 30) -> DataFrame:
+    """Rank of each record in its user's history, newest first: all records less those before it, which are
+    counted bucket by bucket, so that a user with very many records is not one task."""
+    place = running(records, ["user_id"], ["consent_date", "id"], time_bucket("consent_date", bucket_seconds), [Running("_n", "count")])
+    total = records.groupBy(F.col("user_id").alias("_user")).agg(F.count(F.lit(1)).alias("_all"))
+    joined = place.join(total, F.col("user_id").eqNullSafe(F.col("_user")))
+    return joined.select(*records.columns, (F.col("_all") - F.col("_n") + 1).cast("int").alias("rank"))
 
 
 def revoke(records: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
