@@ -28,7 +28,7 @@ _SLOTS = 20
 
 
 def letters(text: str) -> str:
-    """Lower-case letters, with one blank for whatever stands between; blank if there is no letter."""
+    """Lower-case letters (and signs that count as such in words), with one blank for whatever stands between."""
     return _NOT_LETTERS.sub(" ", text.lower())
 
 
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             for start in range(0, len(column), BATCH):
                 texts = [letters(x) for x in texts_of(column.slice(start, BATCH))]
                 out = m.scores(texts)
-                some = np.array([bool(x.strip()) for x in texts])
+                some = np.array([any(map(str.isalpha, x)) for x in texts])
                 best = out.argmax(1)
                 lang += np.where(some, names[best], NONE).tolist()
                 score.append(np.where(some, np.clip((out.max(1).astype(np.float64) + 1) / 2, 0.0, 1.0), 0.0))

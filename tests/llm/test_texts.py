@@ -183,6 +183,8 @@ def test_no_letters_no_labels_no_rows(spark, odd, empty):
     got = {r["doc_id"]: r for r in language_id.predict(odd, model).collect()}
     assert len(got) == odd.count() and "mark" in language_id.predict(odd, model).columns
     assert [got[i]["lang_pred"] for i in range(4)] == ["und"] * 4 and all(got[i]["score"] == 0 for i in range(4)) and got[8]["lang_pred"] == "en"
+    signs = spark.createDataFrame([("²½ ³", 1), ("12 _ !", 2), ("x", 3)], "text string, n int")
+    assert [r["lang_pred"] for r in language_id.predict(signs, model).orderBy("n").collect()] == ["und", "und", "en"]
     assert language_id.fit(empty, F.lit(True)) is None and language_id.predict(odd, None).filter("lang_pred = 'und'").count() == odd.count()
     assert language_id.predict(empty, model).count() == 0
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
