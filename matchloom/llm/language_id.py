@@ -25,6 +25,7 @@ NONE = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SLOTS = 20
+_PARTS = 256
 
 
 def letters(text: str) -> str:
@@ -98,8 +99,12 @@ def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, label_co
     from pyspark.sql import Window
 
     good = docs.filter(usable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    ranked = good.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    ids = good.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).distinct().withColumn("part", F.pmod(F.xxhash64("id", "label"), F.lit(_PARTS)))
+    # the least of each part of a label, then of the label: what meets in one task is bounded
+    for group in (["label", "part"], ["label"]):
+        order = Window.partitionBy(*group).orderBy(F.xxhash64("id"), "id")
+        ids = ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    ranked = ids.select("id", "label", "rank")
     picked = [tuple(r) for r in ranked.collect()]
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", docs.schema[label_col].dataType), T.StructField("rank", T.IntegerType())])
     chosen = docs.sparkSession.createDataFrame(picked, schema)
