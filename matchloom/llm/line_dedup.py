@@ -25,6 +25,9 @@ REPEATS = 2
 #: Rows of a bucket that meet in one cell; a fuller bucket is cut into blocks, and each pair of blocks is a cell.
 BLOCK = 512
 
+#: Shingles a worker keeps at once.
+KEPT_SHINGLES = 300_000
+
 #: What does not count at either end of a line.
 BLANKS = " \t\r\x0b\x0c"
 
@@ -44,6 +47,23 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both)
 
 
+class Shingled:
+    """Shingles of lines seen lately, of a bounded number in all, so that very long lines do not fill a worker."""
+
+    def __init__(self, size: int):
+        self.size, self.kept, self.total = size, {}, 0
+
+    def __call__(self, line: str) -> frozenset[str]:
+        found = self.kept.get(line)
+        if found is None:
+            found = shingles(line, self.size)
+            if self.total + len(found) > KEPT_SHINGLES:
+                self.kept, self.total = {}, 0
+            self.kept[line] = found
+            self.total += len(found)
+        return found
+
+
 def _bins(lines: list[str], size: int, bins: int) -> np.ndarray:
     """Least hash per bin and line; an empty bin takes the next filled one's, marked with its distance."""
     sizes = np.array([len(x) for x in lines])
@@ -52,8 +72,8 @@ def _bins(lines: list[str], size: int, bins: int) -> np.ndarray:
     h = np.zeros(len(code), np.uint32)
     padded = np.concatenate([code, np.zeros(size, np.uint32)])
     for k in range(size):
-        h = (h ^ padded[k:k + len(code)]) * np.uint32(0x01000193)
-        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x01000193)
+        h += padded[k:k + len(code)]
     n = np.maximum(sizes - size + 1, 1)
     row = np.repeat(np.arange(len(lines)), n)
     h = h[np.repeat(starts, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
@@ -62,8 +82,7 @@ def _bins(lines: list[str], size: int, bins: int) -> np.ndarray:
         for i in short.tolist():
             x = len(lines[i])
             for c in lines[i]:
-                x = (x ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
-                x ^= x >> 15
+                x = (x * 0x01000193 + ord(c)) & 0xFFFFFFFF
             h[(np.cumsum(n) - n)[i]] = x
     out = np.full(len(lines) * bins, 0xFFFFFFFF, np.uint32)
     for a, b in _MIX[:REPEATS]:
@@ -193,15 +212,12 @@ def _verified(size: int, similarity: float):
     """Candidate pairs with both lines: those similar enough."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Shingled(size)
         for batch in batches:
-            sets: dict[str, frozenset] = {}
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if y not in sets:
-                    if len(sets) > 200:
-                        sets.clear()
-                    sets[y] = shingles(y, size)
-                if jaccard(shingles(x, size), sets[y]) >= similarity:
+                # a line has at most as many shingles as places for them
+                if max(1, len(x) - size + 1) >= similarity * len(sets(y)) and jaccard(shingles(x, size), sets(y)) >= similarity:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
@@ -212,8 +228,9 @@ def _rest(size: int, similarity: float):
     """Cells of buckets that still hold lines of different components: links between those, as a forest."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Shingled(size)
         for part, edge in whole_groups(batches, CELL):
-            block_i, block_j, mark, root, line, side = (part.column(c).to_pylist() for c in ("i", "j", "mark", "root", "line", "side"))
+            block_i, block_j, mark, root, line, side, done = (part.column(c).to_pylist() for c in ("i", "j", "mark", "root", "line", "side", "done"))
             a, b = [], []
             for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if len({*root[s:t]}) < 2:
@@ -226,17 +243,19 @@ def _rest(size: int, similarity: float):
                         r = up[r]
                     return r
 
-                sets = [shingles(x, size) for x in line[s:t]]
                 two = block_i[s] != block_j[s]
                 for i in range(s, t):
                     for j in range(i + 1, t):
-                        if two and side[i] == side[j]:
+                        if done[i] or done[j] or two and side[i] == side[j]:
                             continue
                         p, q = top(root[i]), top(root[j])
                         if p == q:
                             continue
-                        m, n = len(sets[i - s]), len(sets[j - s])
-                        if min(m, n) >= similarity * max(m, n) and jaccard(sets[i - s], sets[j - s]) >= similarity:
+                        x = sets(line[i])
+                        if max(1, len(line[j]) - size + 1) < similarity * len(x):
+                            continue
+                        y = sets(line[j])
+                        if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and jaccard(x, y) >= similarity:
                             up[max(p, q)] = min(p, q)
                             a.append(mark[i])
                             b.append(mark[j])
@@ -270,14 +289,16 @@ def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float,
     near = stored(with_b.mapInArrow(_verified(size, similarity), "a binary, b binary"), "near-lines")
     first = stored(components(near, name="lines"), "line-groups")
 
-    rooted = rows.join(first, rows["mark"] == first["node"], "left").select("bucket", "mark", F.coalesce("component", "mark").alias("root"))
+    rooted = rows.join(first, rows["mark"] == first["node"], "left").select("bucket", "mark", "head", F.coalesce("component", "mark").alias("root"))
     rooted = stored(rooted, "rooted")
-    per = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n"))
-    open_ = per.filter("lo < hi").select("bucket", F.ceil(F.col("_n") / block).cast("long").alias("_blocks"))
+    per = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n"), F.min(F.struct("head", "mark")).alias("_c"))
+    # pairs with the centre have been verified, so of a bucket of two nothing is left
+    open_ = per.filter("lo < hi and _n > 2").select("bucket", F.col("_c.mark").alias("_centre"), F.ceil(F.col("_n") / block).cast("long").alias("_blocks"))
     dealt = rooted.join(open_, "bucket").withColumn("_mine", F.pmod(F.xxhash64("mark"), F.col("_blocks")))
     dealt = dealt.join(lines, "mark").withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     i, j = F.least("_mine", "_other"), F.greatest("_mine", "_other")
-    cells = dealt.select("bucket", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "mark", "root", "line")
+    cells = dealt.select("bucket", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "mark", "root", "line",
+                         (F.col("mark") == F.col("_centre")).alias("done"))
     more = cells.repartition(*CELL).sortWithinPartitions(*CELL, "mark").mapInArrow(_rest(size, similarity), "a binary, b binary")
     both = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(stored(more, "further-lines"))
     return components(both, name="all-lines")
@@ -287,15 +308,13 @@ def dropped_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     """``(_id, _text_hash, _drop)``: places of the lines that go, for documents that lose any."""
     signed = stored(_signed(docs, size, bands, rows), "signed-lines")
     groups = near_lines(docs, signed, size, similarity, block)
-    at = F.struct(*DOC, "place")
-    exact = signed.groupBy("mark").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"))
-    exact = exact.join(groups, exact["mark"] == groups["node"], "left").withColumn("root", F.coalesce("component", "mark"))
+    counts = signed.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # what is alone in its group needs no further look
-    lone = (F.col("n") == 1) & F.col("component").isNull()
-    several = stored(exact.filter(~lone).select("mark", "root", "at"), "line-classes")
-    keeper = several.groupBy("root").agg(F.min("at").alias("kept"))
-    named = several.select("mark", "root").join(keeper, "root").select("mark", "kept")
-    gone = signed.select("mark", *DOC, "place").join(named, "mark").filter(~at.eqNullSafe(F.col("kept")))
+    several = counts.join(groups, counts["mark"] == groups["node"], "full_outer").select(
+        F.coalesce("mark", "node").alias("mark"), F.coalesce("component", "mark").alias("root"))
+    found = stored(signed.select("mark", *DOC, "place").join(several, "mark").select("root", F.struct(*DOC, "place").alias("at")), "repeated-lines")
+    keeper = found.groupBy("root").agg(F.min("at").alias("kept"))
+    gone = found.join(keeper, "root").filter(~F.col("at").eqNullSafe(F.col("kept"))).select("at.*")
     return gone.groupBy(*DOC).agg(F.collect_set("place").alias("_drop"))
 
 
