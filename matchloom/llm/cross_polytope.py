@@ -77,14 +77,22 @@ def hasher(dim: int, tables: int, rotations: int, probes: int, seed: int) -> Has
     return Hasher(dim, tables, rotations, probes, seed)
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def packing(vectors: DataFrame, vec_col: str) -> str:
+    """How the components are packed: as they come, floats in half the bytes of doubles."""
+    return "<f4" if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else "<f8"
+
+
 def directions(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(id, mark, vector)``: packed doubles of each vector that can link, and a 128-bit mark of them. ``mark`` and
-    ``vector`` are null for a null id, and for vectors that are null, empty, zero or hold null or non-finite components."""
+    """``(id, mark, vector)``: packed components of each vector that can link, and a 128-bit mark of them. ``mark`` and
+    ``vector`` are null for a null id, and for vectors that are null, empty, zero or hold null or non-finite components.
+    Components stay floats if they are floats; doubles are divided by the largest, so that squares neither vanish nor
+    overflow."""
+    form = packing(vectors, vec_col)
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +101,10 @@ def directions(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 v = None
                 if key is not None and x.is_valid and len(x) and not x.values.null_count:
-                    v = x.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    with np.errstate(all="ignore"):
-                        scale = np.abs(v).max()
-                        usable = np.isfinite(scale) and scale > 0
-                    v = v / scale if usable else None  # so that squares neither vanish nor overflow
+                    v = x.values.to_numpy(zero_copy_only=False) + 0  # no negative zeros
+                    scale = np.abs(v).max()
+                    usable = np.isfinite(scale) and scale > 0
+                    v = None if not usable else v.astype(form) if form == "<f4" else (v / scale).astype(form)
                 raw.append(None if v is None else v.tobytes())
                 marks.append(None if v is None else hashlib.blake2b(raw[-1], digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(raw, pa.binary())], names=[id_col, "mark", "vector"])
@@ -105,7 +112,7 @@ def directions(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     return vectors.select(id_col, vec_col).mapInArrow(packed, f"`{id_col}` {kind}, mark binary, vector binary")
 
 
-def _filed(conf: tuple[int, int, int, int]):
+def _filed(conf: tuple[int, int, int, int], kind: str):
     """A row for each bucket of a distinct vector; ``own`` tells its own bucket of a table from those it looks into."""
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +120,10 @@ def _filed(conf: tuple[int, int, int, int]):
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 raw = batch.column(2).to_pylist()
-                size = np.array([len(x) // 8 for x in raw])
+                size = np.array([len(x) // int(kind[-1]) for x in raw])
                 for dim in np.unique(size):
                     rows = np.flatnonzero(size == dim)
-                    at = hasher(int(dim), *conf).buckets(_unit([raw[i] for i in rows]))
+                    at = hasher(int(dim), *conf).buckets(_unit([raw[i] for i in rows], kind))
                     n, tables, probes = at.shape
                     of = np.repeat(rows, tables * probes)
                     # buckets of vectors of different dimensions stay apart
@@ -166,7 +173,7 @@ class Cell:
         return here
 
 
-def _meet(conf: tuple[int, int, int, int], cosine: float):
+def _meet(conf: tuple[int, int, int, int], cosine: float, kind: str):
     """Per cell and vector: links first met there, counted with copies, and the smallest node they lead to."""
     cell = Cell(conf, cosine)
 
@@ -178,7 +185,7 @@ def _meet(conf: tuple[int, int, int, int], cosine: float):
             for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if t - s < 2 or not own[s:t].any():
                     continue
-                x = _unit(part.column("vector").slice(s, t - s).to_pylist())
+                x = _unit(part.column("vector").slice(s, t - s).to_pylist(), kind)
                 a, b = cell.close(x, own[s:t], side[s:t], i[s] == j[s])
                 if not len(a):
                     continue
@@ -211,11 +218,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     nothing: 0 links, their own component. Vectors of different length never link. Repeated rows are rows of their
     own. An empty table gives an empty one; other columns are not read.
     """
-    conf = (tables, rotations, probes, seed)
+    conf, kind = (tables, rotations, probes, seed), packing(vectors, vec_col)
     known = stored(directions(vectors, id_col, vec_col), "directions")
     distinct = known.filter("mark is not null").groupBy("mark").agg(F.min(F.col(id_col).cast("long")).alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     distinct = stored(distinct, "distinct-vectors")
-    filed = distinct.select("node", "copies", "vector").mapInArrow(_filed(conf), "table long, bucket long, own boolean, node long, copies long, vector binary")
+    filed = distinct.select("node", "copies", "vector").mapInArrow(_filed(conf, kind), "table long, bucket long, own boolean, node long, copies long, vector binary")
     full = filed.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
     full = full.select("table", "bucket", F.ceil(F.col("_n") / block).cast("long").alias("_blocks"))
     dealt = filed.join(full, ["table", "bucket"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
@@ -223,7 +230,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     cells = dealt.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     i, j = F.least("_mine", "_other"), F.greatest("_mine", "_other")
     cells = cells.select("table", "bucket", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "own", "node", "copies", "vector")
-    met = stored(cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_meet(conf, cosine), "node long, n long, top long"), "links")
+    met = stored(cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_meet(conf, cosine, kind), "node long, n long, top long"), "links")
     counts = met.groupBy("node").agg(F.sum("n").alias("_n"))
     joined = components(met.select(F.col("node").alias("a"), F.col("top").alias("b")), name="vectors")
     by_mark = distinct.select("mark", "node", "copies").join(counts, "node", "left").join(joined, "node", "left")
