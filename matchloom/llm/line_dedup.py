@@ -19,9 +19,13 @@ SHINGLE, SIMILARITY = 7, 0.8
 #: Bands and rows of a band: lines of similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^12 = 0.998.
 BANDS, ROWS = 12, 4
 
-#: Hashes of each shingle. All fall into the same bins, so that short lines fill more of them.
+#: Hashes of each shingle. All fall into the same bins, so that lines fill more of them.
 REPEATS = 2
 
+#: Different shingles below which a line would leave bins empty and its bands depend on each other, so that pairs are
+#: lost: it gets a hash function for each row of each band. Lines it may be similar to get those as well.
+SHORT = 64
+
 #: Rows of a bucket that meet in one cell; a fuller bucket is cut into blocks, and each pair of blocks is a cell.
 BLOCK = 512
 
@@ -64,8 +68,8 @@ class Shingled:
         return found
 
 
-def _bins(lines: list[str], size: int, bins: int) -> np.ndarray:
-    """Least hash per bin and line; an empty bin takes the next filled one's, marked with its distance."""
+def _hashed(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles, line after line, and their number in each line."""
     sizes = np.array([len(x) for x in lines])
     code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     starts = np.cumsum(sizes) - sizes
@@ -75,21 +79,46 @@ def _bins(lines: list[str], size: int, bins: int) -> np.ndarray:
         h *= np.uint32(0x01000193)
         h += padded[k:k + len(code)]
     n = np.maximum(sizes - size + 1, 1)
-    row = np.repeat(np.arange(len(lines)), n)
-    h = h[np.repeat(starts, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+    h = h[np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
     short = np.flatnonzero(sizes < size)
     if len(short):  # a line shorter than a shingle: the hash of all of it, not of what follows
+        at = np.cumsum(n) - n
         for i in short.tolist():
             x = len(lines[i])
             for c in lines[i]:
                 x = (x * 0x01000193 + ord(c)) & 0xFFFFFFFF
-            h[(np.cumsum(n) - n)[i]] = x
-    out = np.full(len(lines) * bins, 0xFFFFFFFF, np.uint32)
+            h[at[i]] = x
+    return h, n
+
+
+def _mixed(h: np.ndarray, a: int, b: int) -> np.ndarray:
+    x = h * np.uint32(a)
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(b)
+    x ^= x >> np.uint32(13)
+    return x
+
+
+def _different(h: np.ndarray, n: np.ndarray, enough: float) -> np.ndarray:
+    """Number of different hashes in each line; of lines with ``enough`` of them near their start, of those alone."""
+    out, starts, width = n.copy(), np.cumsum(n) - n, int(enough) + 16
+    long = np.flatnonzero(n >= width)
+    first = np.sort(h[starts[long][:, None] + np.arange(width)], axis=1)
+    out[long] = 1 + (first[:, 1:] != first[:, :-1]).sum(1)
+    rest = (n >= SHORT) & ((n < width) | (out < enough))
+    row = np.repeat(np.arange(rest.sum(), dtype=np.uint64), n[rest])
+    key = np.sort(row << np.uint64(32) | h[np.repeat(rest, n)])
+    new = key[np.diff(key, prepend=~key[:1]) != 0]
+    out[rest] = np.bincount((new >> np.uint64(32)).astype(np.int64), minlength=rest.sum())
+    return out
+
+
+def _bins(h: np.ndarray, n: np.ndarray, bins: int) -> np.ndarray:
+    """Least hash per bin and line; an empty bin takes the next filled one's, marked with its distance."""
+    row = np.repeat(np.arange(len(n)), n)
+    out = np.full(len(n) * bins, 0xFFFFFFFF, np.uint32)
     for a, b in _MIX[:REPEATS]:
-        x = h * np.uint32(a)
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(b)
-        x ^= x >> np.uint32(13)
+        x = _mixed(h, a, b)
         place = (x.astype(np.uint64) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) + row * bins
         x *= np.uint32(0x2545F491)
         np.minimum.at(out, place, x ^ (x >> np.uint32(16)))
@@ -101,25 +130,69 @@ def _bins(lines: list[str], size: int, bins: int) -> np.ndarray:
     return value + (ahead - np.arange(bins)).astype(np.uint32) * np.uint32(0x9E3779B1)
 
 
-def signatures(lines: list[str], size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def _least(h: np.ndarray, n: np.ndarray, count: int) -> np.ndarray:
+    """Least value per hash function and line, for ``count`` functions."""
+    draw = np.random.RandomState(48)
+    salts, factors = (draw.randint(0, 1 << 32, count, np.uint64).astype(np.uint32) for _ in range(2))
+    x, starts = _mixed(h, *_MIX[2]), np.cumsum(n) - n
+    out = np.empty((len(n), count), np.uint32)
+    for k in range(count):
+        y = x ^ salts[k]
+        y *= factors[k] | np.uint32(1)
+        out[:, k] = np.minimum.reduceat(y, starts)
+    return out
+
+
+def _banded(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(lines, bands) of 64-bit bucket hashes; rows of a band lie apart, as neighbouring bins may share a source."""
-    out = np.zeros((len(lines), bands), np.uint64)
+    least = least.astype(np.uint64)
+    code = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for r in range(rows):
+        code = (code ^ least[:, r * bands:(r + 1) * bands]) * np.uint64(0xFF51AFD7ED558CCD)
+        code ^= code >> np.uint64(32)
+    return code
+
+
+def _steps(lines: list[str]) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(lines):
         end, room = at, _STEP
         while end < len(lines) and (end == at or room >= len(lines[end])):
             room -= len(lines[end])
             end += 1
-        least = _bins(lines[at:end], size, bands * rows).astype(np.uint64)
-        code = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for r in range(rows):
-            code = (code ^ least[:, r * bands:(r + 1) * bands]) * np.uint64(0xFF51AFD7ED558CCD)
-            code ^= code >> np.uint64(32)
-        out[at:end] = code
+        yield at, end
         at = end
+
+
+def signatures(lines: list[str], size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """(lines, bands) of 64-bit bucket hashes from bins, which suit lines of ``SHORT`` shingles or more."""
+    out = np.zeros((len(lines), bands), np.uint64)
+    for at, end in _steps(lines):
+        out[at:end] = _banded(_bins(*_hashed(lines[at:end], size), bands * rows), bands, rows)
     return out.view(np.int64)
 
 
+def buckets_of(lines: list[str], size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Number of buckets of each line, and the buckets, line after line.
+
+    Similar lines have numbers of shingles within a factor of ``similarity``. So if one has fewer than ``SHORT``, both
+    have fewer than ``SHORT / similarity`` and are filed by hash functions of their own; else both are filed by bins.
+    """
+    counts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at, end in _steps(lines):
+        h, n = _hashed(lines[at:end], size)
+        different = _different(h, n, SHORT / similarity)
+        out = np.zeros((end - at, 2, bands), np.uint64)
+        ways = np.stack([different >= SHORT, different < SHORT / similarity], 1)
+        for way, least in enumerate((_bins, _least)):
+            mine = ways[:, way]
+            if mine.any():
+                out[mine, way] = _banded(least(h[np.repeat(mine, n)], n[mine], bands * rows), bands, rows)
+        counts.append(ways.sum(1) * bands)
+        found.append(out[ways].ravel())
+    return np.concatenate(counts), np.concatenate(found).view(np.int64)
+
+
 def lines_of(text: str) -> list[str]:
     """Lines without surrounding white space, in order; blank lines are empty."""
     return [x.strip(BLANKS) for x in text.split("\n")]
@@ -139,7 +212,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), F.col(text_col).alias("_text"))
 
 
-def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+def _signed(docs: DataFrame, size: int, similarity: float, bands: int, rows: int) -> DataFrame:
     """A row for each non-blank line: document, place, digest, and the buckets of a line when a task first meets it."""
     kind = docs.schema["_id"].dataType.simpleString()
 
@@ -156,10 +229,10 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                             marks.append(mark)
                             seen.setdefault(mark, (len(marks) - 1, line))
                 new = [at for at, _ in seen.values()]
-                at = signatures([line for _, line in seen.values()], size, bands, rows)
+                each, at = buckets_of([line for _, line in seen.values()], size, similarity, bands, rows)
                 counts = np.zeros(len(marks) + 1, np.int32)
-                counts[np.array(new, np.int64) + 1] = bands
-                buckets = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(at.ravel(), pa.int64()))
+                counts[np.array(new, np.int64) + 1] = each
+                buckets = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(at, pa.int64()))
                 of = batch.take(pa.array(doc, pa.int64()))
                 yield pa.RecordBatch.from_arrays([of.column(0), of.column(1), pa.array(place, pa.int32()), pa.array(marks, pa.binary()), pa.array(_heads(marks), pa.int64()), buckets],
                                                  names=["_id", "_text_hash", "place", "mark", "head", "buckets"])
@@ -306,7 +379,7 @@ def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float,
 
 def dropped_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """``(_id, _text_hash, _drop)``: places of the lines that go, for documents that lose any."""
-    signed = stored(_signed(docs, size, bands, rows), "signed-lines")
+    signed = stored(_signed(docs, size, similarity, bands, rows), "signed-lines")
     groups = near_lines(docs, signed, size, similarity, block)
     counts = signed.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # what is alone in its group needs no further look

@@ -151,6 +151,30 @@ def test_band_recall():
     assert n > 300 and hit >= 0.985 * n
 
 
+def test_recall_by_length_at_the_threshold():
+    rng = random.Random(9)
+    for n in (4, 8, 12, 16, 24, 32, 48, 52, 60, 64, 80):
+        long = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(n * 5 // 4 + 6)) for _ in range(3000)]
+        short = [x[:n + 6] for x in long]
+        assert line_dedup.jaccard(line_dedup.shingles(short[0]), line_dedup.shingles(long[0])) == 0.8
+        each, flat = line_dedup.buckets_of(long + short)
+        buckets = [set(x.tolist()) for x in np.split(flat, np.cumsum(each)[:-1])]
+        hit = sum(bool(x & y) for x, y in zip(buckets[:3000], buckets[3000:], strict=True))
+        assert hit >= 0.994 * 3000, n
+
+
+def test_few_shingles_many_times():
+    """A line that repeats itself has few different shingles, however long it is."""
+    rng = random.Random(10)
+    hit = 0
+    for _ in range(500):
+        x = "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(8))
+        each, flat = line_dedup.buckets_of([x * 20, x * 2 + "a"])
+        assert line_dedup.jaccard(line_dedup.shingles(x * 20), line_dedup.shingles(x * 2 + "a")) >= 0.8
+        hit += bool(set(flat[:each[0]].tolist()) & set(flat[each[0]:].tolist()))
+    assert hit >= 490
+
+
 # --- URLs
 
 
