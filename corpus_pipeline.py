@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from matchloom.llm import byte_bpe, decontamination, language_id, line_dedup, simhash
 from matchloom.llm.shared import read, stored
 
-#: Score below which a language is not believed. The regressions give 0.5 where they see no language at all over
-#: another, so this rejects only what all of them reject.
+#: Score below which a language is not believed. Scores compare languages and hardly fall below it; texts in none of
+#: them are known by the share of their n-grams that no landmark has.
 LEAST_SCORE = 0.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those that look like no learnt language, go."""
-    scored = language_id.predict(docs, language_id.fit(docs, language_id.learnable()))
+    scored = language_id.predict(docs, language_id.fit(docs, language_id.learnable()), reject=True)
     sure = (F.col("lang_pred") != language_id.NONE) & (F.col("score") >= LEAST_SCORE)
     return scored.filter(sure).select(*docs.columns)
 

@@ -20,7 +20,11 @@ ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, LONGEST, RIDGE = 300, 24, 3, 1e-2
 #: Texts scored in one matrix product.
 BATCH = 64
 
-#: The prediction for texts without a letter.
+#: A text is in no learnt language if the share of its n-grams that no landmark has is over this many times the share
+#: that all but one in a hundred of the winning language's sample stay below. Places by which short texts are eased.
+STRANGE, TAIL, EASE = 5.0, 0.99, 10.0
+
+#: The prediction for texts without a letter and, where asked for, in no learnt language.
 NONE = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -61,19 +65,32 @@ class Model:
     number: np.ndarray  # its place in a presence vector, or -1
     size: int
     weights: np.ndarray | None = None
+    most_strange: np.ndarray | None = None  # per language, the share of unknown n-grams from which a text is not in it
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size), np.float32)
+    def seen(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Presence vectors, and the share of places whose n-gram no landmark has."""
+        out, strange = np.zeros((len(texts), self.size), np.float32), np.zeros(len(texts))
         for row, text in enumerate(texts):
+            places = known = 0
             for h in grams(text, self.longest):
                 slot = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
                 slot = slot[self.known[slot] == h]
                 out[row, self.number[slot]] = 1.0
-        return out
+                places += len(h)
+                known += len(slot)
+            strange[row] = (places - known) / (places + EASE)
+        return out, strange
+
+    def presence(self, texts: list[str]) -> np.ndarray:
+        return self.seen(texts)[0]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and the share of places whose n-gram no landmark has."""
+        x, strange = self.seen(texts)
+        return (x @ self.weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1.0)), strange
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = self.presence(texts)
-        return (x @ self.weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1.0))
+        return self.judged(texts)[0]
 
 
 def _vocabulary(hashes: np.ndarray, languages: list[str], longest: int) -> Model:
@@ -131,6 +148,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[label_col].dataType.simpleString()
     marks = chosen.filter(F.col("rank") <= landmarks).orderBy("label", "rank").select("label", "text").mapInArrow(hashed, f"label {kind}, hashes binary").collect()
     sets = [np.frombuffer(r["hashes"], np.uint64) for r in marks if r["hashes"]]
+    of = [r["label"] for r in marks if r["hashes"]]
     languages = sorted({r["label"] for r in marks if r["hashes"]})
     if not sets:
         chosen.unpersist()
@@ -147,14 +165,23 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         model_, z_ = shared.value
         for whole in batches:
             for batch in chunks(whole, BATCH):
-                x = model_.presence([letters(t) for t in texts_of(batch.column(1))])
+                x, strange = model_.seen([letters(t) for t in texts_of(batch.column(1))])
                 k = (x @ z_.T) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1.0))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in k.astype(np.float64)], pa.binary())], names=["label", "k"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in k.astype(np.float64)], pa.binary()),
+                                                  batch.column(2), pa.array(strange)], names=["label", "k", "rank", "strange"])
 
-    learnt = chosen.orderBy("label", "rank", "text").select("label", "text").mapInArrow(kernel, f"label {kind}, k binary").collect()
+    learnt = chosen.orderBy("label", "rank", "text").select("label", "text", "rank").mapInArrow(kernel, f"label {kind}, k binary, rank int, strange double").collect()
     chosen.unpersist()
     learnt = [r for r in learnt if r["label"] in languages]
     k = np.stack([np.frombuffer(r["k"], np.float64) for r in learnt])
+    # what a landmark has that no other has is as strange as it would be in a text that was not learnt from
+    _, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    alone = [(times[x] == 1).sum() / (len(x) + EASE) for x in np.split(back, np.cumsum([len(x) for x in sets])[:-1])]
+    usual = {x: [a for a, y in zip(alone, of, strict=True) if y == x] for x in languages}
+    for r in learnt:
+        if r["rank"] > landmarks:
+            usual[r["label"]].append(r["strange"])
+    model.most_strange = np.array([STRANGE * np.quantile(usual[x], TAIL) for x in languages])
     target = np.array([[1.0 if r["label"] == x else -1.0 for x in languages] for r in learnt])
     # Nystrom features: kernel values against landmarks, whitened by the landmarks' own kernel
     value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
@@ -166,12 +193,13 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", reject: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) from its text alone.
 
     Whole texts are scored. The score is the winning regression's output, from -1 to 1, moved to 0 to 1; of equal
     outputs the first language by name wins. Null texts and texts without a letter are ``und`` with score 0, and so is
-    everything without a model. Repeated rows are scored alike; other columns stay, but existing ``lang_pred`` and
+    everything without a model. With ``reject`` so are texts with more unknown n-grams than the winning language's sample
+    lets expect; a language with too few rows to tell rejects nothing. Repeated rows are scored alike; other columns stay, but existing ``lang_pred`` and
     ``score`` are replaced. No shuffle.
     """
     docs = docs.drop("lang_pred", "score")
@@ -187,9 +215,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             lang, score = [], []
             for start in range(0, len(column), BATCH):
                 texts = [letters(x) for x in texts_of(column.slice(start, BATCH))]
-                out = m.scores(texts)
+                out, strange = m.judged(texts)
                 some = np.array([any(map(str.isalpha, x)) for x in texts])
                 best = out.argmax(1)
+                if reject:
+                    some &= strange <= m.most_strange[best]
                 lang += np.where(some, names[best], NONE).tolist()
                 score.append(np.where(some, np.clip((out.max(1).astype(np.float64) + 1) / 2, 0.0, 1.0), 0.0))
             values = np.concatenate(score) if score else np.zeros(0)

@@ -51,3 +51,14 @@ def test_stages_keep_the_columns(spark, small):
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).schema.simpleString() == docs.schema.simpleString()
         assert stage(spark, docs.filter("false"), small).count() == 0
+
+
+def test_unlearnt_languages_go_and_clean_documents_stay(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    strange = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.",
+               "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。", "xqzv kjwq zzxv bqkj vwxq pzkq jxvw qkzx"]
+    more = spark.createDataFrame([(-1 - i, x, "en", "s", len(x)) for i, x in enumerate(strange)], docs.schema)
+    model = language_id.fit(docs, language_id.learnable())
+    left = {r["doc_id"] for r in language_id.predict(more.unionByName(docs), model, reject=True).filter("lang_pred <> 'und'").collect()}
+    clean = {r["doc_id"] for r in language_id.predict(docs, model).filter("lang_pred <> 'und'").collect()}
+    assert left == clean
