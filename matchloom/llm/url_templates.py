@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 WILD, REST = "*", "**"
 
-#: Levels of the tree; what lies deeper is one segment, ``**``.
+#: For callers who bound the tree: its levels; what lies deeper is one segment, ``**``. Without a bound it goes to the end.
 DEPTH = 6
 
 #: A node's segments vary if it has this many different children, and more than this share of its URLs lead to rare ones.
@@ -64,28 +65,38 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """Non-empty parts of a path, at most ``depth``; what lies deeper is ``**``."""
+def segments(path: Column, depth: int | None = None) -> Column:
+    """Non-empty parts of a path, all or at most ``depth``; what lies deeper is then ``**``."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    if depth is None:
+        return parts
     return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit(REST)))).otherwise(parts)
 
 
-def templates(urls: DataFrame, depth: int = DEPTH, min_children: int = MIN_CHILDREN, rare_share: float = RARE_SHARE, rare: float = RARE, merge_z: float = MERGE_Z) -> DataFrame:
+def templates(urls: DataFrame, depth: int | None = DEPTH, min_children: int = MIN_CHILDREN, rare_share: float = RARE_SHARE, rare: float = RARE, merge_z: float = MERGE_Z) -> DataFrame:
     """``(host, path, n, n_labelled, n_bad, template)`` of distinct (host, path) rows with counts.
 
     From the top down, the children of a node are counted. Where they vary, rare ones become ``*``. Of the others,
     those whose bad URLs are within ``merge_z`` standard errors and one URL of what their node's rate lets expect, such
     as those without labels, merge into ``*`` as well, so what stays literal is a branch that differs. A level sums by
     (host, template, segment), combined before the shuffle, so a hot host is spread over its segments; its per-node
-    sums are one row.
+    sums are one row. Levels end with the last path (``depth`` None) or at ``depth``; only rows with further segments go
+    on, and a row alone at its node keeps the rest of its path, as nothing there can vary or merge.
     """
-    level = urls.withColumn("_seg", segments(F.col("path"), depth)).withColumn("_t", F.lit(""))
-    for d in range(depth + 1):
+    out = []
+    level = urls.withColumn("_seg", segments(F.col("path"), depth)).withColumn("_t", F.lit("")).withColumn("_alone", F.lit(False))
+    d = 0
+    while True:
+        ended = F.col("_alone") | (F.coalesce(F.size("_seg"), F.lit(0)) <= d)
+        out.append(level.filter(ended))
+        level = level.filter(~ended)
+        if level.isEmpty():
+            break
         here = F.get("_seg", F.lit(d))
-        kids = level.filter(F.size("_seg") > d).groupBy("host", "_t", here.alias("_s")).agg(
-            F.sum("n").alias("c_n"), F.sum("n_labelled").alias("c_lab"), F.sum("n_bad").alias("c_bad"))
+        kids = level.groupBy("host", "_t", here.alias("_s")).agg(
+            F.sum("n").alias("c_n"), F.sum("n_labelled").alias("c_lab"), F.sum("n_bad").alias("c_bad"), F.count(F.lit(1)).alias("c_rows"))
         kids = stored(kids, f"children-{d}")
-        nodes = kids.groupBy("host", "_t").agg(F.sum("c_n").alias("t_n"), F.sum("c_lab").alias("t_lab"), F.sum("c_bad").alias("t_bad"), F.count(F.lit(1)).alias("t_kids"))
+        nodes = kids.groupBy("host", "_t").agg(F.sum("c_n").alias("t_n"), F.sum("c_lab").alias("t_lab"), F.sum("c_bad").alias("t_bad"), F.count(F.lit(1)).alias("t_kids"), F.sum("c_rows").alias("t_rows"))
         judged = kids.join(nodes, ["host", "_t"]).withColumn("_rare", F.col("c_n") < rare * F.col("t_n"))
         loose = judged.groupBy("host", "_t").agg(F.sum(F.when(F.col("_rare"), F.col("c_n")).otherwise(0)).alias("_loose"))
         judged = judged.join(loose, ["host", "_t"])
@@ -94,14 +105,18 @@ def templates(urls: DataFrame, depth: int = DEPTH, min_children: int = MIN_CHILD
         off, error = F.abs(F.col("c_bad") - F.col("c_lab") * pooled), F.sqrt(F.col("c_lab") * pooled * (1 - pooled))
         alike = (F.col("t_kids") > 1) & (F.col("t_lab") > 0) & (off <= merge_z * error + 1)
         wild = (varies & F.col("_rare")) | alike
-        named = judged.select("host", "_t", "_s", F.concat("_t", F.lit("/"), F.when(wild, WILD).otherwise(F.col("_s"))).alias("_next"))
+        named = judged.select("host", "_t", "_s", F.concat("_t", F.lit("/"), F.when(wild, WILD).otherwise(F.col("_s"))).alias("_next"), (F.col("t_rows") == 1).alias("_one"))
         named = stored(named, f"templates-{d}")
-        level = level.withColumn("_s", here).join(named, ["host", "_t", "_s"], "left").withColumn("_t", F.coalesce("_next", "_t")).drop("_s", "_next")
-    return level.withColumnRenamed("_t", "template").drop("_seg")
+        rest = F.concat(F.col("_t"), F.lit("/"), F.array_join(F.slice("_seg", d + 1, F.size("_seg")), "/"))
+        level = level.withColumn("_s", here).join(named, ["host", "_t", "_s"])
+        level = level.withColumn("_t", F.when(F.col("_one"), rest).otherwise(F.col("_next"))).withColumn("_alone", F.col("_one")).drop("_s", "_next", "_one")
+        level = stored(level, f"level-{d}")
+        d += 1
+    return reduce(DataFrame.unionByName, out).withColumnRenamed("_t", "template").drop("_seg", "_alone")
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", label_col: str = "bad", prior_weight: float = PRIOR_WEIGHT,
-          reject: float = REJECT, depth: int = DEPTH) -> DataFrame:
+          reject: float = REJECT, depth: int | None = None) -> DataFrame:
     """One row per row of ``pages``: id, ``host``, ``path``, ``rule``, ``verdict``, ``template``, ``n_labelled``, ``purity``.
 
     ``label_col`` (boolean, null where unknown) says which pages are known to be bad. A rule decides where one fits.

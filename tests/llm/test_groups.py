@@ -252,6 +252,14 @@ def test_url_query_has_a_row_per_page(spark, sf_dir):
     assert len(rows) == read(spark, sf_dir, "pages").count() and {r["verdict"] for r in rows} <= {"allow", "block"}
 
 
+def test_branches_that_part_at_the_eighth_level(spark):
+    deep = "/a/b/c/d/e/f/g"
+    pages = [(i, f"http://x.net{deep}/{'bad' if i % 2 else 'good'}/{i}", bool(i % 2)) for i in range(80)] + [(80, f"http://y.net/{'z/' * 500}end", None)]
+    got = {r["page_id"]: r for r in url_templates.judge(spark.createDataFrame(pages, "page_id long, url string, bad boolean"), []).collect()}
+    assert len(got) == 81 and all(got[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(80))
+    assert got[1]["template"].startswith(f"{deep}/bad/") and got[80]["template"] == "/z" * 500 + "/end"
+
+
 # --- perspectives
 
 
