@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir
-from . import byte_bpe, cross_polytope, decontamination, language_id, line_dedup, perspectives, records, simhash, token_counts, url_templates
+from . import byte_bpe, cross_polytope, decontamination, language_id, line_dedup, perspectives, records, simhash, token_counts, url_templates, whitening
 from .shared import read
 
 
@@ -116,9 +116,13 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup, "op2_perspectives": op2_perspectives, "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id, "op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts, "op7_line_dedup": op7_line_dedup,
-    "op8_url_templates": op8_url_templates, "op9_simhash": op9_simhash, "op10_records": op10_records,
+    "op8_url_templates": op8_url_templates, "op9_simhash": op9_simhash, "op10_records": op10_records, "op11_whitening": op11_whitening,
 }
 ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op2_perspectives": OP2_SQL, "op3_decontamination": OP3_SQL}
