@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir
-from . import byte_bpe, cross_polytope, decontamination, language_id, line_dedup, perspectives, records, simhash, token_counts, url_templates, whitening
+from . import byte_bpe, cross_polytope, decontamination, language_id, line_dedup, periodic_runs, perspectives, records, simhash, token_counts, url_templates, whitening
 from .shared import read
 
 
@@ -120,9 +120,31 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"), components=8)
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents whose hash ends in 0 repeat a stretch of their words from some place to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", h.alias("_h"), F.floor(h / 10).cast("long").alias("_g"))
+    words = F.when(F.col("_h") % 10 == 0, F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    docs = docs.withColumn("_w", words).withColumn("_n", F.size("_w").cast("long"))
+    docs = docs.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.greatest("_n", F.lit(1))))
+    docs = docs.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    a, p, rest = F.col("_a").cast("int"), F.col("_p").cast("int"), (F.col("_n") - F.col("_a")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_w", a + 1, p), F.ceil(rest / p).cast("int"))), F.lit(1), rest)
+    return docs.select("doc_id", F.when(F.col("_a").isNull(), F.col("text")).otherwise(F.concat_ws(" ", F.slice("_w", F.lit(1), a), tail)).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find_runs(planted_runs(read(spark, sf_dir, "documents")))
+    best = F.col("best_run")
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+                      F.expr("1000 * best_run.length div best_run.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup, "op2_perspectives": op2_perspectives, "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id, "op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts, "op7_line_dedup": op7_line_dedup,
     "op8_url_templates": op8_url_templates, "op9_simhash": op9_simhash, "op10_records": op10_records, "op11_whitening": op11_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op2_perspectives": OP2_SQL, "op3_decontamination": OP3_SQL}

@@ -34,6 +34,16 @@ def chunks(table: pa.RecordBatch, rows: int = TEXTS_PER_BATCH) -> Iterator[pa.Re
         yield table.slice(start, rows)
 
 
+def sized(table: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts have ``most`` bytes together, or one row; nothing is copied."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(table.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < table.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield table.slice(at, end - at)
+        at = end
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null is the empty text."""
     return [x or "" for x in column.to_pylist()]
