@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir
-from . import byte_bpe, cross_polytope, decontamination, language_id, line_dedup, periodic_runs, perspectives, records, simhash, token_counts, url_templates, whitening
+from . import byte_bpe, cross_polytope, decontamination, language_id, line_dedup, periodic_runs, perspectives, records, simhash, suffix_dedup, token_counts, url_templates, whitening
 from .shared import read
 
 
@@ -120,6 +120,24 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"), components=8)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+  starts AS (SELECT doc_id, i, sha256(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM docs)),
+  again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM starts) WHERE c > 1),
+  marked AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 400 AS gap FROM again),
+  runs AS (SELECT doc_id, min(i) AS low, max(i) + 400 AS high FROM (SELECT doc_id, i, count_if(gap) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+  cuts AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, list(low ORDER BY low) || [2147483647] AS lows, [1] || list(high ORDER BY low) AS highs FROM runs GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN hex(b) ELSE list_aggregate(list_transform(list_zip(highs, lows), lambda p: hex(b[p[1]:least(p[2], n + 1) - 1])), 'string_agg', '') END)) AS kept_sha256
+FROM docs LEFT JOIN cuts USING (doc_id)
+"""
+
+
 def planted_runs(docs: DataFrame) -> DataFrame:
     """Documents whose hash ends in 0 repeat a stretch of their words from some place to their end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -144,7 +162,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup, "op2_perspectives": op2_perspectives, "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id, "op5_byte_bpe": op5_byte_bpe, "op6_token_counts": op6_token_counts, "op7_line_dedup": op7_line_dedup,
-    "op8_url_templates": op8_url_templates, "op9_simhash": op9_simhash, "op10_records": op10_records, "op11_whitening": op11_whitening,
+    "op8_url_templates": op8_url_templates, "op9_simhash": op9_simhash, "op10_records": op10_records, "op11_whitening": op11_whitening, "op12_suffix_dedup": op12_suffix_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op2_perspectives": OP2_SQL, "op3_decontamination": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op2_perspectives": OP2_SQL, "op3_decontamination": OP3_SQL, "op12_suffix_dedup": OP12_SQL}
