@@ -9,9 +9,12 @@ WIDE = 256
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Places by the ``depth`` codes from there on (at least); beyond the end the sequence counts as smallest."""
+    """Places by the ``depth`` codes from there on (at least); beyond the end the sequence counts as smallest.
+
+    Ranks by a few codes are refined by the ranks of the places one and two such widths further, of those places alone
+    that still have equals."""
     n, bits = len(codes), max(1, int(codes.max(initial=0)).bit_length())
-    width = min(62 // bits, 1 << 30)
+    width = 62 // bits
     padded = np.concatenate([codes.astype(np.int64), np.zeros(width, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(width):
@@ -25,9 +28,12 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
     last = np.append(new[1:], True)
     open_ = np.flatnonzero(~(new & last))
+    each = 2 if n < 1 << 20 else 1  # ranks further on that fit into a key
     while width < depth and len(open_):
         at = order[open_]
-        key = rank[at] << 32 | rank[np.minimum(at + width, n)]
+        key = rank[at]
+        for k in range(1, each + 1):
+            key = key << (60 // (each + 1)) | rank[np.minimum(at + k * width, n)]
         by = np.argsort(key)
         key, at = key[by], at[by]
         order[open_] = at
@@ -36,7 +42,7 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         rank[at] = np.maximum.accumulate(np.where(new, open_, 0)) + 1
         last = np.append(new[1:], True)
         open_ = open_[~(new & last)]
-        width *= 2
+        width *= each + 1
     return order
 
 

@@ -130,7 +130,7 @@ WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encod
   starts AS (SELECT doc_id, i, sha256(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM docs)),
   again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM starts) WHERE c > 1),
   marked AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 400 AS gap FROM again),
-  runs AS (SELECT doc_id, min(i) AS low, max(i) + 400 AS high FROM (SELECT doc_id, i, count_if(gap) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+  runs AS (SELECT doc_id, min(i) AS low, max(i) + 400 AS high FROM (SELECT doc_id, i, count_if(coalesce(gap, false)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
   cuts AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, list(low ORDER BY low) || [2147483647] AS lows, [1] || list(high ORDER BY low) AS highs FROM runs GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN n_spans IS NULL THEN hex(b) ELSE list_aggregate(list_transform(list_zip(highs, lows), lambda p: hex(b[p[1]:least(p[2], n + 1) - 1])), 'string_agg', '') END)) AS kept_sha256

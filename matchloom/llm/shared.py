@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of an Arrow batch that Spark hands to a Python task while a table is stored.
+BATCH_BYTES = 4 << 20
+
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Within it, batches of long texts are cut by their bytes before they reach Python; the session's own bound returns."""
+    before = spark.conf.get(_BYTES_SETTING, None)
+    spark.conf.set(_BYTES_SETTING, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BYTES_SETTING) if before is None else spark.conf.set(_BYTES_SETTING, before)
+
+
+def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose workers, which Spark uses again, return free memory to the system at the end of each task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(tidied, schema)
+
+
 def stored(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back: lineage ends at files that all executors share,
     so what is built on it survives the loss of an executor and is not computed again."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.format(fmt).save(path)
+    with small_batches(spark):
+        df.write.format(fmt).save(path)
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from .bits import may_hold, members
 from .intervals import repeated
-from .shared import sized, stored, whole_groups
+from .shared import map_arrow, sized, stored, whole_groups
 
 #: Bytes of a string that is removed where it repeats.
 LENGTH = 400
 
 #: Bytes of texts that are anchored together and of stretches that are compared together, if one is not longer.
-BYTES = 1 << 20
+BYTES = 1 << 18
 
 #: Different stretches with one anchor that are compared together; more are parted by longer strings around the anchor.
 FULL = 512
@@ -76,12 +76,6 @@ def anchors(hashes: np.ndarray, starts: int, wide: int) -> np.ndarray:
     return out
 
 
-def _digest(data: memoryview) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(data)
-
-
 def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -92,6 +86,8 @@ def _signed(docs: DataFrame, length: int) -> DataFrame:
     wide = length - size + 1
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest as digest
+
         for whole in batches:
             for batch in sized(whole, 2, BYTES):
                 texts = _bytes(batch.column(2))
@@ -100,23 +96,24 @@ def _signed(docs: DataFrame, length: int) -> DataFrame:
                     continue
                 hashes = gram_hashes(np.frombuffer(data, np.uint8), size)
                 place = anchors(hashes, len(data) - length + 1, wide)
-                doc = np.repeat(np.arange(len(texts)), [len(x) for x in texts])[:len(place)]
-                start = np.flatnonzero(np.arange(len(place)) + length <= ends[doc])
-                if not len(start):
+                begins = ends - [len(x) for x in texts]
+                # a stretch ends where the anchor changes or a text has no more room
+                cuts = np.unique(np.concatenate([np.flatnonzero(place[1:] != place[:-1]) + 1, begins, ends - length + 1, [len(place)]]))
+                low, high = cuts[:-1], cuts[1:]
+                doc = np.searchsorted(ends, low, side="right")
+                fits = (low >= 0) & (low < len(place))
+                fits[fits] = low[fits] + length <= ends[doc[fits]]
+                low, high, doc = low[fits], high[fits], doc[fits]
+                if not len(low):
                     continue
-                place, doc = place[start], doc[start]
-                new = np.ones(len(start), bool)
-                new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(new)
-                low, high, place, doc = start[first], start[np.append(first[1:], len(start)) - 1], place[first], doc[first]
                 view = memoryview(data)
-                marks = [_digest(view[a:b]) for a, b in zip(low.tolist(), (high + length).tolist(), strict=True)]
-                of, begin = batch.take(pa.array(doc)), ends[doc] - np.array([len(x) for x in texts])[doc]
+                marks = [digest(view[a:b]) for a, b in zip(low.tolist(), (high + length - 1).tolist(), strict=True)]
+                of, begin, at = batch.take(pa.array(doc)), begins[doc], place[low]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[place].view(np.int64)), pa.array(marks, pa.binary()), of.column(0), of.column(1), *(pa.array((x - y).astype(np.int32)) for x, y in ((low, begin), (high + 1, begin), (place, low)))],
+                    [pa.array(hashes[at].view(np.int64)), pa.array(marks, pa.binary()), of.column(0), of.column(1), *(pa.array((x - y).astype(np.int32)) for x, y in ((low, begin), (high, begin), (at, low)))],
                     names=["anchor", "mark", "_id", "_hash", "low", "high", "place"])
 
-    return docs.mapInArrow(signed, f"anchor long, mark binary, _id {kind}, _hash long, low int, high int, place int")
+    return map_arrow(docs, signed, f"anchor long, mark binary, _id {kind}, _hash long, low int, high int, place int")
 
 
 def _filtered(df: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
@@ -129,7 +126,7 @@ def _filtered(df: DataFrame, column: str, wanted: DataFrame, name: str) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(may_hold(shared.value, batch.column(at).to_numpy())))
 
-    return df.mapInArrow(kept, df.schema)
+    return map_arrow(df, kept, df.schema)
 
 
 _SPAN = [*DOC, "low", "high"]
@@ -167,7 +164,7 @@ def _with_bytes(docs: DataFrame, contested: DataFrame, length: int) -> DataFrame
                 of = batch.take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([of.column(0), of.column(1), *part.values(), pa.array(found, pa.binary())], names=[*DOC, *fields, "bytes"])
 
-    return joined.mapInArrow(cut, f"_id {kind}, _hash long, " + ", ".join(f"{f} {k}" for f, k in kinds.items()) + ", bytes binary")
+    return map_arrow(joined, cut, f"_id {kind}, _hash long, " + ", ".join(f"{f} {k}" for f, k in kinds.items()) + ", bytes binary")
 
 
 def _parted(rows: DataFrame, length: int, half: int) -> DataFrame:
@@ -176,7 +173,7 @@ def _parted(rows: DataFrame, length: int, half: int) -> DataFrame:
     wide = length - gram_size(length) + 1
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
         for batch in batches:
             source, anchor, mark, low, high, place, cut = [], [], [], [], [], [], []
@@ -193,13 +190,13 @@ def _parted(rows: DataFrame, length: int, half: int) -> DataFrame:
                     high.append(begin + b + 1)
                     place.append(at - a)
                     cut.append(data[a:b + length])
-                    mark.append(_digest(cut[-1]))
+                    mark.append(xxh3_128_digest(cut[-1]))
             of = batch.take(pa.array(source, pa.int64()))
             new = {"anchor": pa.array(np.array(anchor, np.uint64).view(np.int64)), "mark": pa.array(mark, pa.binary()), "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32()),
                    "place": pa.array(place, pa.int32()), "bytes": pa.array(cut, pa.binary())}
             yield pa.RecordBatch.from_arrays([new.get(f, of.column(k)) for k, f in enumerate(batch.schema.names)], names=batch.schema.names)
 
-    return rows.mapInArrow(parted, rows.schema)
+    return map_arrow(rows, parted, rows.schema)
 
 
 def _compared(rows: DataFrame, length: int) -> DataFrame:
@@ -250,7 +247,7 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
                 yield b
 
     dealt = rows.select("anchor", "mark", "alone", *DOC, "low", "bytes").repartition("anchor").sortWithinPartitions("anchor", "mark")
-    return dealt.mapInArrow(compared, f"_id {kind}, _hash long, low int, high int")
+    return map_arrow(dealt, compared, f"_id {kind}, _hash long, low int, high int")
 
 
 def repeated_starts(docs: DataFrame, length: int, full: int) -> list[DataFrame]:
@@ -297,7 +294,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at, spans_at = out.columns.index("kept"), out.columns.index("_spans")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sized(whole, at, BYTES)):
             sizes, gone, number, kept = [], [], [], []
             for data, limits in zip(batch.column(at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True):
                 left, end, runs = [], 0, 0
@@ -314,4 +311,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(x, pa.int64()) for x in (sizes, gone, number)), pa.array(kept, pa.binary())], names=[*batch.schema.names[:at], "n_bytes", "n_removed", "n_spans", "kept"])
 
     plain = mine.select(*mine.columns, *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit(b"").alias("kept"))
-    return out.mapInArrow(removed, plain.schema)
+    return map_arrow(out, removed, plain.schema)
