@@ -108,7 +108,7 @@ def _signed(docs: DataFrame, length: int) -> DataFrame:
                     continue
                 view = memoryview(data)
                 marks = [digest(view[a:b]) for a, b in zip(low.tolist(), (high + length - 1).tolist(), strict=True)]
-                of, begin, at = batch.take(pa.array(doc)), begins[doc], place[low]
+                of, begin, at = batch.select([0, 1]).take(pa.array(doc)), begins[doc], place[low]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes[at].view(np.int64)), pa.array(marks, pa.binary()), of.column(0), of.column(1), *(pa.array((x - y).astype(np.int32)) for x, y in ((low, begin), (high, begin), (at, low)))],
                     names=["anchor", "mark", "_id", "_hash", "low", "high", "place"])
@@ -161,7 +161,7 @@ def _with_bytes(docs: DataFrame, contested: DataFrame, length: int) -> DataFrame
                 doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
                 part = {f: each.field(k) for k, f in enumerate(fields)}
                 found = [texts[d][a:b + length - 1] for d, a, b in zip(doc.tolist(), part["low"].to_pylist(), part["high"].to_pylist(), strict=True)]
-                of = batch.take(pa.array(doc))
+                of = batch.select([0, 1]).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([of.column(0), of.column(1), *part.values(), pa.array(found, pa.binary())], names=[*DOC, *fields, "bytes"])
 
     return map_arrow(joined, cut, f"_id {kind}, _hash long, " + ", ".join(f"{f} {k}" for f, k in kinds.items()) + ", bytes binary")
@@ -191,10 +191,10 @@ def _parted(rows: DataFrame, length: int, half: int) -> DataFrame:
                     place.append(at - a)
                     cut.append(data[a:b + length])
                     mark.append(xxh3_128_digest(cut[-1]))
-            of = batch.take(pa.array(source, pa.int64()))
+            of = batch.drop_columns(["bytes"]).take(pa.array(source, pa.int64()))
             new = {"anchor": pa.array(np.array(anchor, np.uint64).view(np.int64)), "mark": pa.array(mark, pa.binary()), "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32()),
                    "place": pa.array(place, pa.int32()), "bytes": pa.array(cut, pa.binary())}
-            yield pa.RecordBatch.from_arrays([new.get(f, of.column(k)) for k, f in enumerate(batch.schema.names)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([new[f] if f in new else of.column(f) for f in batch.schema.names], names=batch.schema.names)
 
     return map_arrow(rows, parted, rows.schema)
 
