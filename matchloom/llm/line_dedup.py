@@ -233,7 +233,7 @@ def _signed(docs: DataFrame, size: int, similarity: float, bands: int, rows: int
                 counts = np.zeros(len(marks) + 1, np.int32)
                 counts[np.array(new, np.int64) + 1] = each
                 buckets = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(at, pa.int64()))
-                of = batch.take(pa.array(doc, pa.int64()))
+                of = batch.select([0, 1]).take(pa.array(doc, pa.int64()))
                 yield pa.RecordBatch.from_arrays([of.column(0), of.column(1), pa.array(place, pa.int32()), pa.array(marks, pa.binary()), pa.array(_heads(marks), pa.int64()), buckets],
                                                  names=["_id", "_text_hash", "place", "mark", "head", "buckets"])
 
