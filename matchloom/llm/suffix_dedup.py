@@ -138,7 +138,7 @@ def _settled(rows: DataFrame, first: list[str], name: str) -> tuple[DataFrame, D
     kinds = rows.groupBy("anchor", "mark").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in first))
     kinds = stored(kinds, f"{name}-kinds")
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    spans = rows.select("mark", *_SPAN).join(kinds.filter("n > 1").select("mark").distinct(), "mark").select(*_SPAN)
+    spans = rows.select("mark", *_SPAN).join(kinds.filter("n > 1").select("mark"), "mark").select(*_SPAN)
     contested = kinds.join(several, "anchor").select("anchor", "mark", "kinds", (F.col("n") == 1).alias("alone"), *first)
     return spans, contested
 
