@@ -56,6 +56,11 @@ def running_balance(entries: DataFrame, opening: DataFrame | None = None, bucket
     return joined.withColumn("balance_after", F.col("balance_after") + F.coalesce("_open", F.lit(0))).drop("_open")
 
 
+def entry_code() -> Column:
+    """Why an entry is rejected whatever the balance; null if it is not."""
+    return F.when(F.coalesce("delta", F.lit(0)) == 0, "ZERO_DELTA").when(tx.is_blank(F.col("reference")), "BLANK_REFERENCE")
+
+
 _VERDICT = "user_id string, id string, created_at timestamp, balance_after long, error_code string"
 
 
@@ -98,8 +103,7 @@ def apply_entries(entries: DataFrame, opening: DataFrame | None = None,
     partition and holds no history.
     """
     start = opening.select("user_id", F.col("balance").alias("opening")) if opening is not None else None
-    code = F.when(F.col("delta") == 0, "ZERO_DELTA").when(tx.is_blank(F.col("reference")), "BLANK_REFERENCE")
-    coded = entries.withColumn("error_code", code)
+    coded = entries.withColumn("error_code", entry_code())
     bad = coded.filter("error_code is not null").withColumn("balance_after", F.lit(None).cast("long"))
     good = coded.filter("error_code is null").drop("error_code")
 

@@ -240,7 +240,8 @@ _SCORES = f"""{_BASE}{_SIGNALS},
       greatest(0.0001, coalesce(total, 0)) AS total, s.* EXCLUDE (cv_id)
       FROM pairs p LEFT JOIN sums USING (cv_id, job_id) LEFT JOIN hashes USING (job_id) JOIN parts s ON s.cv_id = p.cv_id),
     scored AS (SELECT *, CAST(round(100 * (0.45::DOUBLE * match + 0.2::DOUBLE * structure + 0.2::DOUBLE * achievements
-        + 0.1::DOUBLE * 0.5 * 0.75 + 0.05::DOUBLE * length) / 0.95::DOUBLE) AS INTEGER) AS overall FROM full_pairs),
+        + 0.1::DOUBLE * 0.5 * 0.75 + 0.05::DOUBLE * length)
+        / (0.45::DOUBLE + 0.2::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE * 0.5::DOUBLE + 0.05::DOUBLE)) AS INTEGER) AS overall FROM full_pairs),
     banded AS (SELECT *, CASE WHEN overall < 40 THEN 'Bajo' WHEN overall < 65 THEN 'Medio' WHEN overall < 85 THEN 'Bueno' ELSE 'Fuerte' END AS band FROM scored)"""
 
 

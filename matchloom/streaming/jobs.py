@@ -1,20 +1,14 @@
-"""Structured Streaming forms (W1-W7). Each returns a ``DataStreamWriter`` or a streaming DataFrame built from
+"""Structured Streaming forms (W1-W3, W7; those with keyed state are in ``state``). Each returns a ``DataStreamWriter`` or a streaming DataFrame built from
 the same columns as its batch operator; the caller sets checkpoint, trigger and sink."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import ledger, text
-from ..operators.subscriptions import CHARGE_DAYS, MAX_RETRIES, PERIOD_DAYS, RETRY_DELAY_DAYS
-
-DAY_US = 86_400_000_000
+from ..operators import text
 
 
 def dedupe_webhooks(stream: DataFrame, keys: list[str], at: str = "received_at", delay: str = "1 day") -> DataFrame:
@@ -35,113 +29,7 @@ def weekly_consumption(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
         "user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
 
 
-# --- W4 -------------------------------------------------------------------------------------------
-
-_SUB_OUT = ("subscription_id string, event_id long, at_us long, status string, retry_count int, n_success int, charged_us long, "
-            "next_us long, canceled_us long, error_code string")
-_SUB_STATE = "status string, retry_count int, n_success int, charged_us long, next_us long, canceled_us long"
-
-
-def _step(state: tuple, start_us: int, outcome: str, at: int, delays: list[int]) -> tuple[tuple, str | None]:
-    status, retry, n, charged, next_us, ended = state
-    if status == "Canceled":
-        return state, None if outcome == "cancel" else "SUBSCRIPTION/INVALID_TRANSITION"
-    if outcome == "success":
-        due = start_us + ((n + 1) * PERIOD_DAYS + CHARGE_DAYS) * DAY_US
-        return ("Active", 0, n + 1, at, due, ended), None
-    if outcome == "cancel" or retry + 1 >= MAX_RETRIES:
-        return ("Canceled", retry, n, charged, -1, at), None
-    return ("PastDue", retry + 1, n, charged, at + delays[min(retry, len(delays) - 1)] * DAY_US, ended), None
-
-
-def subscription_states(stream: DataFrame, delays: list[int] | None = None) -> DataFrame:
-    """``stream(event_id, subscription_id, outcome, at, started_at)`` to one transition row per event.
-
-    State is six values per subscription; events of one micro-batch are applied in (at, event_id) order.
-    """
-    delays = delays or RETRY_DELAY_DAYS
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(batches)).sort_values(["at_us", "event_id"])
-        start = int(events["start_us"].iloc[0])
-        state = tuple(group.get) if group.exists else ("Active", 0, 0, -1, start + CHARGE_DAYS * DAY_US, -1)
-        rows = []
-        for event_id, outcome, at in zip(events["event_id"], events["outcome"], events["at_us"]):
-            state, code = _step(state, start, outcome, int(at), delays)
-            rows.append((key[0], int(event_id), int(at), *state, code))
-        group.update(state)
-        yield pd.DataFrame(rows, columns=["subscription_id", "event_id", "at_us", "status", "retry_count", "n_success",
-                                          "charged_us", "next_us", "canceled_us", "error_code"])
-
-    rows = stream.select("event_id", "subscription_id", "outcome", F.unix_micros("at").alias("at_us"), F.unix_micros("started_at").alias("start_us"))
-    return rows.groupBy("subscription_id").applyInPandasWithState(fold, _SUB_OUT, _SUB_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-# --- W5 -------------------------------------------------------------------------------------------
-
-
-def stale_alerts(stream: DataFrame, minutes: int = 5, delay: str = "10 minutes") -> DataFrame:
-    """``stream(payment_id, kind, at)`` with kind created or terminal; an alert for every payment without
-    terminal event within ``minutes`` of its creation, raised by an event-time timer."""
-    wait_ms = minutes * 60_000
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        def alert(at_ms: int) -> pd.DataFrame:
-            return pd.DataFrame({"payment_id": [key[0]], "due_us": [at_ms * 1000]})
-
-        created, done = group.get if group.exists else (-1, -1)
-        if group.hasTimedOut:
-            group.remove()
-            yield alert(created + wait_ms)
-            return
-        events = pd.concat(list(batches))
-        ms = events["at_ms"]
-        if (events["kind"] == "created").any():
-            created = int(ms[events["kind"] == "created"].min())
-        ended = ms[events["kind"] == "terminal"]
-        if len(ended):
-            done = int(ended.min()) if done < 0 else min(done, int(ended.min()))
-        if created >= 0 and done >= 0:
-            if group.exists:
-                group.remove()
-            if done > created + wait_ms:
-                yield alert(created + wait_ms)
-            return
-        group.update((created, done))
-        if created >= 0:
-            group.setTimeoutTimestamp(max(created + wait_ms, group.getCurrentWatermarkMs() + 1))
-
-    rows = stream.withWatermark("at", delay).withColumn("at_ms", F.unix_millis("at"))
-    return rows.groupBy("payment_id").applyInPandasWithState(
-        watch, "payment_id long, due_us long", "created long, done long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-# --- W6, W7 ---------------------------------------------------------------------------------------
-
-
-def ledger_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function applying ledger entries with exactly-once effect.
-
-    Each batch owns the folder of its id and overwrites it, so a repeated batch leaves the same rows. Opening
-    balances and held keys come from the folders of earlier batches, for the users of this batch only.
-    """
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        entries = batch.persist()
-        try:
-            opening, fresh = None, entries
-            if batch_id > 0:
-                columns = T.StructType([*entries.schema.fields, T.StructField("batch_id", T.LongType())])
-                past = spark.read.schema(columns).parquet(path).filter(F.col("batch_id") < batch_id)
-                past = past.join(entries.select("user_id").distinct(), "user_id", "left_semi")
-                opening = past.groupBy("user_id").agg(F.sum("delta").alias("balance"))
-                fresh = entries.join(past.select("user_id", "reason", "reference"), ["user_id", "reason", "reference"], "left_anti")
-            accepted, _ = ledger.apply_entries(fresh, opening)
-            accepted.select(*entries.columns, "balance_after").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        finally:
-            entries.unpersist()
-
-    return apply
+# --- W7 -------------------------------------------------------------------------------------------
 
 
 def screened_documents(stream: DataFrame, patterns: list[str] | None = None, col: str = "text") -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import Window
 
 from matchloom.functions.segmented import Running, running, time_bucket
 from matchloom.operators import invoices, ledger, payments, privacy, subscriptions
-from matchloom.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
 ENTRY = "id long, user_id long, reason string, reference string, delta long, created_at timestamp"
@@ -152,18 +151,3 @@ def test_quotas(spark):
         n += 1
         want[i] = n
     assert got == want
-
-
-def test_streamed_ledger_over_batches_equals_batch(spark, tmp_path):
-    rng = random.Random(8)
-    rows = [(i, rng.randint(1, 5), "R", f"k{rng.randint(0, 40)}", rng.choice([3, -1, -2]), T0 + timedelta(minutes=i)) for i in range(240)]
-    source = str(tmp_path / "in")
-    for b in range(4):
-        spark.createDataFrame(rows[b * 60:(b + 1) * 60], ENTRY).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", 1).parquet(source)
-    out = str(tmp_path / "out")
-    query = stream.writeStream.foreachBatch(jobs.ledger_writer(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = {r["id"]: r["balance_after"] for r in spark.read.parquet(out).collect()}
-    want = {i: v for i, v in brute(rows).items() if not isinstance(v, str)}
-    assert got == want
