@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import TEXTS_PER_BATCH, chunks, texts_of
+from .shared import TEXTS_PER_BATCH, chunks, map_arrow, texts_of
 
 #: Texts longer than this many characters are cut at safe boundaries before the library sees them.
 PIECE_CHARS = 100_000
@@ -115,4 +115,4 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string()), pa.array(same, pa.bool_())],
                     names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(digest, schema)
+    return map_arrow(docs.select(id_col, text_col), digest, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import TEXTS_PER_BATCH, chunks, stored, texts_of
+from .shared import TEXTS_PER_BATCH, chunks, map_arrow, stored, texts_of
 
 #: Words of a window.
 WINDOW = 10
@@ -135,7 +135,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
                     kept = [c for i, c in enumerate(batch.columns) if not turn or i < batch.num_columns - 1]
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, added)], names=fields.names)
 
-        out = out.mapInArrow(scanned, fields)
+        out = map_arrow(out, scanned, fields)
     return out
 
 

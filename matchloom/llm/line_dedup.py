@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .bits import may_hold, members
 from .components import components
-from .shared import chunks, stored, texts_of, whole_groups
+from .shared import chunks, map_arrow, stored, texts_of, whole_groups
 
 #: Characters of a shingle, and the Jaccard similarity of the sets of shingles from which two lines are the same.
 SHINGLE, SIMILARITY = 7, 0.8
@@ -237,7 +237,7 @@ def _signed(docs: DataFrame, size: int, similarity: float, bands: int, rows: int
                 yield pa.RecordBatch.from_arrays([of.column(0), of.column(1), pa.array(place, pa.int32()), pa.array(marks, pa.binary()), pa.array(_heads(marks), pa.int64()), buckets],
                                                  names=["_id", "_text_hash", "place", "mark", "head", "buckets"])
 
-    return docs.mapInArrow(signed, f"_id {kind}, _text_hash long, place int, mark binary, head long, buckets array<long>")
+    return map_arrow(docs, signed, f"_id {kind}, _text_hash long, place int, mark binary, head long, buckets array<long>")
 
 
 def _heads(marks: list[bytes]) -> np.ndarray:
@@ -263,7 +263,7 @@ def _texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                     keep = np.flatnonzero(may_hold(shared.value, heads)).tolist()
                     yield pa.RecordBatch.from_arrays([pa.array([marks[i] for i in keep], pa.binary()), pa.array([seen[marks[i]] for i in keep], pa.string())], names=["mark", "line"])
 
-    return docs.select("_text").mapInArrow(found, "mark binary, line string")
+    return map_arrow(docs.select("_text"), found, "mark binary, line string")
 
 
 def _contested(signed: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -278,7 +278,7 @@ def _contested(signed: DataFrame, wanted: np.ndarray) -> DataFrame:
             keep = pa.array(np.flatnonzero(may_hold(shared.value, values.to_numpy())))
             yield pa.RecordBatch.from_arrays([values.take(keep), *(batch.column(k).take(pa.array(of).take(keep)) for k in (0, 1))], names=["bucket", "mark", "head"])
 
-    return signed.filter("size(buckets) > 0").select("mark", "head", "buckets").mapInArrow(kept, "bucket long, mark binary, head long")
+    return map_arrow(signed.filter("size(buckets) > 0").select("mark", "head", "buckets"), kept, "bucket long, mark binary, head long")
 
 
 def _verified(size: int, similarity: float):
@@ -359,7 +359,7 @@ def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float,
     star = rows.join(centre, "bucket").filter("mark <> b").select(F.col("mark").alias("a"), "b").distinct()
     with_a = star.join(lines.select(F.col("mark").alias("a"), F.col("line").alias("x")), "a")
     with_b = with_a.join(lines.select(F.col("mark").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
-    near = stored(with_b.mapInArrow(_verified(size, similarity), "a binary, b binary"), "near-lines")
+    near = stored(map_arrow(with_b, _verified(size, similarity), "a binary, b binary"), "near-lines")
     first = stored(components(near, name="lines"), "line-groups")
 
     rooted = rows.join(first, rows["mark"] == first["node"], "left").select("bucket", "mark", "head", F.coalesce("component", "mark").alias("root"))
@@ -372,7 +372,7 @@ def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float,
     i, j = F.least("_mine", "_other"), F.greatest("_mine", "_other")
     cells = dealt.select("bucket", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "mark", "root", "line",
                          (F.col("mark") == F.col("_centre")).alias("done"))
-    more = cells.repartition(*CELL).sortWithinPartitions(*CELL, "mark").mapInArrow(_rest(size, similarity), "a binary, b binary")
+    more = map_arrow(cells.repartition(*CELL).sortWithinPartitions(*CELL, "mark"), _rest(size, similarity), "a binary, b binary")
     both = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(stored(more, "further-lines"))
     return components(both, name="all-lines")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import TEXTS_PER_BATCH, chunks, stored, texts_of
+from .shared import TEXTS_PER_BATCH, chunks, map_arrow, stored, texts_of
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     fps[rows] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64), pa.int64())], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(hashed, schema)
+    return map_arrow(docs.select(id_col, text_col), hashed, schema)
 
 
 def gray_rank(fp: Column) -> Column:
@@ -247,7 +247,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> Dat
                                 for i, m in enumerate(block_masks(blocks, max_bits))])).alias("at")
     rows = fps.select("fp", filed).select("at.choice", "at.key", "fp", gray_rank(F.col("fp")).alias("rank"))
     ordered = rows.repartitionByRange("choice", "key", "rank").sortWithinPartitions("choice", "key", "rank").select("choice", "key", "fp")
-    found = stored(ordered.mapInArrow(_search(max_bits), _OUT), "gray-index")
+    found = stored(map_arrow(ordered, _search(max_bits), _OUT), "gray-index")
     near = found.filter("a is not null").select("a", "b")
 
     leaves = found.filter("leaf is not null").drop("a", "b")
@@ -259,7 +259,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> Dat
     left = leaves.select("choice", "key", "first", F.col("leaf").alias("x"))
     right = leaves.select("choice", "key", F.col("first").alias("first2"), F.col("leaf").alias("y"))
     opened = pairs.select("choice", "key", "first", "first2").join(left, ["choice", "key", "first"]).join(right, ["choice", "key", "first2"])
-    return near.unionByName(opened.select("x", "y").mapInArrow(_across(max_bits), "a long, b long"))
+    return near.unionByName(map_arrow(opened.select("x", "y"), _across(max_bits), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
