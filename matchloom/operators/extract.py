@@ -6,10 +6,12 @@ Documents are rows ``(doc_id, lines array<string>)``; :func:`gather_lines` build
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.anchored import openers
+from ..functions.segmented import Running, running
 
 # Patterns.
 _EMAIL = r"(?U)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
@@ -232,20 +234,18 @@ def words_to_lines(words: DataFrame, tol: float = 2.0, key: str = "doc_id") -> D
     """``(key, page, line, text)`` from ``(key, page, x, y, text)``.
 
     Words are read from top to bottom; a line holds the words within ``tol`` of its first word's height, so
-    the anchor moves only with a new line. One page is one row.
+    the anchor moves only with a new line. Lines are numbered from 0; the words of a line are ordered by place and
+    text. Words without a height are left out. A page is never held in one row, only a line is.
     """
-    item = F.struct((-F.col("y")).alias("ny"), "x", "text")
-    pages = words.groupBy(key, "page").agg(F.array_sort(F.collect_list(item)).alias("ws"))
-    line = "array<struct<x:double,text:string>>"
-    w = lambda x: F.array(F.struct(x["x"].cast("double").alias("x"), x["text"].alias("text")))
-    cut = F.aggregate(
-        "ws",
-        F.struct(F.lit(None).cast("double").alias("ny"), F.array().cast(line).alias("cur"), F.array().cast(f"array<{line}>").alias("done")),
-        lambda acc, x: F.when(
-            acc["ny"].isNull() | (F.abs(x["ny"] - acc["ny"]) > tol),
-            F.struct(x["ny"].cast("double").alias("ny"), w(x).alias("cur"),
-                     F.when(acc["ny"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))).alias("done")),
-        ).otherwise(F.struct(acc["ny"].alias("ny"), F.concat(acc["cur"], w(x)).alias("cur"), acc["done"].alias("done"))),
-        lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-    text = F.transform(cut, lambda l: F.array_join(F.transform(F.array_sort(l), lambda x: x["text"]), " "))
-    return pages.select(key, "page", F.posexplode(text).alias("line", "text"))
+    rows = words.filter(F.col("y").isNotNull()).select(key, "page", "x", "text", (-F.col("y").cast("double")).alias("_ny"))
+    opened = openers(rows, [key, "page"], "_ny", float(tol), strict=True)
+    numbered = opened.withColumn("line", F.row_number().over(Window.partitionBy(key, "page").orderBy("_ny")) - 1)
+    numbered = numbered.select(F.col(key).alias("_k"), F.col("page").alias("_p"), F.col("_ny").alias("_first"), "line")
+    heights = rows.select(key, "page", "_ny").distinct()
+    same = heights[key].eqNullSafe(numbered["_k"]) & heights["page"].eqNullSafe(numbered["_p"]) & (heights["_ny"] == numbered["_first"])
+    marked = heights.join(numbered, same, "left").select(key, "page", "_ny", F.col("line").alias("_line"))
+    lines = running(marked, [key, "page"], ["_ny"], F.floor(F.col("_ny") / max(float(tol), 1.0)), [Running("line", "last", F.col("_line"))])
+    lines = lines.select(F.col(key).alias("_k"), F.col("page").alias("_p"), F.col("_ny").alias("_h"), "line")
+    placed = rows.join(lines, rows[key].eqNullSafe(lines["_k"]) & rows["page"].eqNullSafe(lines["_p"]) & (rows["_ny"] == lines["_h"]))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "text"))), lambda w: w["text"]), " ")
+    return placed.groupBy(key, "page", "line").agg(text.alias("text"))

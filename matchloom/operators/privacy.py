@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.anchored import openers
 from ..functions.segmented import Running, running, time_bucket
 
 # --- N1-N3: consent records (id, user_id, policy_version, consent_date, revoked_at, purpose) --------
@@ -214,31 +214,24 @@ def fixed_window_quota(events: DataFrame, policies: list[tuple[str, int, int]] |
         *events.columns, "window_start", "admitted").unionByName(free)
 
 
-def _anchored(limit: int, seconds: int):
-    def fold(batches):
-        key, anchor, count = None, None, 0
-        width = seconds * 1_000_000
-        for batch in batches:
-            counts, waits = [], []
-            for k, at in zip(batch["key"], batch["_us"]):
-                if k != key or at - anchor >= width:
-                    key, anchor, count = k, at, 1
-                else:
-                    count += 1
-                counts.append(count)
-                waits.append(max(1, -(-(anchor + width - at) // 1_000_000)) if count > limit else 0)
-            yield pd.DataFrame({"event_id": batch["event_id"], "key": batch["key"], "n": counts, "retry_after": waits})
-
-    return fold
-
-
 def anchored_window_quota(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Q2: windows opened by a key's first event and again by the first event at least ``seconds`` later:
-    ``(event_id, key, n, admitted, retry_after)``. The fold reads rows sorted in their partition and keeps one
-    anchor and one count."""
+    ``(event_id, key, n, admitted, retry_after)``.
+
+    Events of one instant count in the order of their ids. Events without a time are admitted and count for nothing.
+    Openers are found by doubling jumps and counts are bucketed by time, so a hot key is spread over its buckets.
+    """
     limit, seconds = max(limit, 1), max(seconds, 1)
-    types = dict(events.dtypes)
-    schema = f"event_id {types['event_id']}, key {types['key']}, n int, retry_after int"
+    width = seconds * 1_000_000
     rows = events.select("event_id", "key", F.unix_micros("at").alias("_us"))
-    ordered = rows.repartition("key").sortWithinPartitions("key", "_us", "event_id")
-    return ordered.mapInPandas(_anchored(limit, seconds), schema).withColumn("admitted", F.col("n") <= limit)
+    timed = rows.filter("_us is not null")
+    opened = openers(timed, ["key"], "_us", width).select(F.col("key").alias("_ok"), F.col("_us").alias("_open"))
+    marked = timed.join(opened, timed["key"].eqNullSafe(opened["_ok"]) & (timed["_us"] == opened["_open"]), "left").drop("_ok")
+    order = ["_us", "event_id"]
+    anchored = running(marked, ["key"], order, F.floor(F.col("_us") / width), [Running("_anchor", "last", F.col("_open"))])
+    counted = running(anchored, ["key", "_anchor"], order, F.floor(F.col("_us") / max(1, width // 16)), [Running("_n", "count")])
+    left = F.ceil((F.col("_anchor") + width - F.col("_us")) / 1_000_000)
+    n = F.col("_n").cast("int")
+    out = counted.select("event_id", "key", n.alias("n"), F.when(n > limit, F.greatest(F.lit(1), left)).otherwise(0).cast("int").alias("retry_after"))
+    free = rows.filter("_us is null").select("event_id", "key", F.lit(0).alias("n"), F.lit(0).alias("retry_after"))
+    return out.unionByName(free).withColumn("admitted", F.col("n") <= limit)

@@ -172,7 +172,7 @@ def x8(spark, sf):
 def x9(spark, sf):
     li = c.table(spark, sf, "lineitem")
     words = li.select(
-        (F.col("l_orderkey") % 500).alias("doc_id"), (F.col("l_suppkey") % 3).alias("page"), (F.col("l_extendedprice") % 600).alias("x"),
+        F.expr("l_orderkey div 100").alias("doc_id"), (F.col("l_suppkey") % 3).alias("page"), (F.col("l_extendedprice") % 600).alias("x"),
         (F.col("l_partkey") % 700).cast("double").alias("y"), F.concat(F.lit("w"), "l_orderkey", F.lit("_"), "l_linenumber").alias("text"))
     return ex.words_to_lines(words)
 
@@ -249,6 +249,13 @@ _MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 _TEL = r"\+\d{1,3}[\s\-]?\(?\d{1,4}\)?[\s\-]?\d{2,4}(?:[\s\-]?\d{2,4}){1,2}"
 
 ORACLES = {
+    "x9_words_to_lines": """WITH RECURSIVE w AS (SELECT l_orderkey // 100 AS doc_id, l_suppkey % 3 AS page, l_extendedprice % 600 AS x, -CAST(l_partkey % 700 AS DOUBLE) AS ny,
+          'w' || l_orderkey || '_' || l_linenumber AS text FROM lineitem),
+        s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ny) AS rn FROM (SELECT DISTINCT doc_id, page, ny FROM w)),
+        walk AS (SELECT doc_id, page, rn, ny, ny AS anchor, 0 AS line FROM s WHERE rn = 1
+          UNION ALL SELECT s.doc_id, s.page, s.rn, s.ny, CASE WHEN s.ny - anchor > 2 THEN s.ny ELSE anchor END, CASE WHEN s.ny - anchor > 2 THEN line + 1 ELSE line END
+          FROM walk k JOIN s ON s.doc_id = k.doc_id AND s.page = k.page AND s.rn = k.rn + 1)
+        SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY x, text) AS text FROM w JOIN walk USING (doc_id, page, ny) GROUP BY doc_id, page, line""",
     "r1_tokens": f"SELECT doc_id, array_to_string({_tok('text')}, ' ') AS tokens FROM documents",
     "r2_experience_score": f"{_V2} SELECT cv_id, job_id, CAST(exp AS INTEGER) AS experience FROM parts",
     "r3_education_score": f"{_V2} SELECT cv_id, job_id, CAST(ed AS INTEGER) AS education_score FROM parts",
