@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns by number in a part of a dialogue, and rows above which such a part is cut further.
-TURNS, ROWS = 64, 256
-
 #: Fixed values of the format: what opens and closes a message.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -15,61 +12,45 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SCENE = ("system",)
 
 
-def parts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", width: int = TURNS, rows: int = ROWS) -> DataFrame:
-    """``(conv, block, sub, salt, messages)``: consecutive turns of a dialogue, sorted, in rows of bounded size.
-
-    A part has the turns of one block of ``width`` numbers. If that block has more than ``rows`` rows it is cut by turn
-    number, and a number with more rows than that by a hash of its message. Only the counts of overfull blocks are
-    joined back. Null turns come last; rows with equal turns are ordered by role and text.
-    """
-    base = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("block", F.floor(F.col("turn") / width)).withColumn("hash", F.xxhash64("role", "text"))
-    full = base.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows).select(F.col("conv").alias("c"), F.col("block").alias("b"))
-    hot = base.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows)
-    hot = hot.select(F.col("conv").alias("hc"), F.col("turn").alias("ht"), F.ceil(F.col("n") / rows).alias("pieces"))
-    cut = base.join(full, base["conv"].eqNullSafe(full["c"]) & base["block"].eqNullSafe(full["b"]), "left")
-    cut = cut.withColumn("sub", F.when(F.col("b").isNotNull() | (F.col("block").isNull() & F.col("c").isNotNull()), F.col("turn")))
-    cut = cut.join(hot, cut["conv"].eqNullSafe(hot["hc"]) & cut["turn"].eqNullSafe(hot["ht"]), "left")
-    cut = cut.withColumn("salt", F.coalesce(F.pmod("hash", "pieces"), F.lit(0)))
-    message = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text")
-    return cut.groupBy("conv", "block", "sub", "salt").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+def neutral(text: Column) -> Column:
+    """Text in which the format's marks are plain text, so that no message can open or close another."""
+    for mark in (OPEN, CLOSE):
+        text = F.replace(text, F.lit(mark), F.lit(mark.replace("<|", "<| ")))
+    return text
 
 
-def _heads(speaker: Column, scene: tuple[str, ...]):
+def _head(scene: tuple[str, ...]) -> Column:
     """What opens a message: the speaker is the assistant, scene roles keep theirs, anyone else is a user with a name."""
-    def head(m: Column) -> Column:
-        who = (F.when(m["role"].isNull(), "user").when(m["role"] == speaker, "assistant").when(m["role"].isin(*scene), m["role"])
-               .otherwise(F.concat(F.lit("user name="), m["role"])))
-        return F.concat(F.lit(OPEN), who, F.lit("\n"))
-    return head
+    role = F.col("_role")
+    name = F.translate(neutral(role), "\r\n", "  ")
+    who = (F.when(role.isNull(), "user").when(role == F.col("speaker"), "assistant").when(role.isin(*scene), name)
+           .otherwise(F.concat(F.lit("user name="), name)))
+    return F.concat(F.lit(OPEN), who, F.lit("\n"))
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", scene: tuple[str, ...] = SCENE,
-           width: int = TURNS, rows: int = ROWS) -> DataFrame:
-    """One row per dialogue, participant and part: ``conv_col``, ``speaker``, ``first_turn``, ``part``, ``n_turns``, ``text``,
-    ``mask``.
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", scene: tuple[str, ...] = SCENE) -> DataFrame:
+    """One row per dialogue and participant: ``conv_col``, ``speaker``, ``first_turn``, ``n_turns``, ``text``, ``mask``.
 
     Every role of a dialogue but the scene's and null is a participant. In its rendering its own messages are the
     assistant's, others are users named by their roles. ``mask`` has ``(start, end)`` in characters of ``text`` of what
-    is learnt: the speaker's messages with what closes them. A dialogue of at most ``width`` turns is one part; a
-    longer one has parts in order of ``first_turn``, so no dialogue need fit into one row.
+    is learnt: the speaker's messages with what closes them. A dialogue is rendered whole, however long it is, so a
+    rendering must fit into a row; dialogues and speakers are dealt out over tasks.
 
-    Null texts are empty messages and null roles are users without a name. Rows with a null dialogue form one dialogue.
+    Marks of the format inside texts and names get a space after ``<|``, and line ends in names become spaces, so that
+    no message forges another. Null texts are empty messages and null roles are users without a name. Null turns come
+    last; rows with equal turns are ordered by role (null first) and text. Rows with a null dialogue form one dialogue.
     Repeated rows are messages of their own. A dialogue without a participant gives no row; an empty table gives an
     empty one; other columns are not read. Only DataFrame functions are used.
     """
-    cut = parts(turns, conv_col, turn_col, role_col, text_col, width, rows)
-    speakers = turns.select(F.col(conv_col).alias("_conv"), F.col(role_col).alias("speaker")).filter(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*scene)).distinct()
-    seen = cut.join(speakers, cut["conv"].eqNullSafe(speakers["_conv"])).drop("_conv")
-    head = _heads(F.col("speaker"), scene)
-    close = F.lit(CLOSE + "\n")
-    seen = seen.withColumn("_heads", F.transform("messages", head))
-    seen = seen.withColumn("_ends", F.transform("messages", lambda m, i: F.length(F.get("_heads", i)) + F.length(m["text"]) + len(CLOSE) + 1))
-    # end of each message: the sum of the sizes up to it; parts are short, so each sums its own slice
-    seen = seen.withColumn("_ends", F.transform("_ends", lambda _, i: F.aggregate(F.slice("_ends", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)))
-    spans = F.transform("messages", lambda m, i: F.when(m["role"] == F.col("speaker"), F.struct(
-        (F.get("_ends", i) - len(CLOSE) - 1 - F.length(m["text"])).alias("start"), (F.get("_ends", i) - 1).alias("end"))))
-    text = F.array_join(F.transform("messages", lambda m, i: F.concat(F.get("_heads", i), m["text"], close)), "")
-    first = F.get("messages", F.lit(0))["turn"]
-    return seen.select(F.col("conv").alias(conv_col), "speaker", first.alias("first_turn"), F.col("salt").alias("part"), F.size("messages").cast("long").alias("n_turns"),
-                       text.alias("text"), F.array_compact(spans).alias("mask"))
+    text = neutral(F.coalesce(F.col(text_col), F.lit("")))
+    base = turns.select(F.col(conv_col).alias("_conv"), F.col(turn_col).cast("long").alias("_turn"), F.col(role_col).alias("_role"), text.alias("_text"))
+    speakers = turns.select(F.col(conv_col).alias("_c"), F.col(role_col).alias("speaker")).filter(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*scene)).distinct()
+    seen = base.join(speakers, base["_conv"].eqNullSafe(speakers["_c"])).withColumn("_head", _head(scene))
+    order = Window.partitionBy("_conv", "speaker").orderBy(F.col("_turn").asc_nulls_last(), "_role", "_text").rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumn("_end", F.sum(F.length("_head") + F.length("_text") + len(CLOSE) + 1).over(order))
+    stop = F.col("_end") - 1
+    learnt = F.when(F.col("_role") == F.col("speaker"), F.struct((stop - len(CLOSE) - F.length("_text")).alias("start"), stop.alias("end")))
+    message = F.struct("_end", F.concat("_head", "_text", F.lit(CLOSE + "\n")).alias("m"))
+    out = seen.groupBy("_conv", "speaker").agg(
+        F.min("_turn").alias("first_turn"), F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(message)).alias("_all"), F.array_sort(F.collect_list(learnt)).alias("mask"))
+    return out.select(F.col("_conv").alias(conv_col), "speaker", "first_turn", "n_turns", F.array_join(F.transform("_all", lambda x: x["m"]), "").alias("text"), "mask")

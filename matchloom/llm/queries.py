@@ -33,18 +33,20 @@ def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "speaker", "first_turn", "n_turns", "text", spans.alias("spans"))
 
 
-OP2_SQL = """
-WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, turn // 64 AS part FROM conversations),
+_NEUTRAL = "replace(replace({}, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>')"
+
+OP2_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, role, {_NEUTRAL.format("coalesce(text, '')")} AS text, translate({_NEUTRAL.format("role")}, chr(13) || chr(10), '  ') AS name FROM conversations),
   speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
   heads AS (SELECT t.*, speaker, '<|im_start|>' || CASE WHEN role IS NULL THEN 'user' WHEN role = speaker THEN 'assistant'
-      WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head
+      WHEN role = 'system' THEN role ELSE 'user name=' || name END || chr(10) AS head
     FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-  placed AS (SELECT *, CAST(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text
+  placed AS (SELECT *, CAST(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, speaker ORDER BY turn, role NULLS FIRST, text
       ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM heads)
 SELECT conv_id, speaker, min(turn) AS first_turn, count(*) AS n_turns,
-  string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text,
-  coalesce(string_agg((stop - 11 - length(text)) || '-' || (stop - 1), ',' ORDER BY turn, role, text) FILTER (WHERE role = speaker), '') AS spans
-FROM placed GROUP BY conv_id, speaker, part
+  string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY stop) AS text,
+  coalesce(string_agg((stop - 11 - length(text)) || '-' || (stop - 1), ',' ORDER BY stop) FILTER (WHERE role = speaker), '') AS spans
+FROM placed GROUP BY conv_id, speaker
 """
 
 
