@@ -14,26 +14,34 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import WHITE
 from .crc32c import masked
-from .shared import TEXTS_PER_BATCH, chunks, texts_of
+from .shared import TEXTS_PER_BATCH, chunks, sized
 
 HEAD, TAIL = 12, 4
 
-#: Ids of stretches kept per worker process, and the longest stretch that is kept; a full store starts anew.
+#: Words and stretches whose ids are kept per worker process, and the longest that is kept; a full store starts anew
+#: with what the texts at hand share with it.
 KEPT, KEPT_CHARS = 800_000, 48
 
 #: Visible text, cut where a sign follows Latin letters: letters and signs never share a token. U+00D7 and U+00F7 are
 #: signs, and U+0130 in lower case ends in one.
 STRETCH = re.compile(f"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+(?=[.,;:!?])|[^{WHITE}]+")
 
+#: Bytes of texts encoded at once.
+BYTES_AT_ONCE = 8 << 20
+
+VISIBLE = re.compile(f"[^{WHITE}]+")
+
 INDEX_SCHEMA = "shard long, file string, start_in_shard long, offset long, n_bytes long, n_tokens long"
 
 
@@ -42,11 +50,11 @@ def id_type(n_ids: int) -> np.dtype:
 
 
 class Encoder:
-    """The tokenizers library over whole texts, with the ids of frequent stretches kept.
+    """The tokenizers library over whole texts, with the ids of words and of their stretches kept.
 
     It is for vocabularies that drop white space, keep letters and signs apart and lower-case (this is verified). No
     token, normal form or pattern of theirs reaches from one stretch into the next, so the library encodes each
-    stretch once, and its ids are looked up afterwards.
+    stretch once; a word's ids are those of its stretches, put together once and looked up afterwards.
     """
 
     def __init__(self, path: str):
@@ -69,34 +77,48 @@ class Encoder:
         self.dtype = id_type(self.library.get_vocab_size(with_added_tokens=True))
         self.kept: dict[str, bytes] = {}
 
-    def _stretches(self, text: str) -> list[str]:
-        if text.isascii():  # what the library would do first; not where it could make a special string
-            low = text.lower()
-            text = text if any(x in low for x in self.special) else low
-        return STRETCH.findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, without special tokens of a template."""
-        cut = [self._stretches(x) for x in texts]
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        new = list(set().union(*cut).difference(self.kept))
-        fresh = self.library.encode_batch_fast(new, add_special_tokens=False)
-        ids = {x: np.array(e.ids, self.dtype).tobytes() for x, e in zip(new, fresh, strict=True)}
-        self.kept.update((x, v) for x, v in ids.items() if len(x) <= KEPT_CHARS)
-        found = _Both(self.kept, ids)
-        return [b"".join(map(found.__getitem__, x)) for x in cut]
-
-
-class _Both(dict):
-    """The kept ids, then those of this batch."""
-
-    def __init__(self, kept: dict, fresh: dict):
-        super().__init__(fresh)
-        self.kept = kept
-
-    def __missing__(self, key):
-        return self.kept[key]
+    def _learn(self, words: list[str]) -> set[str]:
+        """Keep the ids of words that are not kept yet; returns those, and stretches, that are too long to stay."""
+        kept = self.kept
+        fresh = {x: STRETCH.findall(x) for x in words if x not in kept}
+        new = [*set().union(*fresh.values()).difference(kept)]
+        found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        ends = list(accumulate(map(len, found), initial=0))
+        packed, width = np.fromiter(chain.from_iterable(found), self.dtype, ends[-1]).tobytes(), self.dtype.itemsize
+        kept.update((x, packed[a * width:b * width]) for x, (a, b) in zip(new, pairwise(ends), strict=True))
+        kept.update((x, b"".join(map(kept.__getitem__, parts))) for x, parts in fresh.items() if len(parts) != 1)
+        return {x for x in chain(fresh, new) if len(x) > KEPT_CHARS}
+
+    def _lowered(self, word: str) -> str:
+        """Lower case is what the library would do first; not where it could make a special string."""
+        low = word.lower() if word.isascii() else word
+        return word if "<" in low and any(x in low for x in self.special) else low
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of each text, without special tokens of a template; null is the empty text.
+
+        Arrow cuts the texts into words, numbers the different ones and puts the ids of words together; Python sees
+        each different word of the texts once.
+        """
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            # these four split Arrow's texts, but are not white space to the library
+            cut = pa.array([VISIBLE.findall(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            cut = pc.utf8_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        different = [*map(self._lowered, words.dictionary.to_numpy(zero_copy_only=False).tolist())]
+        if len(self.kept) > KEPT:  # what these texts hold too stays
+            self.kept = {x: self.kept[x] for x in different if x in self.kept}
+        long = self._learn(different)
+        ids = pa.array([self.kept[x] for x in different], pa.large_binary()).take(words.indices)
+        for x in long:
+            del self.kept[x]
+        at = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False))])
+        bounds = cut.offsets.to_numpy()
+        ends = at[bounds - bounds[0]].astype(np.int64).tolist() if len(cut) else [0]
+        data = (ids.buffers()[2] or b"") if len(ids) else b""  # the ids of all words, one after another
+        return [bytes(memoryview(data)[a:b]) for a, b in pairwise(ends)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -149,12 +171,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
         sink, file = None, f"{data}/shard-{shard:06d}-{task.taskAttemptId()}.rec"
         offset = before = 0
         for whole in batches:
-            for batch in chunks(whole, TEXTS_PER_BATCH):
+            for batch in sized(whole, 1, BYTES_AT_ONCE):
                 if sink is None:
                     target, path = _opened(file)
                     target.create_dir(os.path.dirname(path), recursive=True)
                     sink = target.open_output_stream(path)
-                items = [x + end for x in enc.encode(texts_of(batch.column(1)))]
+                items = [x + end for x in enc.encode(batch.column(1))]
                 sizes = np.array([len(x) for x in items], np.int64)
                 for record in frame(items):
                     sink.write(record)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import decontamination as plain_decontamination
 from pyspark.sql import functions as F
@@ -102,10 +103,19 @@ def test_records_equal_library(spark, odd, odd_rows, real):
 
 def test_records_of_every_character():
     texts = [f"x{c}y {c}1 {c}{c} a\n{c}b. a{c}. a.{c} {c}" for c in map(chr, range(0x3000)) if not 0xD800 <= ord(c) < 0xE000]
-    got = records.encoder(WORDS).encode(texts)
+    got = records.encoder(WORDS).encode(pa.array(texts))
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == library_ids(WORDS, texts)
 
 
+def test_records_words_kept_and_special():
+    enc = records.Encoder(WORDS)
+    texts = ["", None, "  a  b ", "x\x1cy Z", "<|endoftext|> A<|ENDOFTEXT|> <|startoftext|>\n", "Z" * 100 + ".", "a, b. c!"]
+    for part in (texts, texts[:3], texts[5:], texts[:2], []):
+        got = enc.encode(pa.array(part, pa.string()))
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == library_ids(WORDS, [x or "" for x in part])
+    assert max(map(len, enc.kept)) <= records.KEPT_CHARS
+
+
 def test_shuffled_reads_repeats_and_damage(spark):
     rows = [(3, "three words here"), (1, "one"), (3, "three words here"), (None, "no id"), (2, None)]
     index = records.write_records(spark.createDataFrame(rows, "doc_id long, text string"), scratch_dir(spark, "t-records"), WORDS)
