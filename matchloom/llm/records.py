@@ -153,7 +153,8 @@ def unframe(found: list[bytes]) -> list[bytes]:
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` in ascending ``id_col`` order into ``folder`` and return the offset index read from there.
 
-    A range exchange on (id, hash of the text) gives each task a run of ids; null ids come first. A task streams its
+    A range exchange on (id, hash of the text) gives each task a run of ids; null ids come first, and rows of
+    one id follow the hash of their text, then the text, so a task that is run again writes the same. A task streams its
     rows into one shard file of its own name and returns one index row per record, which Spark commits as Parquet in
     ``folder/index`` once per task. A task that is run again writes another file, and only the files of committed
     tasks are in the index. The index has ``id_col, shard, file, start_in_shard, offset, n_bytes, n_tokens``; shards
@@ -191,8 +192,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
         if sink is not None:
             sink.close()
 
-    ordered = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc(), F.xxhash64(text_col).asc())
-    index = ordered.sortWithinPartitions(id_col).mapInArrow(written, f"`{id_col}` {kind}, {INDEX_SCHEMA}")
+    order = [F.col(id_col).asc(), F.xxhash64(text_col).asc(), F.col(text_col).asc()]
+    ordered = docs.select(id_col, text_col).repartitionByRange(*order[:2])
+    index = ordered.sortWithinPartitions(*order).mapInArrow(written, f"`{id_col}` {kind}, {INDEX_SCHEMA}")
     index.write.parquet(f"{folder}/index")
     return read_index(spark, folder)
 

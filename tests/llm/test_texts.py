@@ -116,6 +116,17 @@ def test_records_words_kept_and_special():
     assert max(map(len, enc.kept)) <= records.KEPT_CHARS
 
 
+def test_records_of_one_id_are_in_order(spark):
+    rows = [(1, f"text {i % 40}") for i in range(80)] + [(None, "b"), (None, "a"), (0, "z")]
+    orders = []
+    for parts in (1, 7):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        index = records.write_records(frame, scratch_dir(spark, "t-records"), WORDS)
+        found = records.record_checksums(records.with_starts(index), WORDS).orderBy("start").collect()
+        orders.append([(r["doc_id"], r["start"], r["ids_crc32"]) for r in found])
+    assert orders[0] == orders[1] and [x[0] for x in orders[0][:3]] == [None, None, 0]
+
+
 def test_shuffled_reads_repeats_and_damage(spark):
     rows = [(3, "three words here"), (1, "one"), (3, "three words here"), (None, "no id"), (2, None)]
     index = records.write_records(spark.createDataFrame(rows, "doc_id long, text string"), scratch_dir(spark, "t-records"), WORDS)
