@@ -79,6 +79,12 @@ def in_reach(length: Column, other: Column, threshold: float) -> Column:
     return _share(threshold, 4) * length * other / (length + other) - 1e-9 <= F.least(length, other)
 
 
+def longest_partner(length: Column, threshold: float) -> Column:
+    """Greatest length in reach of ``length``: of words a and longer b at most a characters are common, so b / (a + b)
+    times the share is at most 1."""
+    return F.floor(length / F.lit(_share(threshold, 4) - 1) + F.lit(1e-6)).cast("int")
+
+
 def jaro_winkler_keys(word: str, threshold: float, lengths: Iterable[int]) -> list[str]:
     """Keys such that ``word`` and any word of one of ``lengths`` with Jaro-Winkler >= ``threshold`` share one.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import in_reach, jaro_winkler, key_udf, segment_udfs
+from ..functions.similarity import in_reach, jaro_winkler, key_udf, longest_partner, segment_udfs
 
 
 def normalized_levenshtein(a: Column, b: Column) -> Column:
@@ -27,7 +27,7 @@ def _jaro_winkler_pairs(left: DataFrame, right: DataFrame, threshold: float) ->
         near = F.filter("_of", lambda n: in_reach(F.length(col), n, threshold))
         return words.withColumn("_of", lengths).withColumn("_n", near).filter("size(_n) > 0").select(col, F.explode(keys(col, "_n")).alias("k"))
 
-    lk = keyed(left, "a", F.sequence(F.lit(1), 4 * F.length("a") + 4))
+    lk = keyed(left, "a", F.sequence(F.lit(1), longest_partner(F.length("a"), threshold)))
     rk = keyed(_spread(right, "b"), "b", left.agg(F.collect_set(F.length("a"))).scalar())
     pairs = _spread(rk.join(lk, "k").select("a", "b"), "a", "b").distinct()
     return pairs.withColumn("score", jaro_winkler("a", "b")).filter(F.col("score") >= threshold)

@@ -96,6 +96,39 @@ def fold_charges(subs: DataFrame, events: DataFrame, delays: list[int] | None =
     return joined.select(*[state[c].alias(c) if c in state else F.col(c) for c in subs.columns]), errors
 
 
+def charges_from_webhooks(webhooks: DataFrame, subs: DataFrame, bucket_seconds: int = 86_400) -> tuple[DataFrame, DataFrame]:
+    """U2 from P4: ``(charges, rejected)``. ``webhooks(event_id, event_type, payment_source_id, charge_id, is_recurring,
+    received_at)`` are verified and parsed; ``charges(event_id, subscription_id, outcome, at)`` suit ``fold_charges``.
+
+    A charge belongs to the subscription that its payment source was last given to at or before the charge. A webhook
+    that comes again, by its charge id or else by its event id, counts once, for whom it first belonged to. Charges
+    without a payment source or without an owner at their time are rejected with a code; other webhooks are left out.
+
+    Replays are reduced before the shuffle. Charges and starts are merged in time per payment source and the last owner
+    is carried along, bucket by bucket, so a source with most charges is not one task.
+    """
+    recurring = webhooks.filter("is_recurring")
+    kept = ["event_id", "event_type", "payment_source_id", "received_at"]
+    blank = recurring.filter(tx.is_blank(F.col("payment_source_id"))).select(*kept).groupBy("event_id").agg(
+        F.min_by(F.struct(*kept[1:]), F.struct("received_at", "event_type")).alias("_w")).select("event_id", "_w.*")
+    named = F.col("charge_id").isNotNull() & (F.col("charge_id") != F.col("payment_source_id"))
+    key = F.when(named, F.struct(F.lit("charge").alias("by"), F.col("charge_id").alias("key"))).otherwise(
+        F.struct(F.lit("event").alias("by"), F.col("event_id").cast("string").alias("key")))
+    once = recurring.filter(~tx.is_blank(F.col("payment_source_id"))).groupBy("payment_source_id", "event_type", key.alias("_key")).agg(
+        F.min(F.struct("received_at", "event_id")).alias("_first"))
+    once = once.select("_first.event_id", "event_type", "payment_source_id", "_first.received_at")
+    rows = once.select("*", F.col("received_at").alias("_at"), F.lit(1).alias("_o"), F.lit("").alias("_id"), F.lit(None).cast("string").alias("_sub")).unionByName(
+        subs.select("payment_source_id", F.col("started_at").alias("_at"), F.lit(0).alias("_o"), F.col("id").cast("string").alias("_id"),
+                    F.col("id").cast("string").alias("_sub")), allowMissingColumns=True)
+    owned = running(rows, ["payment_source_id"], ["_at", "_o", "_id"], time_bucket("_at", bucket_seconds), [Running("_owner", "last", F.col("_sub"))]).filter("_o = 1")
+    outcome = F.when(F.col("event_type") == "recurring_charge.successful", "success").otherwise("failure")
+    charges = owned.filter("_owner is not null").select(
+        "event_id", F.col("_owner").cast(subs.schema["id"].dataType).alias("subscription_id"), outcome.alias("outcome"), F.col("received_at").alias("at"))
+    rejected = blank.withColumn("error_code", F.lit("PAYMENT/INVALID_PAYLOAD")).unionByName(
+        owned.filter("_owner is null").select(*kept, F.lit("SUBSCRIPTION/NOT_FOUND").alias("error_code")))
+    return charges, rejected
+
+
 def due_for_retry(subs: DataFrame, as_of: Column, limit: int = 50) -> DataFrame:
     """U4: the report of the ``limit`` earliest past-due subscriptions."""
     due = subs.filter((F.col("status") == "PastDue") & (F.col("next_charge_at") <= as_of))

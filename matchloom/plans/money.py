@@ -239,6 +239,41 @@ def u2(spark, sf):
     return _folded(spark, sf)[0].select("id", "status", "retry_count", us("period_start"), us("period_end"), us("last_charge_at"), us("next_charge_at"), us("canceled_at"))
 
 
+def recurring(spark, sf):
+    """``(subscriptions, webhooks)``: two users share a payment source, the odd one later; signed webhooks of its charges,
+    some of them delivered twice."""
+    e = c.table(spark, sf, "events")
+    start = ts(START) + F.make_dt_interval(F.when(F.col("user_id") % 2 == 1, F.col("user_id") % 10 + 1).otherwise(F.when(F.col("user_id") % 7 == 0, 9).otherwise(0)).cast("int"))
+    source = F.concat(F.lit("ps"), F.floor(F.col("user_id") / 2).cast("string"))
+    subs = sub.create_subscriptions(e.select("user_id").distinct().select(
+        F.concat(F.lit("s"), "user_id").alias("id"), "user_id", F.lit("Starter").alias("plan"), source.alias("payment_source_id"), start.alias("at")))[0]
+    good = F.concat(F.lit('{"event":"recurring_charge.successful","payment_source_id":"'), source, F.lit('","charge_id":"ch'), F.col("event_id").cast("string"), F.lit('"}'))
+    bad = F.when(F.col("event_id") % 53 == 0, F.lit('{"event":"recurring_charge.failed","reason":"funds"}')).otherwise(
+        F.concat(F.lit('{"event":"recurring_charge.failed","payment_source_id":"'), source, F.lit('","reason":"funds"}')))
+    sent = e.filter("event_type in ('purchase', 'error')").select(
+        F.col("event_id").cast("long"), F.when(F.col("event_type") == "purchase", good).otherwise(bad).alias("payload"), F.col("ts").alias("received_at"))
+    again = sent.filter("event_id % 3 = 0").select(
+        F.when(F.col("payload").contains("charge_id"), -F.col("event_id") - 1).otherwise(F.col("event_id")).alias("event_id"), "payload",
+        (F.col("received_at") + F.expr("interval 2 days")).alias("received_at"))
+    first = F.when(F.col("event_id") < 0, -F.col("event_id") - 1).otherwise(F.col("event_id"))
+    signature = F.when(first % 41 == 0, F.lit("00")).otherwise(pay.hmac_sha256(F.col("payload"), SECRET))
+    return subs, pay.parse_webhooks(pay.verify_hmac(sent.unionByName(again).withColumn("signature", signature), SECRET)).filter("valid_signature")
+
+
+def u2_charges(spark, sf):
+    subs, hooks = recurring(spark, sf)
+    charges, rejected = sub.charges_from_webhooks(hooks, subs)
+    return charges.select("event_id", "subscription_id", "outcome", us("at"), F.lit("").alias("error_code")).unionByName(
+        rejected.select("event_id", F.lit("").alias("subscription_id"), F.when(F.col("event_type").endswith("successful"), "success").otherwise("failure").alias("outcome"),
+                        F.unix_micros("received_at").alias("at"), "error_code"))
+
+
+def u2_from_webhooks(spark, sf):
+    subs, hooks = recurring(spark, sf)
+    states, _ = sub.fold_charges(subs, sub.charges_from_webhooks(hooks, subs)[0])
+    return states.select("id", "status", "retry_count", us("period_end"), us("last_charge_at"), us("canceled_at"))
+
+
 def u3(spark, sf):
     return _folded(spark, sf)[1].select("event_id", "subscription_id", "outcome", "error_code")
 
@@ -304,7 +339,7 @@ QUERIES = {
     "p1_attach_package": p1, "p2_dedupe_checkouts": p2, "p3_verify_hmac": p3, "p4_parse_webhooks": p4, "p5_merge_payments": p5,
     "p5_rejected_webhooks": p5_rejected, "p6_fan_out_approved": p6, "p6_gated_fan_out": p6_gated, "p7_stale_pending": p7, "p8_reconcile": p8, "p9_unsettled": p9,
     "p10_payment_page": p10, "p11_audit_payments": p11,
-    "u1_create_subscriptions": u1, "u2_fold_charges": u2, "u3_illegal_transitions": u3, "u4_due_for_retry": u4,
+    "u1_create_subscriptions": u1, "u2_fold_charges": u2, "u2_charges_from_webhooks": u2_charges, "u2_from_webhooks": u2_from_webhooks, "u3_illegal_transitions": u3, "u4_due_for_retry": u4,
     "u5_current_subscription": u5, "u5_overlapping_subscriptions": u5_overlaps, "u6_cancel": u6, "u7_grants": u7,
     "i1_number_documents": i1, "i2_document_kind": i2, "i3_invoices_from_payments": i3, "i4_audit_numbering": i4,
 }
@@ -361,6 +396,21 @@ _SUBS = f"""subs AS (SELECT DISTINCT 's' || user_id AS id, user_id, CASE WHEN us
         CASE WHEN status = 'Canceled' THEN ended WHEN outcome = 'cancel' OR (outcome = 'failure' AND retry + 1 >= 3) THEN ch.at END,
         CASE WHEN status = 'Canceled' AND outcome <> 'cancel' THEN ch.event_id END, outcome
       FROM walk w JOIN ch ON ch.sid = w.sid AND ch.rn = w.rn + 1)"""
+_REC = f"""subs AS (SELECT DISTINCT 's' || user_id AS id, 'ps' || CAST(floor(user_id / 2) AS BIGINT) AS source,
+      TIMESTAMP '{START}' + INTERVAL 1 DAY * CAST(CASE WHEN user_id % 2 = 1 THEN user_id % 10 + 1 WHEN user_id % 7 = 0 THEN 9 ELSE 0 END AS INTEGER) AS started FROM events),
+    sent AS (SELECT event_id, 'ps' || CAST(floor(user_id / 2) AS BIGINT) AS source, ts AS at, CASE event_type WHEN 'purchase' THEN 'success' ELSE 'failure' END AS outcome,
+      event_type = 'error' AND event_id % 53 = 0 AS unnamed FROM events WHERE event_type IN ('purchase', 'error') AND event_id % 41 <> 0),
+    named AS (SELECT event_id, sent.at, outcome, unnamed, arg_max(id, started) AS sid FROM sent LEFT JOIN subs s ON sent.source = s.source AND sent.at >= s.started GROUP BY ALL),
+    owned AS (SELECT * REPLACE (CASE WHEN NOT unnamed THEN sid END AS sid) FROM named),
+    ch AS (SELECT event_id, sid, owned.at, outcome, row_number() OVER (PARTITION BY sid ORDER BY owned.at, event_id) AS rn FROM owned WHERE sid IS NOT NULL)"""
+_REC_WALK = f"""{_REC}, walk AS (
+      SELECT id AS sid, CAST(0 AS BIGINT) AS rn, 'Active' AS status, 0 AS retry, 0 AS n, NULL::TIMESTAMP AS charged, NULL::TIMESTAMP AS ended, started FROM subs
+      UNION ALL
+      SELECT w.sid, ch.rn, CASE WHEN status = 'Canceled' THEN 'Canceled' WHEN outcome = 'success' THEN 'Active' WHEN retry + 1 >= 3 THEN 'Canceled' ELSE 'PastDue' END,
+        CASE WHEN status = 'Canceled' THEN retry WHEN outcome = 'success' THEN 0 WHEN retry + 1 >= 3 THEN retry ELSE retry + 1 END,
+        CASE WHEN status <> 'Canceled' AND outcome = 'success' THEN n + 1 ELSE n END, CASE WHEN status <> 'Canceled' AND outcome = 'success' THEN ch.at ELSE charged END,
+        CASE WHEN status = 'Canceled' THEN ended WHEN outcome = 'failure' AND retry + 1 >= 3 THEN ch.at END, started
+      FROM walk w JOIN ch ON ch.sid = w.sid AND ch.rn = w.rn + 1)"""
 _OLD = """old AS (SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderstatus WHEN 'O' THEN 'PastDue' WHEN 'F' THEN 'Canceled' ELSE 'Active' END AS status,
     o_orderdate AS started_at, o_orderdate + INTERVAL 27 DAY AS next_charge_at FROM orders)"""
 _GAPS = """used AS (SELECT 'P' || left(o_orderpriority, 1) AS prefix, CAST(floor(o_orderkey * 3 / 4) AS BIGINT) AS no, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)"""
@@ -435,6 +485,10 @@ ORACLES = {
         epoch_us(TIMESTAMP '{START}' + INTERVAL 30 DAY * n) AS period_start, epoch_us(TIMESTAMP '{START}' + INTERVAL 30 DAY * (n + 1)) AS period_end,
         epoch_us(charged) AS last_charge_at, epoch_us(next_at) AS next_charge_at, epoch_us(ended) AS canceled_at
         FROM walk QUALIFY row_number() OVER (PARTITION BY sid ORDER BY rn DESC) = 1""",
+    "u2_charges_from_webhooks": f"""WITH {_REC} SELECT event_id, coalesce(sid, '') AS subscription_id, outcome, epoch_us(owned.at) AS at,
+        CASE WHEN unnamed THEN 'PAYMENT/INVALID_PAYLOAD' WHEN sid IS NULL THEN 'SUBSCRIPTION/NOT_FOUND' ELSE '' END AS error_code FROM owned""",
+    "u2_from_webhooks": f"""WITH RECURSIVE {_REC_WALK} SELECT sid AS id, status, retry AS retry_count, epoch_us(started + INTERVAL 30 DAY * (n + 1)) AS period_end,
+        epoch_us(charged) AS last_charge_at, epoch_us(ended) AS canceled_at FROM walk QUALIFY row_number() OVER (PARTITION BY sid ORDER BY rn DESC) = 1""",
     "u3_illegal_transitions": f"""WITH RECURSIVE {_SUBS} SELECT bad_event AS event_id, sid AS subscription_id, bad_outcome AS outcome,
         'SUBSCRIPTION/INVALID_TRANSITION' AS error_code FROM walk WHERE bad_event IS NOT NULL""",
     "u4_due_for_retry": f"WITH {_OLD} SELECT id, epoch_us(next_charge_at) AS next_charge_at FROM old WHERE status = 'PastDue' AND next_charge_at <= TIMESTAMP '{PAY_AS_OF}' ORDER BY next_charge_at, id LIMIT 50",
@@ -464,7 +518,7 @@ ORACLES = {
 _NULLABLE = {
     "p1_attach_package": ["credits", "amount_in_cents"], "p5_merge_payments": ["updated_at", "paid_at"], "p8_reconcile": ["paid_at"],
     "u1_create_subscriptions": ["period_end", "next_charge_at", "credits_per_month", "price"],
-    "u2_fold_charges": ["last_charge_at", "next_charge_at", "canceled_at"], "u6_cancel": ["canceled_at", "next_charge_at"],
+    "u2_from_webhooks": ["last_charge_at", "canceled_at"], "u2_fold_charges": ["last_charge_at", "next_charge_at", "canceled_at"], "u6_cancel": ["canceled_at", "next_charge_at"],
 }
 for _name, _cols in _NULLABLE.items():
     ORACLES[_name] = c.sql_no_null(ORACLES[_name], *_cols)

@@ -151,3 +151,27 @@ def test_quotas(spark):
         n += 1
         want[i] = n
     assert got == want
+
+
+def test_charges_from_webhooks(spark):
+    day = lambda n: T0 + timedelta(days=n)
+    subs = spark.createDataFrame([("a", 1, "Starter", "p", day(0)), ("b", 2, "Starter", "p", day(10)), ("c", 3, "Starter", "q", day(5))],
+                                 "id string, user_id long, plan string, payment_source_id string, at timestamp")
+    subs = subscriptions.create_subscriptions(subs)[0]
+    good = '{"event":"recurring_charge.successful","payment_source_id":"%s","charge_id":"%s"}'
+    bad = '{"event":"recurring_charge.failed","payment_source_id":"%s","reason":"funds"}'
+    sent = [(1, good % ("p", "c1"), day(9)), (2, good % ("p", "c2"), day(10)), (3, bad % "q", day(4)), (4, bad % "q", day(6)), (5, bad % " ", day(6)),
+            (6, '{"event":"recurring_charge.failed"}', day(6)), (7, '{"event":"transaction.updated"}', day(6)), (8, good % ("none", "c9"), day(20))]
+    again = [(90, good % ("p", "c1"), day(11)), (4, bad % "q", day(8)), (6, '{"event":"recurring_charge.failed"}', day(7))]
+    want = {(1, "a", "success"), (2, "b", "success"), (4, "c", "failure")}
+    lost = {(3, "SUBSCRIPTION/NOT_FOUND"), (5, "PAYMENT/INVALID_PAYLOAD"), (6, "PAYMENT/INVALID_PAYLOAD"), (8, "SUBSCRIPTION/NOT_FOUND")}
+    for rows in (sent, sent + again, again + sent + sent):
+        hooks = payments.parse_webhooks(spark.createDataFrame(rows, "event_id long, payload string, received_at timestamp"))
+        charges, rejected = subscriptions.charges_from_webhooks(hooks, subs)
+        got = charges.collect()
+        assert len(got) == 3 and {(r["event_id"], r["subscription_id"], r["outcome"]) for r in got} == want
+        assert sorted((r["event_id"], r["error_code"]) for r in rejected.collect()) == sorted(lost)
+        granted = subscriptions.grants(subs, charges).collect()
+        assert sorted(r["reference"] for r in granted) == ["subscription:a", "subscription:a:1", "subscription:b", "subscription:b:2", "subscription:c"]
+    none = payments.parse_webhooks(spark.createDataFrame([], "event_id long, payload string, received_at timestamp"))
+    assert [x.count() for x in subscriptions.charges_from_webhooks(none, subs)] == [0, 0]

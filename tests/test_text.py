@@ -130,6 +130,19 @@ def test_jaro_winkler_join_of_long_words(spark):
     assert not spark.createDataFrame([(10_000,)], "n int").filter(sim.in_reach(F.col("n"), F.lit(30), 0.92)).count()
 
 
+def test_jaro_winkler_join_at_low_thresholds(spark):
+    """Words much longer than their partners are in reach there."""
+    left = [*_words(8, 40, "abcd", 6), "abcd", "abcde"]
+    right = [*_words(9, 60, "abcd", 6), *(w + "xyzw" * 9 for w in left[-2:]), *("abcd" + "q" * n for n in range(40)), *("abcde" + "q" * n for n in range(50))]
+    mk = lambda ws: spark.createDataFrame([(w,) for w in ws], "token string")
+    for threshold in (0.82, 0.85):
+        want = {(a, b) for a in left for b in right if sim.jaro_winkler_python(a, b) >= threshold}
+        got = {(r["a"], r["b"]) for r in similar.similar_terms(mk(left), mk(right), "jaro_winkler", threshold).collect()}
+        assert got == want
+        if threshold == 0.82:
+            assert any(len(b) > 4 * len(a) + 4 for a, b in want)
+
+
 def test_levenshtein_join_misses_nothing(spark):
     left, right = _words(3, 60, "abc", 6), _words(4, 200, "abc", 8)
 
