@@ -172,6 +172,15 @@ RESULT_TTL = "24 hours"
 TOKEN_TTL = "7 days"
 
 
+def save_results(results: DataFrame) -> DataFrame:
+    """The last result saved per request, ``results(request_id, saved_at, save_id, expires_at, ...)``; one saved
+    without an expiry expires ``RESULT_TTL`` later. Saves are reduced before the shuffle, so a request saved very often
+    costs one row per task."""
+    last = F.max_by(F.struct(*results.columns), F.struct("saved_at", "save_id")).alias("r")
+    kept = results.groupBy("request_id").agg(last).select("r.*")
+    return kept.withColumn("expires_at", F.coalesce("expires_at", F.col("saved_at") + F.expr(f"interval {RESULT_TTL}")))
+
+
 def with_expiry(df: DataFrame, created: str, ttl: str) -> DataFrame:
     return df.withColumn("expires_at", F.col(created) + F.expr(f"interval {ttl}"))
 

@@ -238,6 +238,18 @@ def report_v1(scores: DataFrame) -> DataFrame:
     return scores.select("cv_id", "job_id", "overall", report_label("band", F.col("band")).alias("band_label"), F.inline(parts))
 
 
+def recommendation_report(scores: DataFrame) -> DataFrame:
+    """C11: one row per pair and recommendation, ranked from 1 in the order of C8, with report labels. ``action`` and
+    ``honesty_note`` are codes; only what is to be learnt is no part of the text yet and must not be claimed."""
+    rows = scores.select("cv_id", "job_id", F.posexplode("recommendations").alias("rank", "r"))
+    kind = report_label("kind", F.col("r.kind"))
+    return rows.select(
+        "cv_id", "job_id", (F.col("rank") + 1).alias("rank"), kind.alias("type"),
+        F.when(F.col("r.term") == "", kind).otherwise(F.concat_ws(":", kind, "r.term")).alias("action"),
+        F.col("r.component").alias("component"), F.col("r.gain").alias("estimated_gain"), F.lit(False).alias("invents"),
+        F.when(F.col("r.kind") == "Learn", "not-held").otherwise("in-text").alias("honesty_note"))
+
+
 def keyword_report(scores: DataFrame) -> DataFrame:
     """C11: one row per pair and keyword with report labels."""
     def tagged(name: str) -> Column:

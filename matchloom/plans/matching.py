@@ -164,6 +164,10 @@ def c11_keywords(spark, sf):
     return rows.withColumns({"weight": F.round("weight", 6), "credit": F.round("credit", 6)})
 
 
+def c11_recommendations(spark, sf):
+    return score_v1.recommendation_report(Inputs(spark, sf).scores(False))
+
+
 def flagship(spark, sf):
     best = match.best_documents(Inputs(spark, sf).scores(True).select("cv_id", "job_id", "overall", "band", "covered", "n_requirements"))
     return best.select("job_id", "rank", "cv_id", "overall", "band", "covered", "n_requirements")
@@ -179,7 +183,7 @@ QUERIES = {
     "m6_resolve_cascade": m6, "m7_match_pairs": m7, "m7_match_pairs_fuzzy": m7_fuzzy,
     "c1_match_score": c1, "c2_structure_score": c2, "c3_achievement_score": c3, "c4_format_score": c4,
     "c5_length_score": c5, "c6_overall": c6, "c7_classify_keywords": c7, "c8_recommend": c8, "c9_format_issues": c9,
-    "c10_score_pairs": c10, "c11_report": c11, "c11_keyword_report": c11_keywords,
+    "c10_score_pairs": c10, "c11_report": c11, "c11_keyword_report": c11_keywords, "c11_recommendation_report": c11_recommendations,
     "flagship_top_documents": flagship, "flagship_top_documents_strict": flagship_strict,
 }
 
@@ -253,6 +257,18 @@ def _keywords(name: str, tiers: str) -> str:
 _TOP = """SELECT job_id, CAST(rank AS INTEGER) AS rank, cv_id, overall, band, CAST(covered AS INTEGER) AS covered, CAST(n AS INTEGER) AS n_requirements FROM (
     SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY overall DESC, cv_id) AS rank FROM banded) WHERE rank <= 10"""
 
+_RANKED = f"""{_SCORES},
+        recs AS (
+          SELECT m.cv_id, m.job_id, 'Learn' AS kind, 0 AS k, 'match' AS component, display AS term,
+            greatest(1, CAST(round_even(weight / total * 100 * 0.45::DOUBLE, 0) AS INTEGER)) AS gain
+          FROM matches m JOIN scored s ON s.cv_id = m.cv_id AND s.job_id = m.job_id WHERE tier = 'None'
+          UNION ALL SELECT m.cv_id, m.job_id, 'Surface', 3, 'match', display,
+            greatest(1, CAST(round_even(0.4::DOUBLE * weight / total * 100 * 0.45::DOUBLE, 0) AS INTEGER))
+          FROM matches m JOIN scored s ON s.cv_id = m.cv_id AND s.job_id = m.job_id WHERE placement = 'Buried' AND tier IN ('Exact', 'Alias')
+          UNION ALL SELECT cv_id, job_id, 'AddMetric', 2, 'achievements', '', 4 FROM scored WHERE quantified < 2
+          UNION ALL SELECT cv_id, job_id, 'FixFormat', 1, 'structure', '', 3 FROM scored WHERE NOT has_contact),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cv_id, job_id ORDER BY gain DESC, k, term || '"') AS rn FROM recs) WHERE rn <= 8)"""
+
 ORACLES = {
     "m1_match_exact": f"{_BASE} SELECT cv_id, job_id, skill_id, tier, placement, credit FROM tiers WHERE r = 0",
     "m2_match_implied": f"{_BASE} SELECT cv_id, job_id, skill_id, tier, placement, credit FROM tiers WHERE r = 1",
@@ -272,18 +288,7 @@ ORACLES = {
     "c7_classify_keywords": f"""{_BASE} SELECT p.cv_id, p.job_id, {_keywords('present', "'Exact', 'Alias'")},
         {_keywords('partial', "'Related', 'Lemma', 'Fuzzy'")}, {_keywords('missing', "'None'")}
         FROM pairs p LEFT JOIN matches m ON m.cv_id = p.cv_id AND m.job_id = p.job_id GROUP BY p.cv_id, p.job_id""",
-    "c8_recommend": f"""{_SCORES},
-        recs AS (
-          SELECT m.cv_id, m.job_id, 'Learn' AS kind, 0 AS k, 'match' AS component, display AS term,
-            greatest(1, CAST(round_even(weight / total * 100 * 0.45::DOUBLE, 0) AS INTEGER)) AS gain
-          FROM matches m JOIN scored s ON s.cv_id = m.cv_id AND s.job_id = m.job_id WHERE tier = 'None'
-          UNION ALL SELECT m.cv_id, m.job_id, 'Surface', 3, 'match', display,
-            greatest(1, CAST(round_even(0.4::DOUBLE * weight / total * 100 * 0.45::DOUBLE, 0) AS INTEGER))
-          FROM matches m JOIN scored s ON s.cv_id = m.cv_id AND s.job_id = m.job_id WHERE placement = 'Buried' AND tier IN ('Exact', 'Alias')
-          UNION ALL SELECT cv_id, job_id, 'AddMetric', 2, 'achievements', '', 4 FROM scored WHERE quantified < 2
-          UNION ALL SELECT cv_id, job_id, 'FixFormat', 1, 'structure', '', 3 FROM scored WHERE NOT has_contact)
-        SELECT cv_id, job_id, CAST(rn - 1 AS INTEGER) AS rank, kind, component, gain, term FROM (
-          SELECT *, row_number() OVER (PARTITION BY cv_id, job_id ORDER BY gain DESC, k, term || '"') AS rn FROM recs) WHERE rn <= 8""",
+    "c8_recommend": f"""{_RANKED} SELECT cv_id, job_id, CAST(rn - 1 AS INTEGER) AS rank, kind, component, gain, term FROM best""",
     "c9_format_issues": f"""{_BASE}{_SIGNALS} SELECT cv_id, concat_ws(',', CASE WHEN quantified < 2 THEN 'few-quantified-achievements/info' END,
         CASE WHEN NOT has_contact THEN 'missing-contact/warn' END) AS issues FROM parts""",
     "c10_score_pairs": f"""{_SCORES} SELECT cv_id, job_id, overall, band, round(match, 6) AS match, round(structure, 6) AS structure,
@@ -304,5 +309,9 @@ ORACLES = {
         CASE placement WHEN 'NotFound' THEN 'absent' ELSE lower(placement) END AS location,
         round(weight, 6) AS weight, round(credit, 6) AS credit,
         CASE WHEN tier = 'None' THEN 'missing' WHEN placement = 'Buried' THEN 'low-visibility' ELSE 'direct' END AS note FROM matches""",
+    "c11_recommendation_report": f"""{_RANKED}, named AS (SELECT *,
+          CASE kind WHEN 'Learn' THEN 'learnAdd' WHEN 'Surface' THEN 'resurface' WHEN 'AddMetric' THEN 'addMetric' ELSE 'fixFormat' END AS type FROM best)
+        SELECT cv_id, job_id, CAST(rn AS INTEGER) AS rank, type, CASE WHEN term = '' THEN type ELSE type || ':' || term END AS action, component,
+          gain AS estimated_gain, false AS invents, CASE kind WHEN 'Learn' THEN 'not-held' ELSE 'in-text' END AS honesty_note FROM named""",
     "flagship_top_documents_strict": f"{_SCORES} {_TOP}",
 }

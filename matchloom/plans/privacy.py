@@ -149,6 +149,14 @@ def d1(spark, sf):
         gone.select(F.lit("deleted").alias("what"), F.col("n_deleted").alias("n")))
 
 
+def d1_results(spark, sf):
+    e = c.table(spark, sf, "events")
+    given = F.when(F.col("event_type") == "purchase", F.col("ts") + F.expr("interval 90 minutes"))
+    results = e.select((F.col("event_id") % 997).alias("request_id"), F.col("ts").alias("saved_at"), F.col("event_id").alias("save_id"), given.alias("expires_at"))
+    saved = pv.save_results(results)
+    return saved.select("request_id", "save_id", F.unix_micros("expires_at").alias("expires_at"), (F.col("expires_at") < ts("2024-01-30 12:00:00")).alias("expired"))
+
+
 def quota_events(spark, sf):
     return c.table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_type").alias("policy"), F.col("ts").alias("at"))
 
@@ -169,7 +177,7 @@ QUERIES = {
     "s1_load_table": s1, "s5_upsert": s5, "s7_upsert_users": s7,
     "n1_active_consent": n1, "n2_grant": n2, "n3_consent_history": n3, "n3_revoke": n3_revoke, "n3_revoke_all": n3_revoke_all,
     "n4_gated_requests": n4, "n4_treatment_log": n4_log, "n5_erase": n5, "n5_erase_children": n5_children,
-    "f1_flag_asof": f1, "f2_flag_audit": f2, "d1_expire": d1, "q1_fixed_window_quota": q1, "q2_anchored_window_quota": q2,
+    "f1_flag_asof": f1, "f2_flag_audit": f2, "d1_expire": d1, "d1_save_results": d1_results, "q1_fixed_window_quota": q1, "q2_anchored_window_quota": q2,
 }
 
 _CONS = f"""cons AS (SELECT event_id AS id, user_id, CAST(event_id % 4 AS INTEGER) AS policy_version, ts AS consent_date,
@@ -233,6 +241,9 @@ ORACLES = {
         FROM r ASOF LEFT JOIN chg ON r.flag = chg.flag AND r.ts >= chg.ts""",
     "f2_flag_audit": f"""WITH {_CHG} SELECT id, flag, coalesce(CAST(lag(v) OVER (PARTITION BY flag ORDER BY ts, id) AS VARCHAR), CASE flag WHEN 'f0' THEN 'true' ELSE 'none' END) AS old_value,
         v AS new_value FROM chg""",
+    "d1_save_results": """SELECT request_id, save_id, epoch_us(expires_at) AS expires_at, expires_at < TIMESTAMP '2024-01-30 12:00:00' AS expired FROM (
+          SELECT event_id % 997 AS request_id, event_id AS save_id, ts + CASE event_type WHEN 'purchase' THEN INTERVAL 90 MINUTE ELSE INTERVAL 24 HOUR END AS expires_at FROM events
+          QUALIFY row_number() OVER (PARTITION BY event_id % 997 ORDER BY ts DESC, event_id DESC) = 1)""",
     "d1_expire": """SELECT CASE WHEN ts + INTERVAL 7 DAY < TIMESTAMP '2024-01-20' THEN 'deleted' ELSE 'kept' END AS what, count(*) AS n FROM events GROUP BY 1""",
     "q1_fixed_window_quota": """WITH p(t, permit, s) AS (VALUES ('view', 1, 86400), ('click', 2, 604800), ('purchase', 3, 604800), ('error', 1, 3600)),
         e AS (SELECT event_id, user_id, event_type, ts, permit, epoch_us(ts) // (s * 1000000::BIGINT) * (s * 1000000::BIGINT) AS w FROM events LEFT JOIN p ON t = event_type)
