@@ -111,7 +111,8 @@ def learnable(id_col: str = "doc_id") -> Column:
 def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
     """``(id, label, text, rank)``: at most ``rows`` usable rows of each label, those with the least hash of the id.
 
-    Ids are chosen before any text is read: at most ``rows`` per label reach the driver.
+    Ids are chosen before any text is read: at most ``rows`` per label reach the driver. Of rows with one id and label,
+    however many there are, only the text with the least hash counts; they are reduced before the shuffle.
     """
     from pyspark.sql import Window
 
@@ -126,15 +127,15 @@ def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, label_co
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", docs.schema[label_col].dataType), T.StructField("rank", T.IntegerType())])
     chosen = docs.sparkSession.createDataFrame(picked, schema)
     texts = good.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), ["id", "label"])
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("_one")
+    return texts.join(F.broadcast(chosen), ["id", "label"]).groupBy("id", "label", "rank").agg(one).select("id", "label", F.col("_one.text").alias("text"), "rank")
 
 
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = ROWS_PER_LANGUAGE,
         landmarks: int = LANDMARKS_PER_LANGUAGE, longest: int = LONGEST, ridge: float = RIDGE) -> Model | None:
     """Learn from a bounded sample of labelled rows. None if there is no labelled text with a letter.
 
-    Rows with a null label, text or id are not learnt from; equal rows count once or, with equal ids, as often as they
-    are there. Texts of the sample are turned into hashes and kernel values by tasks; the driver sees those alone.
+    Rows with a null label, text or id are not learnt from; rows with one id and label count once. Texts of the sample are turned into hashes and kernel values by tasks; the driver sees those alone.
     """
     spark = docs.sparkSession
     chosen = sample(docs, usable, id_col, text_col, label_col, rows).persist()

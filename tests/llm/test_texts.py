@@ -187,6 +187,16 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_sample_is_bounded_in_rows(spark):
+    rows = [(1, f"words of one id {i}", "en") for i in range(3000)] + [(1, "mots", "fr")] + [(i, f"more words {i}", "en") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    once, again = (sorted(language_id.sample(docs.repartition(n), F.lit(True), "doc_id", "text", "lang", 20).collect()) for n in (1, 9))
+    assert once == again and [sum(r["label"] == x for r in once) for x in ("en", "fr")] == [20, 1]
+    assert len({(r["id"], r["label"]) for r in once}) == 21
+    many = language_id.sample(docs, F.lit(True), "doc_id", "text", "lang", 100).collect()
+    assert len(many) == 60 and {r["text"] for r in many if r["id"] > 1} == {f"more words {i}" for i in range(2, 60)}
+
+
 def test_scores_equal_kernel_regression(spark, sf_dir):
     """The folded weights against kernel values taken n-gram by n-gram."""
     docs = read(spark, sf_dir, "documents")
