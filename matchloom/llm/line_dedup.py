@@ -26,9 +26,12 @@ REPEATS = 2
 #: lost: it gets a hash function for each row of each band. Lines it may be similar to get those as well.
 SHORT = 64
 
-#: Rows of a bucket that meet in one cell; a fuller bucket is cut into blocks, and each pair of blocks is a cell.
+#: Lines with a rare shingle in common that meet in one cell; more are cut into blocks, and each pair of blocks is a cell.
 BLOCK = 512
 
+#: Slots of the table that counts in how many lines a shingle is, and the bits of its hash that do not name the slot.
+SLOTS, _SLOT = 1 << 20, np.uint64(44)
+
 #: Shingles a worker keeps at once.
 KEPT_SHINGLES = 300_000
 
@@ -297,13 +300,77 @@ def _verified(size: int, similarity: float):
     return verified
 
 
+def _ordered(lines: list[str], size: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different shingles of lines as 64-bit hashes, line after line: number of the line, hash, place within the line and
+    number of shingles of the line. ``counts`` puts those first that are rare; the order is the same in all lines."""
+    sizes = np.array([len(x) for x in lines], np.int64)
+    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    padded, h = np.concatenate([code, np.zeros(size, np.uint64)]), np.zeros(len(code), np.uint64)
+    at = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = np.repeat(sizes, sizes) - at
+    for k in range(size):
+        h = np.where(left > k, (h ^ padded[k:k + len(code)]) * np.uint64(0x9E3779B97F4A7C15), h)
+        h ^= h >> np.uint64(29)
+    begins = (left >= size) | (at == 0)
+    row, h = np.repeat(np.arange(len(lines)), sizes)[begins], h[begins]
+    keys = (h, row) if counts is None else (h, counts[h >> _SLOT], row)
+    order = np.lexsort(keys)
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    row, h = row[new], h[new]
+    n = np.bincount(row, minlength=len(lines))
+    return row, h, np.arange(len(row)) - (np.cumsum(n) - n)[row], n[row]
+
+
+def _counted(size: int):
+    """Lines: how many have a shingle in each slot of a table of fixed size."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            for s, t in _steps(lines):
+                np.add.at(total, (_ordered(lines[s:t], size)[1] >> _SLOT).astype(np.int64), 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot], pa.int64())], names=["slot", "n"])
+
+    return counted
+
+
+def _rare(size: int, similarity: float, shared):
+    """Lines: ``(key, mark, root, n, pos)`` for the shingles by which a line must meet those similar to it.
+
+    Lines of n and m >= n shingles that are similar have at least ``similarity`` x m in common, so with all shingles in
+    one order they share one of the first n (or m) less that many, and one.
+    """
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(2).to_pylist()
+            for s, t in _steps(lines):
+                row, h, pos, n = _ordered(lines[s:t], size, shared.value)
+                keep = pos <= n - np.ceil(similarity * n - 1e-9)
+                of = pa.array(row[keep] + s)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), *(batch.column(k).take(of) for k in (0, 1)),
+                                                  pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["key", "mark", "root", "n", "pos"])
+
+    return rare
+
+
 def _rest(size: int, similarity: float):
-    """Cells of buckets that still hold lines of different components: links between those, as a forest."""
+    """Cells of lines that share a rare shingle: links between different components, as a forest.
+
+    If the shingle is the first that two lines share, no more than what follows it in both can be common; a pair for which
+    that is too little is judged where its first one is, or is not similar.
+    """
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Shingled(size)
+        sets, share = Shingled(size), similarity / (1 + similarity)
         for part, edge in whole_groups(batches, CELL):
-            block_i, block_j, mark, root, line, side, done = (part.column(c).to_pylist() for c in ("i", "j", "mark", "root", "line", "side", "done"))
+            block_i, block_j, mark, root, line = (part.column(c).to_pylist() for c in ("i", "j", "mark", "root", "line"))
+            n, pos, side = (part.column(c).to_numpy() for c in ("n", "pos", "side"))
+            after = n - pos
             a, b = [], []
             for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if len({*root[s:t]}) < 2:
@@ -317,18 +384,13 @@ def _rest(size: int, similarity: float):
                     return r
 
                 two = block_i[s] != block_j[s]
-                for i in range(s, t):
-                    for j in range(i + 1, t):
-                        if done[i] or done[j] or two and side[i] == side[j]:
-                            continue
+                for i in range(s, t - 1):
+                    may = np.minimum(after[i + 1:t], after[i]) >= share * (n[i + 1:t] + n[i]) - 1e-9
+                    if two:
+                        may &= side[i + 1:t] != side[i]
+                    for j in (np.flatnonzero(may) + i + 1).tolist():
                         p, q = top(root[i]), top(root[j])
-                        if p == q:
-                            continue
-                        x = sets(line[i])
-                        if max(1, len(line[j]) - size + 1) < similarity * len(x):
-                            continue
-                        y = sets(line[j])
-                        if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and jaccard(x, y) >= similarity:
+                        if p != q and jaccard(sets(line[i]), sets(line[j])) >= similarity:
                             up[max(p, q)] = min(p, q)
                             a.append(mark[i])
                             b.append(mark[j])
@@ -338,16 +400,43 @@ def _rest(size: int, similarity: float):
     return searched
 
 
-CELL = ["bucket", "i", "j"]
+CELL = ["key", "i", "j"]
+
+
+def _further(open_: DataFrame, size: int, similarity: float, block: int) -> DataFrame:
+    """``(a, b)``: links between ``(mark, root, line)`` of different roots, found by the rare shingles of each line.
+
+    What many lines have in common is frequent, so lines that share no more than that do not meet. The driver adds up one
+    table of ``SLOTS`` counts; slots that several shingles share only make the order less selective.
+    """
+    counted = map_arrow(open_.select("line"), _counted(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared = open_.sparkSession.sparkContext.broadcast(counts)
+    keyed = stored(map_arrow(open_, _rare(size, similarity, shared), "key long, mark binary, root binary, n int, pos int"), "rare-shingles")
+    # the shorter line of a pair has its first common shingle early, so two others need not meet
+    keyed = keyed.withColumn("_early", F.col("n") - F.col("pos") >= 2 * similarity / (1 + similarity) * F.col("n") - 1e-9)
+    per = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if("_early").alias("_e"), F.count(F.lit(1)).alias("_n"))
+    first = F.ceil(F.col("_e") / block).cast("long").alias("_first")
+    other = F.when(F.col("_n") <= block, 0).otherwise(F.ceil((F.col("_n") - F.col("_e")) / block)).cast("long").alias("_second")
+    dealt = keyed.join(per.filter("lo < hi and _e > 0").select("key", first, other), "key")
+    among = F.when(F.col("_early") | (F.col("_second") == 0), F.pmod(F.xxhash64("mark"), "_first")).otherwise(
+        F.col("_first") + F.pmod(F.xxhash64("mark"), F.greatest("_second", F.lit(1))))
+    dealt = dealt.withColumn("_mine", among).join(open_.select("mark", "line"), "mark")
+    last = F.when(F.col("_mine") < F.col("_first"), F.col("_first") + F.col("_second")).otherwise(F.col("_first")) - 1
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    i, j = F.least("_mine", "_other"), F.greatest("_mine", "_other")
+    cells = dealt.select("key", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "mark", "root", "line", "n", "pos")
+    return map_arrow(cells.repartition(*CELL).sortWithinPartitions(*CELL, "mark"), _rest(size, similarity), "a binary, b binary")
 
 
 def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float, block: int) -> DataFrame:
     """``(node, component)`` of lines, by digest, that have a different line of at least the wanted similarity.
 
     A bucket's lines are first verified against its smallest one, a pair once however many buckets it shares; this
-    settles whole groups of near copies. Buckets that then still hold lines of different components are searched in
-    full, in cells of bounded size, across components only. So no link between different texts that share a bucket
-    is lost, and no cell emits more links than it has lines.
+    settles whole groups of near copies. Lines of buckets that then still hold several components meet again by their
+    rare shingles, in cells of bounded size, across components only. So no link between different texts that share a
+    bucket is lost, no cell emits more links than it has lines, and unlike lines with a common part are not compared.
     """
     one = F.explode("buckets").alias("bucket")
     buckets = signed.filter("size(buckets) > 0").select(one, "head").groupBy("bucket").agg(F.min("head").alias("low"), F.max("head").alias("high"))
@@ -364,16 +453,12 @@ def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float,
 
     rooted = rows.join(first, rows["mark"] == first["node"], "left").select("bucket", "mark", "head", F.coalesce("component", "mark").alias("root"))
     rooted = stored(rooted, "rooted")
-    per = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n"), F.min(F.struct("head", "mark")).alias("_c"))
-    # pairs with the centre have been verified, so of a bucket of two nothing is left
-    open_ = per.filter("lo < hi and _n > 2").select("bucket", F.col("_c.mark").alias("_centre"), F.ceil(F.col("_n") / block).cast("long").alias("_blocks"))
-    dealt = rooted.join(open_, "bucket").withColumn("_mine", F.pmod(F.xxhash64("mark"), F.col("_blocks")))
-    dealt = dealt.join(lines, "mark").withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    i, j = F.least("_mine", "_other"), F.greatest("_mine", "_other")
-    cells = dealt.select("bucket", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "mark", "root", "line",
-                         (F.col("mark") == F.col("_centre")).alias("done"))
-    more = map_arrow(cells.repartition(*CELL).sortWithinPartitions(*CELL, "mark"), _rest(size, similarity), "a binary, b binary")
-    both = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(stored(more, "further-lines"))
+    per = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n"))
+    # pairs with the smallest line have been verified, so of a bucket of two nothing is left
+    open_ = rooted.join(per.filter("lo < hi and _n > 2").select("bucket"), "bucket").select("mark", "root").distinct()
+    open_ = stored(open_.join(lines, "mark").select("mark", "root", "line"), "open-lines")
+    more = stored(_further(open_, size, similarity, block), "further-lines")
+    both = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     return components(both, name="all-lines")
 
 

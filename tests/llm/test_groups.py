@@ -1,6 +1,7 @@
 """Operators that link rows, and those that group them."""
 
 import random
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -175,6 +176,53 @@ def test_few_shingles_many_times():
     assert hit >= 490
 
 
+def _linked(spark, lines, block):
+    """Groups of lines that the search by rare shingles links, and those of all pairs."""
+    rows = [(line.encode(), line.encode(), line) for line in sorted({*lines})]
+    frame = spark.createDataFrame(rows, "mark binary, root binary, line string").repartition(3)
+    links = {(bytes(r["a"]).decode(), bytes(r["b"]).decode()) for r in line_dedup._further(frame, 7, 0.8, block).collect()}
+    sets = {line: line_dedup.shingles(line) for _, _, line in rows}
+    near = {(x, y) for x, y in combinations(sets, 2) if line_dedup.jaccard(sets[x], sets[y]) >= 0.8}
+    assert all(line_dedup.jaccard(sets[x], sets[y]) >= 0.8 for x, y in links)
+
+    def groups(pairs):
+        up = {x: x for x in sets}
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in pairs:
+            up[max(top(x), top(y))] = min(top(x), top(y))
+        return {x: top(x) for x in up}
+
+    return groups(links), groups(near), len(near)
+
+
+def test_rare_shingles_lose_no_link(spark):
+    rng = random.Random(12)
+    start = "all rights reserved, no part of this may be copied without leave of "
+    lines = [start[:rng.randint(20, 68)] + "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 24))) for _ in range(250)]
+    lines += [x[:k] + "z" + x[k + 1:] for x in lines[:60] for k in (0, len(x) - 3)]
+    lines += ["", "a", "short", "shorter", "aaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaab", "\u4e00\u4e01" * 9, "\u4e00\u4e01" * 8 + "x"]
+    for block in (512, 8):
+        got, want, n = _linked(spark, lines, block)
+        assert got == want and n > 150
+
+
+def test_unlike_lines_with_a_common_part_are_not_compared():
+    """Work follows similar lines, not the size of the group that shares a start."""
+    rng = random.Random(13)
+    start = "this line has the start that every other line of this kind has "
+    unlike = [start + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(22)) for _ in range(3000)]
+    counts = np.zeros(line_dedup.SLOTS, np.int64)
+    np.add.at(counts, (line_dedup._ordered(unlike, 7)[1] >> line_dedup._SLOT).astype(np.int64), 1)
+    _, h, pos, n = line_dedup._ordered(unlike, 7, counts)
+    early = h[n - pos >= 1.6 / 1.8 * n - 1e-9]
+    assert np.unique(early, return_counts=True)[1].max() < 30
+
+
 # --- URLs
 
 
