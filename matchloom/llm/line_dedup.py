@@ -339,31 +339,62 @@ def _counted(size: int):
 
 
 def _rare(size: int, similarity: float, shared):
-    """Lines: ``(key, mark, root, n, pos)`` for the shingles by which a line must meet those similar to it.
+    """Lines: a row for each shingle by which a line must meet those similar to it, with the head of its digest and a hash of its root.
 
     Lines of n and m >= n shingles that are similar have at least ``similarity`` x m in common, so with all shingles in
-    one order they share one of the first n (or m) less that many, and one.
+    one order they share one of the first n (or m) less that many, and one. ``odd0`` and ``odd1`` tell of 128 slots whether
+    an odd number of the line's shingles fall into them: two lines differ there in no more slots than shingles.
     """
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = batch.column(2).to_pylist()
+            lines = batch.column(0).to_pylist()
+            heads, roots = (batch.column(k).to_numpy() for k in (1, 2))
             for s, t in _steps(lines):
                 row, h, pos, n = _ordered(lines[s:t], size, shared.value)
+                start, bit = np.flatnonzero(pos == 0), np.uint64(1) << (h & np.uint64(63))
+                odd = np.zeros((t - s, 2), np.uint64)
+                for half in (0, 1):
+                    odd[row[start], half] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(6) & np.uint64(1) == half, bit, np.uint64(0)), start)
                 keep = pos <= n - np.ceil(similarity * n - 1e-9)
-                of = pa.array(row[keep] + s)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), *(batch.column(k).take(of) for k in (0, 1)),
-                                                  pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["key", "mark", "root", "n", "pos"])
+                of = row[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (h[keep].view(np.int64), heads[of + s], roots[of + s], n[keep].astype(np.int32), pos[keep].astype(np.int32),
+                                           odd[of, 0].view(np.int64), odd[of, 1].view(np.int64))], names=["key", "head", "root", "n", "pos", "odd0", "odd1"])
 
     return rare
 
 
-def _rest(size: int, similarity: float):
-    """Cells of lines that share a rare shingle: links between different components, as a forest.
+def _feasible(similarity: float):
+    """Cells without their lines: rows that may have a similar one of another root in their cell.
 
-    If the shingle is the first that two lines share, no more than what follows it in both can be common; a pair for which
-    that is too little is judged where its first one is, or is not similar.
+    If the key is the first shingle that two lines share, no more than what follows it in both can be common; a pair for
+    which that is too little is judged where its first one is, or is not similar. All pairs at one distance go at once.
     """
+    share = similarity / (1 + similarity)
+
+    def feasible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, edge in whole_groups(batches, CELL):
+            block_i, block_j, side, root, n, pos, *odd = (part.column(c).to_numpy() for c in ("i", "j", "side", "root", "n", "pos", "odd0", "odd1"))
+            odd = [x.view(np.uint64) for x in odd]
+            end, after, two = np.repeat(edge[1:], np.diff(edge)), n - pos, block_i != block_j
+            x, keep, step = np.arange(len(n)), np.zeros(len(n), bool), 1
+            while len(x := x[x + step < end[x]]):
+                y = x + step
+                total = n[x] + n[y]
+                may = (np.minimum(after[x], after[y]) >= share * total - 1e-9) & (root[x] != root[y]) & ~(two[x] & (side[x] == side[y]))
+                u, v = x[may], y[may]
+                differ = np.bitwise_count(odd[0][u] ^ odd[0][v]).astype(np.int64) + np.bitwise_count(odd[1][u] ^ odd[1][v])
+                near = differ <= total[may] * (1 - 2 * share) + 1e-9
+                keep[u[near]] = keep[v[near]] = True
+                step += 1
+            yield from part.select([*CELL, "side", "head", "n", "pos"]).filter(pa.array(keep)).to_batches()
+
+    return feasible
+
+
+def _rest(size: int, similarity: float):
+    """Cells of lines that share a rare shingle: links between different components, as a forest."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, share = Shingled(size), similarity / (1 + similarity)
@@ -404,7 +435,7 @@ CELL = ["key", "i", "j"]
 
 
 def _further(open_: DataFrame, size: int, similarity: float, block: int) -> DataFrame:
-    """``(a, b)``: links between ``(mark, root, line)`` of different roots, found by the rare shingles of each line.
+    """``(a, b)``: links between ``(mark, head, root, line)`` of different roots, found by the rare shingles of each line.
 
     What many lines have in common is frequent, so lines that share no more than that do not meet. The driver adds up one
     table of ``SLOTS`` counts; slots that several shingles share only make the order less selective.
@@ -413,21 +444,36 @@ def _further(open_: DataFrame, size: int, similarity: float, block: int) -> Data
     counts = np.zeros(SLOTS, np.int64)
     counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     shared = open_.sparkSession.sparkContext.broadcast(counts)
-    keyed = stored(map_arrow(open_, _rare(size, similarity, shared), "key long, mark binary, root binary, n int, pos int"), "rare-shingles")
+    keyed = stored(map_arrow(open_.select("line", "head", F.xxhash64("root")), _rare(size, similarity, shared), "key long, head long, root long, n int, pos int, odd0 long, odd1 long"), "rare-shingles")
     # the shorter line of a pair has its first common shingle early, so two others need not meet
-    keyed = keyed.withColumn("_early", F.col("n") - F.col("pos") >= 2 * similarity / (1 + similarity) * F.col("n") - 1e-9)
-    per = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if("_early").alias("_e"), F.count(F.lit(1)).alias("_n"))
+    early = F.col("n") - F.col("pos") >= 2 * similarity / (1 + similarity) * F.col("n") - 1e-9
+    per = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(early).alias("_e"), F.count(F.lit(1)).alias("_n"))
     first = F.ceil(F.col("_e") / block).cast("long").alias("_first")
     other = F.when(F.col("_n") <= block, 0).otherwise(F.ceil((F.col("_n") - F.col("_e")) / block)).cast("long").alias("_second")
-    dealt = keyed.join(per.filter("lo < hi and _e > 0").select("key", first, other), "key")
-    among = F.when(F.col("_early") | (F.col("_second") == 0), F.pmod(F.xxhash64("mark"), "_first")).otherwise(
-        F.col("_first") + F.pmod(F.xxhash64("mark"), F.greatest("_second", F.lit(1))))
-    dealt = dealt.withColumn("_mine", among).join(open_.select("mark", "line"), "mark")
+    busy = stored(per.filter("lo < hi and _e > 0").select("key", first, other), "busy-shingles")
+    filtered = open_.sparkSession.sparkContext.broadcast(members(busy, "key"))
+    dealt = map_arrow(keyed, _held(filtered), keyed.schema).join(busy, "key")
+    among = F.when(early | (F.col("_second") == 0), F.pmod(F.xxhash64("head"), "_first")).otherwise(
+        F.col("_first") + F.pmod(F.xxhash64("head"), F.greatest("_second", F.lit(1))))
+    dealt = dealt.withColumn("_mine", among)
     last = F.when(F.col("_mine") < F.col("_first"), F.col("_first") + F.col("_second")).otherwise(F.col("_first")) - 1
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     i, j = F.least("_mine", "_other"), F.greatest("_mine", "_other")
-    cells = dealt.select("key", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "mark", "root", "line", "n", "pos")
-    return map_arrow(cells.repartition(*CELL).sortWithinPartitions(*CELL, "mark"), _rest(size, similarity), "a binary, b binary")
+    cells = dealt.select("key", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "head", "root", "n", "pos", "odd0", "odd1")
+    cells = cells.repartition(*CELL).sortWithinPartitions(*CELL)
+    near = stored(map_arrow(cells, _feasible(similarity), "key long, i long, j long, side int, head long, n int, pos int"), "feasible-lines")
+    told = near.join(open_, "head").drop("head")
+    return map_arrow(told.repartition(*CELL).sortWithinPartitions(*CELL, "mark"), _rest(size, similarity), "a binary, b binary")
+
+
+def _held(filtered):
+    """Rows whose key may be among those of the filter."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(filtered.value, batch.column(0).to_numpy())))
+
+    return held
 
 
 def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float, block: int) -> DataFrame:
@@ -455,8 +501,8 @@ def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float,
     rooted = stored(rooted, "rooted")
     per = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n"))
     # pairs with the smallest line have been verified, so of a bucket of two nothing is left
-    open_ = rooted.join(per.filter("lo < hi and _n > 2").select("bucket"), "bucket").select("mark", "root").distinct()
-    open_ = stored(open_.join(lines, "mark").select("mark", "root", "line"), "open-lines")
+    open_ = rooted.join(per.filter("lo < hi and _n > 2").select("bucket"), "bucket").select("mark", "head", "root").distinct()
+    open_ = stored(open_.join(lines, "mark").select("mark", "head", "root", "line"), "open-lines")
     more = stored(_further(open_, size, similarity, block), "further-lines")
     both = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     return components(both, name="all-lines")

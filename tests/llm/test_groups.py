@@ -179,7 +179,7 @@ def test_few_shingles_many_times():
 def _linked(spark, lines, block):
     """Groups of lines that the search by rare shingles links, and those of all pairs."""
     rows = [(line.encode(), line.encode(), line) for line in sorted({*lines})]
-    frame = spark.createDataFrame(rows, "mark binary, root binary, line string").repartition(3)
+    frame = spark.createDataFrame(rows, "mark binary, root binary, line string").withColumn("head", F.xxhash64("mark")).repartition(3)
     links = {(bytes(r["a"]).decode(), bytes(r["b"]).decode()) for r in line_dedup._further(frame, 7, 0.8, block).collect()}
     sets = {line: line_dedup.shingles(line) for _, _, line in rows}
     near = {(x, y) for x, y in combinations(sets, 2) if line_dedup.jaccard(sets[x], sets[y]) >= 0.8}
