@@ -212,3 +212,24 @@ SQL_PAIRS = """
     pairs AS (
       SELECT DISTINCT doc_id AS cv_id, unnest([doc_id % n, (doc_id * 7 + 3) % n]) AS job_id
       FROM documents, (SELECT count(*) AS n FROM benchmark))"""
+
+
+def sql_jaro_winkler(pairs: str, threshold: float) -> str:
+    """CTEs ending in ``alike(a, b, score)`` for ``pairs(a, b, s, t)``, where ``s`` and ``t`` are in one byte a character;
+    the statement must be RECURSIVE. The built-in function rounds half transpositions down, so it only bounds the score."""
+    same = [f"least(length(s), length(t)) >= {k} AND left(s, {k}) = left(t, {k})" for k in range(1, 5)]
+    prefix = " + ".join(f"CAST({x} AS INTEGER)" for x in same)
+    return f"""
+    near AS (SELECT *, greatest(0, greatest(length(s), length(t)) // 2 - 1) AS r FROM {pairs}
+      WHERE s <> '' AND t <> '' AND jaro_winkler_similarity(s, t) >= {threshold} - 1e-6),
+    walked AS (
+      SELECT a, b, s, t, r, CAST(1 AS BIGINT) AS i, t AS u, '' AS l FROM near
+      UNION ALL SELECT a, b, s, t, r, i + 1, CASE WHEN k > 0 THEN left(u, lo + k - 2) || chr(1) || substr(u, lo + k) ELSE u END,
+        CASE WHEN k > 0 THEN l || substr(s, i, 1) ELSE l END
+      FROM (SELECT *, instr(substr(u, lo, i + r - lo + 1), substr(s, i, 1)) AS k FROM (
+        SELECT *, greatest(1, i - r) AS lo FROM walked WHERE i <= length(s)))),
+    common AS (SELECT a, b, s, t, l, length(l) AS m,
+      list_filter(range(1, length(t) + 1), lambda x: substr(u, x, 1) = chr(1)) AS places FROM walked WHERE i = length(s) + 1 AND l <> ''),
+    jaro AS (SELECT a, b, {prefix} AS p, (m / length(s)::DOUBLE + m / length(t)::DOUBLE
+      + (m - 0.5::DOUBLE * len(list_filter(range(1, m + 1), lambda x: substr(l, x, 1) <> substr(t, places[x], 1)))) / m::DOUBLE) / 3::DOUBLE AS j FROM common),
+    alike AS (SELECT * FROM (SELECT a, b, j + p * 0.1::DOUBLE * (1 - j) AS score FROM jaro) WHERE score >= {threshold})"""

@@ -321,6 +321,10 @@ ORACLES = {
         b AS (SELECT b, translate(b, 'ñßœæªº', '!$%&*^') AS t FROM (SELECT DISTINCT unnest({_W}) AS b FROM documents))
         SELECT a, b, CAST(levenshtein(a, t) AS INTEGER) AS score FROM a, b
         WHERE abs(length(a) - length(t)) <= 2 AND levenshtein(a, t) <= 2""",
+    "t12_jaro_winkler": f"""WITH RECURSIVE words_a AS (SELECT DISTINCT unnest({_W}) AS a FROM benchmark),
+        words_b AS (SELECT DISTINCT unnest({_W}) AS b FROM documents),
+        pairs AS (SELECT a, b, translate(a, 'ñßœæªº', '!$%&*^') AS s, translate(b, 'ñßœæªº', '!$%&*^') AS t FROM words_a, words_b),
+        {c.sql_jaro_winkler('pairs', 0.92)} SELECT a, b, score FROM alike""",
     "l1_lexicon_index": f"WITH {c.SQL_SKILLS} SELECT term, skill_id FROM lex",
     "l2_scan_skills": f"{_DOC_HITS} SELECT doc_id, ord, label, skill_id, count(*) AS n FROM hits GROUP BY ALL",
     "l3_skill_placement": f"""{_DOC_HITS} SELECT doc_id, skill_id,
