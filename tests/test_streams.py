@@ -1,6 +1,7 @@
 """Keyed state over many batches: ledger accounts, subscriptions and stale payments against plain versions."""
 
 import random
+import threading
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,6 +11,20 @@ from matchloom.operators.subscriptions import RETRY_DELAY_DAYS
 from matchloom.streaming import state
 
 
+def test_processors_travel_without_their_modules(spark):
+    """Functions go by value: a module reached by name would go along with all it holds, sessions and locks too."""
+    from pyspark import cloudpickle
+
+    from matchloom.operators import ledger
+
+    ledger._held_by_a_driver = threading.RLock()
+    try:
+        for processor in (state._Accounts(["id"]), state._Subscriptions([1]), state._Payments(1)):
+            assert cloudpickle.dumps(processor)
+    finally:
+        del ledger._held_by_a_driver
+
+
 class Replay:
     """Batches of rows, one file a batch, through a streaming operator with a checkpoint and a file sink."""
 
