@@ -3,7 +3,8 @@
 Which value opens a window depends on all openers before it. Here every value points to the one that would open the
 next window if it opened one itself, and the openers are what the first value reaches along these pointers. They are
 followed in jumps of doubling length, so a key with a third of all rows takes as many tasks as any other rows, and
-rounds grow with the logarithm of its windows.
+rounds grow with the logarithm of its windows. Both sides of a join grow with the input and are small on disk for what
+they hold, so they are sorted and merged, never sent whole through the driver.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def _pointers(nodes: DataFrame, width: float, strict: bool) -> DataFrame:
     near = both.withColumn("_near", F.first("_at", ignorenulls=True).over(rest)).filter("_from is not null").select("_k", "_b", "_from", "_near")
     ahead = Window.partitionBy("_k").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
     further = both.groupBy("_k", "_b").agg(F.min("_at").alias("_low")).select("_k", "_b", F.first("_low", ignorenulls=True).over(ahead).alias("_far"))
-    return near.join(further, ["_k", "_b"]).select("_k", "_from", F.coalesce("_near", "_far").alias("_to")).filter("_to is not null")
+    return near.hint("merge").join(further, ["_k", "_b"]).select("_k", "_from", F.coalesce("_near", "_far").alias("_to")).filter("_to is not null")
 
 
 def openers(points: DataFrame, keys: list[str], value: str, width: float, strict: bool = False) -> DataFrame:
@@ -48,10 +49,10 @@ def openers(points: DataFrame, keys: list[str], value: str, width: float, strict
     reached = nodes.groupBy("_k").agg(F.min("v").alias("v"))
     for r in range(rounds):
         step = hops.select(F.col("_k").alias("_h"), "_from", "_to")
-        more = reached.join(step, (reached["_k"] == step["_h"]) & (reached["v"] == step["_from"])).select("_k", F.col("_to").alias("v"))
+        more = reached.hint("merge").join(step, (reached["_k"] == step["_h"]) & (reached["v"] == step["_from"])).select("_k", F.col("_to").alias("v"))
         reached = reached.unionByName(more)
         if r + 1 < rounds:
-            hops = hops.join(step.select("_h", F.col("_from").alias("_mid"), F.col("_to").alias("_end")), (F.col("_k") == F.col("_h")) & (F.col("_to") == F.col("_mid"))).select("_k", "_from", F.col("_end").alias("_to"))
+            hops = hops.hint("merge").join(step.select("_h", F.col("_from").alias("_mid"), F.col("_to").alias("_end")), (F.col("_k") == F.col("_h")) & (F.col("_to") == F.col("_mid"))).select("_k", "_from", F.col("_end").alias("_to"))
         if r % _ROUNDS == _ROUNDS - 1 and r + 1 < rounds:
             reached, hops = stored(reached, "anchored-reached"), stored(hops, "anchored-hops")
     return reached.select("_k.*", F.col("v").alias(value))

@@ -59,5 +59,5 @@ def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column, sp
     for key in join_keys:
         carry_in = carry_in.withColumnRenamed(key, f"_k_{key}")
     same = [work[key].eqNullSafe(carry_in[f"_k_{key}"]) for key in join_keys]
-    result = work.join(carry_in, same)
+    result = work.hint("merge").join(carry_in, same)
     return result.select(*df.columns, *[expr.alias(name) for name, expr in finals])

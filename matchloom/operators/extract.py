@@ -243,9 +243,9 @@ def words_to_lines(words: DataFrame, tol: float = 2.0, key: str = "doc_id") -> D
     numbered = numbered.select(F.col(key).alias("_k"), F.col("page").alias("_p"), F.col("_ny").alias("_first"), "line")
     heights = rows.select(key, "page", "_ny").distinct()
     same = heights[key].eqNullSafe(numbered["_k"]) & heights["page"].eqNullSafe(numbered["_p"]) & (heights["_ny"] == numbered["_first"])
-    marked = heights.join(numbered, same, "left").select(key, "page", "_ny", F.col("line").alias("_line"))
+    marked = heights.hint("merge").join(numbered, same, "left").select(key, "page", "_ny", F.col("line").alias("_line"))
     lines = running(marked, [key, "page"], ["_ny"], F.floor(F.col("_ny") / max(float(tol), 1.0)), [Running("line", "last", F.col("_line"))])
     lines = lines.select(F.col(key).alias("_k"), F.col("page").alias("_p"), F.col("_ny").alias("_h"), "line")
-    placed = rows.join(lines, rows[key].eqNullSafe(lines["_k"]) & rows["page"].eqNullSafe(lines["_p"]) & (rows["_ny"] == lines["_h"]))
+    placed = rows.hint("merge").join(lines, rows[key].eqNullSafe(lines["_k"]) & rows["page"].eqNullSafe(lines["_p"]) & (rows["_ny"] == lines["_h"]))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "text"))), lambda w: w["text"]), " ")
     return placed.groupBy(key, "page", "line").agg(text.alias("text"))

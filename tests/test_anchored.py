@@ -29,6 +29,15 @@ def test_openers_equal_walk(spark, width, strict):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in wanted.items() if v}
 
 
+def test_no_table_goes_whole_through_the_driver(spark):
+    """Stored values are small on disk for what they hold, so their size must not choose the join."""
+    words = spark.createDataFrame([(1, 0, 1.0, 9.0, "a"), (1, 0, 2.0, 1.0, "b")], "doc_id long, page long, x double, y double, text string")
+    plan = words_to_lines(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plan = openers(words, ["doc_id"], "y", 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_no_rows(spark):
     assert openers(spark.createDataFrame([], "k string, v long"), ["k"], "v", 5).count() == 0
 
