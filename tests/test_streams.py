@@ -8,6 +8,7 @@ import pytest
 from test_money import ENTRY, T0, brute
 
 from matchloom.operators.subscriptions import RETRY_DELAY_DAYS
+from matchloom.plans import streams as plans
 from matchloom.streaming import state
 
 
@@ -126,3 +127,15 @@ def test_stale_payments_over_batches(spark, tmp_path):
     replay.add(*batches)
     base = int((T0 - datetime(1970, 1, 1)).total_seconds()) + 300
     assert sorted((r["payment_id"], r["due_us"] // 1_000_000 - base) for r in replay.run()) == [(1, 0), (4, 2400), (5, 0)]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_replayed_table_is_a_file_or_a_folder(spark, tmp_path, folder):
+    """A table of many files has none of its own name; a stream that looks for that name finds nothing."""
+    rows, folders = spark.range(40).withColumnRenamed("id", "event_id"), tmp_path / "folders"
+    rows.repartition(3).write.parquet(f"{folders}/events.parquet")
+    if not folder:
+        rows.toPandas().to_parquet(tmp_path / "events.parquet")
+    sf = str(folders if folder else tmp_path)
+    got = plans.drain(spark, plans.replay(spark, sf, "events"), "replayed")
+    assert sorted(r[0] for r in got.collect()) == list(range(40))
