@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from matchloom.functions import similarity as sim
 from matchloom.functions import text as tx
 from matchloom.functions.wordlists import CV_HEADERS
@@ -157,3 +158,25 @@ def test_levenshtein_join_misses_nothing(spark):
     want = {(a, b) for a in left for b in right if distance(a, b) <= 2}
     mk = lambda ws: spark.createDataFrame([(w,) for w in ws], "token string")
     assert {(r["a"], r["b"]) for r in similar.similar_terms(mk(left), mk(right), "levenshtein", 2).collect()} == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bound_of_jaro_winkler_is_never_below_it(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aabeñ0-") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    pairs = spark.createDataFrame([(rng.choice(words), rng.choice(words)) for _ in range(3000)], "a string, b string")
+    bits = pairs.withColumns({"_a": sim.signature("a"), "_b": sim.signature("b")})
+    rows = bits.select("a", "b", sim.jaro_winkler_bound("a", "b", "_a", "_b").alias("most")).collect()
+    assert all(r["most"] >= sim.jaro_winkler_python(r["a"], r["b"]) - 1e-9 for r in rows)
+    assert sum(r["most"] < 0.92 for r in rows) > 1000
+
+
+def test_pairs_are_scored_once_in_even_tasks(spark):
+    """A filter on the score must not slip below the step that makes pairs distinct, nor a shuffle be left out."""
+    words = spark.createDataFrame([("reactor",), ("reaction",)], "token string")
+    plan = _plan(similar.similar_terms(words, words.distinct(), "jaro_winkler", 0.92))
+    assert plan.count("jaro_winkler(") == plan.count("ArrowEvalPython [jaro_winkler(") == 1
+    assert plan.count("REPARTITION_BY_NUM") == 2
