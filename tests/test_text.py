@@ -180,3 +180,10 @@ def test_pairs_are_scored_once_in_even_tasks(spark):
     plan = _plan(similar.similar_terms(words, words.distinct(), "jaro_winkler", 0.92))
     assert plan.count("jaro_winkler(") == plan.count("ArrowEvalPython [jaro_winkler(") == 1
     assert plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_headers_are_found_behind_the_shuffle(spark):
+    docs = spark.createDataFrame([(1, "EXPERIENCE\nwork"), (2, "none")], "doc_id long, text string").hint("rebalance", "doc_id")
+    lines = _plan(text.detect_headers(docs)).splitlines()
+    shuffle = next(i for i, line in enumerate(lines) if "REBALANCE" in line)
+    assert [i for i, line in enumerate(lines) if "RLIKE" in line] and not any("RLIKE" in line for line in lines[shuffle:])
