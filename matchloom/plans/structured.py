@@ -125,7 +125,7 @@ LINES = [
 
 
 def cv_lines(spark, sf):
-    return c.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.array(*[F.expr(e) for e in LINES]).alias("lines"))
+    return c.dealt(c.table(spark, sf, "customer"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), F.array(*[F.expr(e) for e in LINES]).alias("lines"))
 
 
 def x1(spark, sf):
