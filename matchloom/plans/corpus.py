@@ -88,7 +88,7 @@ def t9(spark, sf):
 
 
 def t9_job_spec(spark, sf):
-    part = c.table(spark, sf, "part")
+    part = c.dealt(c.table(spark, sf, "part"), "p_partkey")
     spec = part.select(
         "p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("company"),
         F.repeat(F.col("p_type"), F.col("p_size") * 20).alias("description"), F.lit(" ").alias("location"),

@@ -187,3 +187,13 @@ def test_headers_are_found_behind_the_shuffle(spark):
     lines = _plan(text.detect_headers(docs)).splitlines()
     shuffle = next(i for i, line in enumerate(lines) if "REBALANCE" in line)
     assert [i for i, line in enumerate(lines) if "RLIKE" in line] and not any("RLIKE" in line for line in lines[shuffle:])
+
+
+@pytest.mark.parametrize(("query", "narrow"), [("x1_basics", "customer"), ("x4_work", "customer"), ("x4_work_docx", "customer"), ("t9_validate_job_specs", "part")])
+def test_costly_expressions_on_narrow_tables_run_in_even_tasks(spark, tmp_path, query, narrow):
+    key, kinds = {"customer": ("c_custkey", "c_name string, c_mktsegment string"), "part": ("p_partkey", "p_name string, p_brand string, p_type string, p_size int")}[narrow]
+    row = (1, "Ana Gil", "shop") if narrow == "customer" else (1, "name", "brand", "type", 3)
+    spark.createDataFrame([row], f"{key} long, {kinds}").write.parquet(str(tmp_path / f"{narrow}.parquet"))
+    lines = _plan(entry.queries()[query](spark, str(tmp_path))).splitlines()
+    shuffle = next(i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line)
+    assert any("Project" in line for line in lines[:shuffle]) and not any("Project" in line for line in lines[shuffle:])
