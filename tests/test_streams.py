@@ -79,6 +79,18 @@ def test_ledger_of_odd_entries(spark, tmp_path):
     assert got == {1: 2, 2: "ZERO_DELTA", 3: "BLANK_REFERENCE", 4: 2**40, 5: 0, 6: 2**40 - 1}
 
 
+def test_ledger_keeps_entries_in_parts_that_split(spark, tmp_path):
+    """State is written by parts of a user's entries, not entry by entry, and every part is found again after it split."""
+    rng = random.Random(5)
+    rows = [(i, 1 if i % 10 else 2, rng.choice(["R", "S"]), f"k{rng.randrange(600)}", 1, T0 + timedelta(minutes=i)) for i in range(1200)]
+    replay = Replay(spark, tmp_path, ENTRY, state.ledger_accounts)
+    replay.add(rows[:700], rows[700:720], rows[720:])
+    got = replay.run()
+    assert {r["id"]: r["error_code"] or r["balance_after"] for r in got} == brute(rows) and len(got) == len(rows)
+    updated = [sum(op["numRowsUpdated"] for op in p["stateOperators"]) for p in replay.progress if p["numInputRows"]]
+    assert updated[0] < 60 and updated[1] <= 2 * 20 and updated[2] < 100
+
+
 def subscription(events, start, end):
     """Transitions and due retries of one subscription up to a watermark, in order."""
     day, out = timedelta(days=1), []
