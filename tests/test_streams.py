@@ -141,6 +141,23 @@ def test_stale_payments_over_batches(spark, tmp_path):
     assert sorted((r["payment_id"], r["due_us"] // 1_000_000 - base) for r in replay.run()) == [(1, 0), (4, 2400), (5, 0)]
 
 
+def test_stale_payments_share_state_and_timers(spark, tmp_path):
+    """The store is asked per bucket; payments of a bucket fall due one after the other, strictly before the watermark."""
+    minute, n = timedelta(minutes=1), 300
+    made = [(i, "created", T0 + (i % 60) * minute) for i in range(n)] + [(None, "created", T0 + 7 * minute), (2**60 + 1, "created", T0)]
+    ended = [(i, "terminal", T0 + (i % 60 + (2 if i % 4 else 9)) * minute) for i in range(0, n, 2)]
+    replay = Replay(spark, tmp_path, "payment_id long, kind string, at timestamp", lambda s: state.stale_alerts(s, delay="90 minutes", buckets=4))
+    replay.add(made, ended, [(None, "noise", T0 + 125 * minute)])
+    base = int((T0 - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    due = lambda i: base + (i % 60 + 5) * 60_000_000
+    late = {(i, due(i)) for i in range(0, n, 4)}
+    quiet = {(i, due(i)) for i in range(1, n, 2) if i % 60 + 5 < 35}  # the watermark ends at minute 35
+    rows = replay.run()
+    assert {tuple(r) for r in rows} == late | quiet | {(None, base + 12 * 60_000_000), (2**60 + 1, base + 5 * 60_000_000)}
+    assert len(rows) == len(late | quiet) + 2
+    assert all(op["numRowsUpdated"] <= 6 * 5 for p in replay.progress for op in p["stateOperators"])
+
+
 @pytest.mark.parametrize("folder", [False, True])
 def test_replayed_table_is_a_file_or_a_folder(spark, tmp_path, folder):
     """A table of many files has none of its own name; a stream that looks for that name finds nothing."""
