@@ -36,3 +36,10 @@ def test_every_sql_belongs_to_a_query():
 def test_no_python_in_plan(spark, sf_dir, name):
     plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("name", ["m7_match_pairs", "c1_match_score"])
+def test_words_of_documents_stay_in_place(spark, sf_dir, name):
+    """The words near a requirement go to the documents' words, which are many, and often the same."""
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(token" not in plan
