@@ -144,7 +144,7 @@ def test_stale_payments_over_batches(spark, tmp_path):
 def test_stale_payments_share_state_and_timers(spark, tmp_path):
     """The store is asked per bucket; payments of a bucket fall due one after the other, strictly before the watermark."""
     minute, n = timedelta(minutes=1), 300
-    made = [(i, "created", T0 + (i % 60) * minute) for i in range(n)] + [(None, "created", T0 + 7 * minute), (2**60 + 1, "created", T0)]
+    made = [(i, "created", T0 + (i % 60) * minute) for i in range(n)] + [(None, "created", T0 + 7 * minute), (2**60 + 1, "created", T0), (2**60 + 1, "terminal", None)]
     ended = [(i, "terminal", T0 + (i % 60 + (2 if i % 4 else 9)) * minute) for i in range(0, n, 2)]
     replay = Replay(spark, tmp_path, "payment_id long, kind string, at timestamp", lambda s: state.stale_alerts(s, delay="90 minutes", buckets=4))
     replay.add(made, ended, [(None, "noise", T0 + 125 * minute)])
