@@ -26,15 +26,20 @@ REPEATS = 2
 #: lost: it gets a hash function for each row of each band. Lines it may be similar to get those as well.
 SHORT = 64
 
-#: Lines with a rare shingle in common that meet in one cell; more are cut into blocks, and each pair of blocks is a cell.
+#: Further bands of lines in buckets that hold several components after their first check: with the others, a pair of
+#: these at similarity 0.8 shares none with probability (1 - 0.8^4)^36 = 6e-9.
+MORE_BANDS = 24
+
+#: Lines of a bucket, or with a rare shingle in common, that meet in one cell. Of a fuller bucket, lines meet by their rare
+#: shingles; lines with a rare shingle in common are cut into blocks, and each pair of blocks is a cell.
 BLOCK = 512
 
+#: 64-bit words of a sketch that tells, of so many slots, whether an odd number of a line's shingles fall into them.
+WORDS = 16
+
 #: Slots of the table that counts in how many lines a shingle is, and the bits of its hash that do not name the slot.
 SLOTS, _SLOT = 1 << 20, np.uint64(44)
 
-#: Shingles a worker keeps at once.
-KEPT_SHINGLES = 300_000
-
 #: What does not count at either end of a line.
 BLANKS = " \t\r\x0b\x0c"
 
@@ -54,23 +59,6 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both)
 
 
-class Shingled:
-    """Shingles of lines seen lately, of a bounded number in all, so that very long lines do not fill a worker."""
-
-    def __init__(self, size: int):
-        self.size, self.kept, self.total = size, {}, 0
-
-    def __call__(self, line: str) -> frozenset[str]:
-        found = self.kept.get(line)
-        if found is None:
-            found = shingles(line, self.size)
-            if self.total + len(found) > KEPT_SHINGLES:
-                self.kept, self.total = {}, 0
-            self.kept[line] = found
-            self.total += len(found)
-        return found
-
-
 def _hashed(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles, line after line, and their number in each line."""
     sizes = np.array([len(x) for x in lines])
@@ -133,9 +121,9 @@ def _bins(h: np.ndarray, n: np.ndarray, bins: int) -> np.ndarray:
     return value + (ahead - np.arange(bins)).astype(np.uint32) * np.uint32(0x9E3779B1)
 
 
-def _least(h: np.ndarray, n: np.ndarray, count: int) -> np.ndarray:
+def _least(h: np.ndarray, n: np.ndarray, count: int, seed: int = 48) -> np.ndarray:
     """Least value per hash function and line, for ``count`` functions."""
-    draw = np.random.RandomState(48)
+    draw = np.random.RandomState(seed)
     salts, factors = (draw.randint(0, 1 << 32, count, np.uint64).astype(np.uint32) for _ in range(2))
     x, starts = _mixed(h, *_MIX[2]), np.cumsum(n) - n
     out = np.empty((len(n), count), np.uint32)
@@ -285,16 +273,15 @@ def _contested(signed: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 
 def _verified(size: int, similarity: float):
-    """Candidate pairs with both lines: those similar enough."""
+    """Candidate pairs with both lines, their numbers of shingles and sketches: those similar enough."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Shingled(size)
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                # a line has at most as many shingles as places for them
-                if max(1, len(x) - size + 1) >= similarity * len(sets(y)) and jaccard(shingles(x, size), sets(y)) >= similarity:
-                    keep.append(i)
+            n, odd = [batch.column(k).to_numpy() for k in (4, 5)], [_words(batch.column(k)) for k in (6, 7)]
+            may = np.flatnonzero(_alike(*n, *odd, similarity))
+            lines = [batch.column(k).take(pa.array(may)).to_pylist() for k in (2, 3)]
+            sets = _sets([*{*lines[0], *lines[1]}], size)
+            keep = [i for i, x, y in zip(may.tolist(), *lines, strict=True) if _similar(sets[x], sets[y], similarity)]
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
     return verified
@@ -323,6 +310,62 @@ def _ordered(lines: list[str], size: int, counts: np.ndarray | None = None) -> t
     return row, h, np.arange(len(row)) - (np.cumsum(n) - n)[row], n[row]
 
 
+def _sketches(row: np.ndarray, h: np.ndarray, lines: int) -> np.ndarray:
+    """``(lines, WORDS)``: of each of 64 x ``WORDS`` slots whether an odd number of the line's shingles fall into it."""
+    out = np.zeros(lines * WORDS, np.uint64)
+    np.bitwise_xor.at(out, row * WORDS + (h >> np.uint64(6) & np.uint64(WORDS - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return out.reshape(lines, WORDS)
+
+
+def _packed(sketches: np.ndarray) -> pa.Array:
+    data = sketches.tobytes()
+    return pa.array([data[at:at + 8 * WORDS] for at in range(0, len(data), 8 * WORDS)], pa.binary())
+
+
+def _words(packed) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+def _sets(lines: list[str], size: int) -> dict[str, np.ndarray]:
+    """Different shingles of each line, as sorted 64-bit hashes: two of one pair of lines clash once in 10^13 pairs."""
+    out = {}
+    for s, t in _steps(lines):
+        row, h, _, _ = _ordered(lines[s:t], size)
+        out.update(zip(lines[s:t], np.split(h, np.cumsum(np.bincount(row, minlength=t - s))[:-1]), strict=True))
+    return out
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """:func:`jaccard` of two sets of hashes, each sorted."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (len(both) - common) >= similarity
+
+
+def _alike(n, m, odd, other, similarity: float) -> np.ndarray:
+    """Whether lines of ``n`` and ``m`` shingles may be similar: these have enough shingles in common for their numbers, and
+    two lines differ in no more slots of their sketches than in shingles."""
+    share, total = similarity / (1 + similarity), n + m
+    differ = np.bitwise_count(odd ^ other).sum(axis=-1, dtype=np.int64)
+    return (np.minimum(n, m) >= share * total - 1e-9) & (differ <= total * (1 - 2 * share) + 1e-9)
+
+
+def _sketched(size: int):
+    """``(mark, line)`` with the number of different shingles of the line and its sketch."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(1).to_pylist()
+            for s, t in _steps(lines):
+                row, h, _, _ = _ordered(lines[s:t], size)
+                n = np.bincount(row, minlength=t - s).astype(np.int32)
+                part = batch.slice(s, t - s)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), _packed(_sketches(row, h, t - s))], names=["mark", "line", "n", "odd"])
+
+    return sketched
+
+
 def _counted(size: int):
     """Lines: how many have a shingle in each slot of a table of fixed size."""
 
@@ -342,8 +385,7 @@ def _rare(size: int, similarity: float, shared):
     """Lines: a row for each shingle by which a line must meet those similar to it, with the head of its digest and a hash of its root.
 
     Lines of n and m >= n shingles that are similar have at least ``similarity`` x m in common, so with all shingles in
-    one order they share one of the first n (or m) less that many, and one. ``odd0`` and ``odd1`` tell of 128 slots whether
-    an odd number of the line's shingles fall into them: two lines differ there in no more slots than shingles.
+    one order they share one of the first n (or m) less that many, and one.
     """
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,15 +394,12 @@ def _rare(size: int, similarity: float, shared):
             heads, roots = (batch.column(k).to_numpy() for k in (1, 2))
             for s, t in _steps(lines):
                 row, h, pos, n = _ordered(lines[s:t], size, shared.value)
-                start, bit = np.flatnonzero(pos == 0), np.uint64(1) << (h & np.uint64(63))
-                odd = np.zeros((t - s, 2), np.uint64)
-                for half in (0, 1):
-                    odd[row[start], half] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(6) & np.uint64(1) == half, bit, np.uint64(0)), start)
+                odd = _packed(_sketches(row, h, t - s))
                 keep = pos <= n - np.ceil(similarity * n - 1e-9)
                 of = row[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h[keep].view(np.int64), heads[of + s], roots[of + s], n[keep].astype(np.int32), pos[keep].astype(np.int32),
-                                           odd[of, 0].view(np.int64), odd[of, 1].view(np.int64))], names=["key", "head", "root", "n", "pos", "odd0", "odd1"])
+                    [*map(pa.array, (h[keep].view(np.int64), heads[of + s], roots[of + s], n[keep].astype(np.int32), pos[keep].astype(np.int32))), odd.take(pa.array(of))],
+                    names=["key", "head", "root", "n", "pos", "odd"])
 
     return rare
 
@@ -375,33 +414,32 @@ def _feasible(similarity: float):
 
     def feasible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, edge in whole_groups(batches, CELL):
-            block_i, block_j, side, root, n, pos, *odd = (part.column(c).to_numpy() for c in ("i", "j", "side", "root", "n", "pos", "odd0", "odd1"))
-            odd = [x.view(np.uint64) for x in odd]
+            block_i, block_j, side, root, n, pos = (part.column(c).to_numpy() for c in ("i", "j", "side", "root", "n", "pos"))
+            odd = _words(part.column("odd"))
             end, after, two = np.repeat(edge[1:], np.diff(edge)), n - pos, block_i != block_j
             x, keep, step = np.arange(len(n)), np.zeros(len(n), bool), 1
             while len(x := x[x + step < end[x]]):
                 y = x + step
-                total = n[x] + n[y]
-                may = (np.minimum(after[x], after[y]) >= share * total - 1e-9) & (root[x] != root[y]) & ~(two[x] & (side[x] == side[y]))
+                may = (np.minimum(after[x], after[y]) >= share * (n[x] + n[y]) - 1e-9) & (root[x] != root[y]) & ~(two[x] & (side[x] == side[y]))
                 u, v = x[may], y[may]
-                differ = np.bitwise_count(odd[0][u] ^ odd[0][v]).astype(np.int64) + np.bitwise_count(odd[1][u] ^ odd[1][v])
-                near = differ <= total[may] * (1 - 2 * share) + 1e-9
+                near = _alike(n[u], n[v], odd[u], odd[v], similarity)
                 keep[u[near]] = keep[v[near]] = True
                 step += 1
-            yield from part.select([*CELL, "side", "head", "n", "pos"]).filter(pa.array(keep)).to_batches()
+            yield from part.select([*CELL, "side", "head", "n", "pos", "odd"]).filter(pa.array(keep)).to_batches()
 
     return feasible
 
 
 def _rest(size: int, similarity: float):
-    """Cells of lines that share a rare shingle: links between different components, as a forest."""
+    """Cells of lines that share a bucket or a rare shingle: links between different components, as a forest."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, share = Shingled(size), similarity / (1 + similarity)
+        share = similarity / (1 + similarity)
         for part, edge in whole_groups(batches, CELL):
             block_i, block_j, mark, root, line = (part.column(c).to_pylist() for c in ("i", "j", "mark", "root", "line"))
             n, pos, side = (part.column(c).to_numpy() for c in ("n", "pos", "side"))
-            after = n - pos
+            after, odd = n - pos, _words(part.column("odd"))
+            sets = _sets([*{*line}], size)
             a, b = [], []
             for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if len({*root[s:t]}) < 2:
@@ -419,9 +457,11 @@ def _rest(size: int, similarity: float):
                     may = np.minimum(after[i + 1:t], after[i]) >= share * (n[i + 1:t] + n[i]) - 1e-9
                     if two:
                         may &= side[i + 1:t] != side[i]
+                    if may.any():
+                        may &= _alike(n[i + 1:t], n[i], odd[i + 1:t], odd[i], similarity)
                     for j in (np.flatnonzero(may) + i + 1).tolist():
                         p, q = top(root[i]), top(root[j])
-                        if p != q and jaccard(sets(line[i]), sets(line[j])) >= similarity:
+                        if p != q and _similar(sets[line[i]], sets[line[j]], similarity):
                             up[max(p, q)] = min(p, q)
                             a.append(mark[i])
                             b.append(mark[j])
@@ -444,7 +484,7 @@ def _further(open_: DataFrame, size: int, similarity: float, block: int) -> Data
     counts = np.zeros(SLOTS, np.int64)
     counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     shared = open_.sparkSession.sparkContext.broadcast(counts)
-    keyed = stored(map_arrow(open_.select("line", "head", F.xxhash64("root")), _rare(size, similarity, shared), "key long, head long, root long, n int, pos int, odd0 long, odd1 long"), "rare-shingles")
+    keyed = stored(map_arrow(open_.select("line", "head", F.xxhash64("root")), _rare(size, similarity, shared), "key long, head long, root long, n int, pos int, odd binary"), "rare-shingles")
     # the shorter line of a pair has its first common shingle early, so two others need not meet
     early = F.col("n") - F.col("pos") >= 2 * similarity / (1 + similarity) * F.col("n") - 1e-9
     per = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(early).alias("_e"), F.count(F.lit(1)).alias("_n"))
@@ -459,10 +499,43 @@ def _further(open_: DataFrame, size: int, similarity: float, block: int) -> Data
     last = F.when(F.col("_mine") < F.col("_first"), F.col("_first") + F.col("_second")).otherwise(F.col("_first")) - 1
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     i, j = F.least("_mine", "_other"), F.greatest("_mine", "_other")
-    cells = dealt.select("key", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "head", "root", "n", "pos", "odd0", "odd1")
+    cells = dealt.select("key", i.alias("i"), j.alias("j"), F.when(i == F.col("_mine"), 0).otherwise(1).alias("side"), "head", "root", "n", "pos", "odd")
+    return _linked(cells, open_, size, similarity)
+
+
+def _more_buckets(size: int, rows: int):
+    """``(mark, head, root, line)``: a row for each of the line's further buckets."""
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(3).to_pylist()
+            for s, t in _steps(lines):
+                buckets = _banded(_least(*_hashed(lines[s:t], size), MORE_BANDS * rows, seed=49), MORE_BANDS, rows)
+                of = pa.array(np.repeat(np.arange(s, t), MORE_BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.view(np.int64).ravel()), *(batch.column(k).take(of) for k in range(3))], names=["bucket", "mark", "head", "root"])
+
+    return filed
+
+
+def _counted_buckets(rows: DataFrame) -> DataFrame:
+    """``(bucket, _n)`` of buckets of ``(bucket, root)`` with several roots."""
+    return rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n")).filter("lo < hi").select("bucket", "_n")
+
+
+def _within(open_: DataFrame, lines: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(a, b)``: links between different roots in ``(bucket, mark, head, root)``, whose buckets are cells of bounded size."""
+    told = open_.join(lines.select("mark", "n", "odd"), "mark")
+    none = F.lit(-1).cast("long")
+    cells = told.select(F.col("bucket").alias("key"), none.alias("i"), none.alias("j"), F.lit(0).alias("side"), "head", F.xxhash64("root").alias("root"),
+                        "n", F.lit(0).alias("pos"), "odd")
+    return _linked(cells, open_.select("mark", "head", "root").distinct().join(lines.select("mark", "line"), "mark"), size, similarity)
+
+
+def _linked(cells: DataFrame, lines: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(a, b)``: links within cells, whose rows get their line from ``(mark, head, root, line)`` if it may be similar to another."""
     cells = cells.repartition(*CELL).sortWithinPartitions(*CELL)
-    near = stored(map_arrow(cells, _feasible(similarity), "key long, i long, j long, side int, head long, n int, pos int"), "feasible-lines")
-    told = near.join(open_, "head").drop("head")
+    near = stored(map_arrow(cells, _feasible(similarity), "key long, i long, j long, side int, head long, n int, pos int, odd binary"), "feasible-lines")
+    told = near.join(lines, "head").drop("head")
     return map_arrow(told.repartition(*CELL).sortWithinPartitions(*CELL, "mark"), _rest(size, similarity), "a binary, b binary")
 
 
@@ -476,34 +549,41 @@ def _held(filtered):
     return held
 
 
-def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float, block: int) -> DataFrame:
+def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float, block: int, band_rows: int = ROWS) -> DataFrame:
     """``(node, component)`` of lines, by digest, that have a different line of at least the wanted similarity.
 
     A bucket's lines are first verified against its smallest one, a pair once however many buckets it shares; this
-    settles whole groups of near copies. Lines of buckets that then still hold several components meet again by their
-    rare shingles, in cells of bounded size, across components only. So no link between different texts that share a
-    bucket is lost, no cell emits more links than it has lines, and unlike lines with a common part are not compared.
+    settles whole groups of near copies. Lines of buckets that then still hold several components meet again across
+    components only, also in further buckets: one of up to ``block`` lines is a cell, lines of fuller ones meet by their
+    rare shingles in cells of bounded size. So no link between different texts that share a bucket is lost, no cell emits more links than
+    it has lines, and of unlike lines with a common part no more than their sketches are compared.
     """
     one = F.explode("buckets").alias("bucket")
     buckets = signed.filter("size(buckets) > 0").select(one, "head").groupBy("bucket").agg(F.min("head").alias("low"), F.max("head").alias("high"))
     shared = stored(buckets.filter("low < high").select("bucket", "low"), "shared-buckets")
     rows = stored(_contested(signed, members(shared, "bucket")).distinct().join(shared, "bucket"), "contested")
-    lines = stored(_texts(docs, members(rows, "head")).groupBy("mark").agg(F.first("line").alias("line")), "contested-lines")
+    texts = _texts(docs, members(rows, "head")).groupBy("mark").agg(F.first("line").alias("line"))
+    lines = stored(map_arrow(texts, _sketched(size), "mark binary, line string, n int, odd binary"), "contested-lines")
 
     centre = rows.filter("head = low").groupBy("bucket").agg(F.min("mark").alias("b"))
     star = rows.join(centre, "bucket").filter("mark <> b").select(F.col("mark").alias("a"), "b").distinct()
-    with_a = star.join(lines.select(F.col("mark").alias("a"), F.col("line").alias("x")), "a")
-    with_b = with_a.join(lines.select(F.col("mark").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
+    with_a = star.join(lines.select(F.col("mark").alias("a"), F.col("line").alias("x"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a")), "a")
+    with_b = with_a.join(lines.select(F.col("mark").alias("b"), F.col("line").alias("y"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b")), "b").select(
+        "a", "b", "x", "y", "n_a", "n_b", "odd_a", "odd_b")
     near = stored(map_arrow(with_b, _verified(size, similarity), "a binary, b binary"), "near-lines")
     first = stored(components(near, name="lines"), "line-groups")
 
     rooted = rows.join(first, rows["mark"] == first["node"], "left").select("bucket", "mark", "head", F.coalesce("component", "mark").alias("root"))
     rooted = stored(rooted, "rooted")
-    per = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_n"))
     # pairs with the smallest line have been verified, so of a bucket of two nothing is left
-    open_ = rooted.join(per.filter("lo < hi and _n > 2").select("bucket"), "bucket").select("mark", "head", "root").distinct()
-    open_ = stored(open_.join(lines, "mark").select("mark", "head", "root", "line"), "open-lines")
-    more = stored(_further(open_, size, similarity, block), "further-lines")
+    open_ = stored(rooted.join(_counted_buckets(rooted).filter("_n > 2"), "bucket"), "open-rows")
+    told = stored(open_.select("mark", "head", "root").distinct().join(lines.select("mark", "line"), "mark").select("mark", "head", "root", "line"), "open-lines")
+    again = stored(map_arrow(told, _more_buckets(size, band_rows), "bucket long, mark binary, head long, root binary"), "more-buckets")
+    open_ = stored(open_.unionByName(again.join(_counted_buckets(again), "bucket")), "open-buckets")
+    more = stored(_within(open_.filter(F.col("_n") <= block), lines, size, similarity), "further-lines")
+    full = open_.filter(F.col("_n") > block).select("mark").distinct()
+    if not full.isEmpty():
+        more = more.unionByName(stored(_further(stored(told.join(full, "mark"), "full-lines"), size, similarity, block), "rare-lines"))
     both = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     return components(both, name="all-lines")
 
@@ -511,7 +591,7 @@ def near_lines(docs: DataFrame, signed: DataFrame, size: int, similarity: float,
 def dropped_lines(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """``(_id, _text_hash, _drop)``: places of the lines that go, for documents that lose any."""
     signed = stored(_signed(docs, size, similarity, bands, rows), "signed-lines")
-    groups = near_lines(docs, signed, size, similarity, block)
+    groups = near_lines(docs, signed, size, similarity, block, rows)
     counts = signed.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # what is alone in its group needs no further look
     several = counts.join(groups, counts["mark"] == groups["node"], "full_outer").select(

@@ -211,6 +211,37 @@ def test_rare_shingles_lose_no_link(spark):
         assert got == want and n > 150
 
 
+def test_lines_meet_within_their_buckets(spark, monkeypatch):
+    """Only lines of buckets fuller than a cell are searched by rare shingles; the groups are the same."""
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    lines = [text(300) for _ in range(12)]
+    for x in lines[:12]:
+        for _ in range(5):  # steps that are similar one to the next, not the last to the first
+            at = rng.randrange(len(x) - 20)
+            lines.append(x := x[:at] + text(14) + x[at + 14:])
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(lines[i::24])) for i in range(24)]
+    monkeypatch.setattr(line_dedup, "_further", None)
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == plain_lines(docs) and sum(r[1] for r in got.values()) >= 48
+
+
+def test_sketches_part_long_lines_and_no_similar_ones():
+    rng = random.Random(15)
+    lines = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randint(500, 900))) for _ in range(60)]
+    lines += [x[:rng.randint(int(0.79 * len(x)), len(x))] for x in lines]
+    row, h, _, _ = line_dedup._ordered(lines, 7)
+    n, odd = np.bincount(row), line_dedup._sketches(row, h, len(lines))
+    sets, alike = [line_dedup.shingles(x) for x in lines], line_dedup._alike(n[:, None], n[None], odd[:, None], odd[None], 0.8)
+    hashed = line_dedup._sets(lines, 7)
+    for i, j in combinations(range(len(lines)), 2):
+        same = line_dedup.jaccard(sets[i], sets[j]) >= 0.8
+        assert alike[i, j] or not same
+        assert not alike[i, j] or j == i + 60
+        assert line_dedup._similar(hashed[lines[i]], hashed[lines[j]], 0.8) == same
+
+
 def test_unlike_lines_with_a_common_part_are_not_compared():
     """Work follows similar lines, not the size of the group that shares a start."""
     rng = random.Random(13)
