@@ -1,4 +1,4 @@
-"""Fuzzy line dedup by MinHash: character shingles, high-recall banding, exact Jaccard, distributed union-find."""
+"""Fuzzy line dedup by MinHash: character shingles, high-recall banding, Jaccard over 64-bit hashes, distributed union-find."""
 
 from __future__ import annotations
 
