@@ -1,6 +1,6 @@
 """What the matching queries keep between their steps, and how documents are dealt out."""
 
-from matchloom.plans import common, matching
+from matchloom.plans import common, matching, streams
 
 
 def tables(spark, folder):
@@ -34,3 +34,14 @@ def test_kept_tables_are_on_disk_and_without_texts(spark, tmp_path):
         table.unpersist()
     assert not {"text", "folded"} & set(kept.docs.columns)
     assert "body" not in kept.docs.schema["sections"].dataType.elementType.names
+
+
+def test_streamed_scores_count_similar_words(spark, tmp_path):
+    """The fifth tier of the cascade: a word that is nearly the one sought counts where no other tier finds anything."""
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "kuberneteq and more"), (2, "nothing of it"), (3, "kubernetes")], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(0, "kubernete uses kubernetes")], "item_id long, text string").coalesce(1).write.parquet(f"{sf}/benchmark.parquet")
+    got = {r["cv_id"]: r["overall"] for r in streams.w7_scores(spark, sf).collect()}
+    strict = {r["cv_id"]: r["overall"] for r in matching.c6(spark, sf).collect()}
+    assert got == {r["cv_id"]: r["overall"] for r in matching.flagship(spark, sf).collect()}
+    assert got[1] > strict[1] and got[2] == strict[2] and got[3] == strict[3] > got[1]
