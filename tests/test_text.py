@@ -182,6 +182,16 @@ def test_pairs_are_scored_once_in_even_tasks(spark):
     assert plan.count("REPARTITION_BY_NUM") == 2
 
 
+def test_words_meet_in_packs(spark):
+    """No row per word and key, of which a word had a hundred: packs of words meet, and each pair comes out once."""
+    left, right = _words(11, 400, "abcdeñ", 12), [*_words(12, 9000, "abcdeñ", 12), "\U0001f600ab", "x" * 300]
+    mk = lambda ws: spark.createDataFrame([(w,) for w in ws], "token string")
+    pairs = similar.similar_terms(mk(left), mk(right), "jaro_winkler", 0.92)
+    assert "Generate explode" not in _plan(pairs) and "MapInArrow packed" in _plan(pairs)
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(set(got)) == len(got) and set(got) == {(a, b) for a in left for b in right if sim.jaro_winkler_python(a, b) >= 0.92}
+
+
 def test_headers_are_found_behind_the_shuffle(spark):
     docs = spark.createDataFrame([(1, "EXPERIENCE\nwork"), (2, "none")], "doc_id long, text string").hint("rebalance", "doc_id")
     lines = _plan(text.detect_headers(docs)).splitlines()
