@@ -1,6 +1,7 @@
 """What the matching queries keep between their steps, and how documents are dealt out."""
 
 from matchloom.plans import common, matching, streams
+from matchloom.streaming import jobs
 
 
 def tables(spark, folder):
@@ -45,3 +46,15 @@ def test_streamed_scores_count_similar_words(spark, tmp_path):
     strict = {r["cv_id"]: r["overall"] for r in matching.c6(spark, sf).collect()}
     assert got == {r["cv_id"]: r["overall"] for r in matching.flagship(spark, sf).collect()}
     assert got[1] > strict[1] and got[2] == strict[2] and got[3] == strict[3] > got[1]
+
+
+def test_documents_are_screened_once(spark):
+    """One pass and one redaction, whatever the verdict."""
+    rows = [(1, "call 300 123 4567 or mail a.b@c.org"), (2, "x" * 100_001 + " a.b@c.org"), (3, "see DE LA here http://x.org/1"), (4, None), (5, "Calle 5 {x}, tel"), (6, "una\nCARRERA 9 no\nfin")]
+    out = jobs.screened_documents(spark.createDataFrame(rows, "doc_id long, text string"), ["de la"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("EMAIL_REDACTED") == 1
+    got = {r["doc_id"]: (r["text"], r["verdict"]) for r in out.collect()}
+    assert got[1] == ("call [PHONE_REDACTED] or mail [EMAIL_REDACTED]", "clean") and got[2] == (rows[1][1], "rejected")
+    assert got[3] == ("see DE LA here [URL_REDACTED]", "quarantined") and got[4] == (None, "clean")
+    assert got[5] == ("[ADDRESS_REDACTED]}, tel", "clean") and got[6] == ("una\n[ADDRESS_REDACTED]\nfin", "quarantined")
