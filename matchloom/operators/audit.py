@@ -11,13 +11,13 @@ from ..functions.wordlists import ENTITY_CERTIFICATIONS, ENTITY_SKILLS, ENTITY_T
 KINDS = ["Skill", "Company", "Date", "Metric", "Certification", "Title"]
 HARD_KINDS = ["Company", "Certification", "Date", "Title"]
 
-# Entity patterns.
-_COMPANY = r"(?Ud)\b(?:en|at|@|para|trabaj[ée] en)\s+([A-Z][A-Za-z0-9&]+(?:\s+[A-Z][A-Za-z0-9&]+){0,3})"
-_DATE = (r"(?iU)(?:desde|hasta|entre)\s+(\d{1,2}/\d{4})|(\d{1,2}/\d{4})\s*-\s*(\d{1,2}/\d{4})"
-         r"|\b(\d{4})\s*-\s*(\d{4})\b")
-_METRIC = (r"(?iU)\b(\d+\s*%|\d+x(?:\s+(?:aumento|growth|incremento))?"
+# Entity patterns. Each looks at the next character first, as word boundaries are costly to find.
+_COMPANY = r"(?Ud)(?=[ea@pt])\b(?:en|at|@|para|trabaj[ée] en)\s+([A-Z][A-Za-z0-9&]+(?:\s+[A-Z][A-Za-z0-9&]+){0,3})"
+_DATE = (r"(?iU)(?=[dhe\d])(?:(?:desde|hasta|entre)\s+(\d{1,2}/\d{4})|(\d{1,2}/\d{4})\s*-\s*(\d{1,2}/\d{4})"
+         r"|\b(\d{4})\s*-\s*(\d{4})\b)")
+_METRIC = (r"(?iU)(?=\d)\b(\d+\s*%|\d+x(?:\s+(?:aumento|growth|incremento))?"
            r"|\d+\s*(?:usuarios|clientes|requests|MB|GB|M\+|K\+|millones?)|\d+M)")
-_TITLE = r"(?U)\b(" + "|".join(ENTITY_TITLES) + r")\b"
+_TITLE = r"(?U)(?=[" + "".join(sorted({t[0] for t in ENTITY_TITLES})) + r"])\b(" + "|".join(ENTITY_TITLES) + r")\b"
 
 
 def _listed(text: Column, names: list[str], mode: str) -> Column:
@@ -37,7 +37,11 @@ def extract_entities(docs: DataFrame, key: str = "doc_id", col: str = "text", sk
     """A1: distinct ``(key, kind, value)``; values differing only in case are one, the first spelling in the
     text counts. Everything is found inside the row, so no shuffle is needed."""
     text = F.col(col)
-    dates = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(_DATE), F.lit(g)) for g in (1, 2, 3, 4, 5)]))
+    # The text is searched once; what was found gives the same groups again when it stands alone.
+    def group(hits: Column, g: int) -> Column:
+        return F.transform(hits, lambda hit: F.regexp_extract(hit, _DATE, g))
+
+    dates = tx.let(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)), lambda hits: F.flatten(F.array(*[group(hits, g) for g in (1, 2, 3, 4, 5)])))
     found = {
         "Skill": _listed(text, skills or ENTITY_SKILLS, mode),
         "Company": F.transform(F.regexp_extract_all(text, F.lit(_COMPANY), F.lit(1)), tx.trim_space),
@@ -71,14 +75,17 @@ def entity_types(original: DataFrame, adapted: DataFrame, key: str = "doc_id") -
 
 
 def inventions(original: DataFrame, adapted: DataFrame, types: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """A3: adapted values absent from the original, ignoring case: ``(key, kind, value, hardness)``."""
-    types = types if types is not None else entity_types(original, adapted, key)
-    held = original.select(key, F.lower("value").alias("low")).distinct()
-    claimed = adapted.select(key, F.lower("value").alias("low"), "value", _rank(F.col("kind")).alias("r"))
-    new = claimed.join(held, [key, "low"], "left_anti")
-    once = new.groupBy(key, "low").agg(F.min_by("value", F.struct("r", "value")).alias("value"))
+    """A3: adapted values absent from the original, ignoring case: ``(key, kind, value, hardness)``. Without ``types``, those of
+    :func:`entity_types` come out of the same aggregate, so that each side is read once."""
+    sides = [side.select(key, "kind", "value", F.lit(own).alias("_own")) for side, own in ((original, True), (adapted, False))]
+    both = sides[0].unionByName(sides[1]).withColumns({"low": F.lower("value"), "_r": _rank(F.col("kind"))})
+    once = both.filter(F.col(key).isNotNull() & F.col("low").isNotNull()).groupBy(key, "low").agg(
+        F.max_by("kind", "_r").alias("kind"), F.bool_or("_own").alias("_held"),
+        F.min_by("value", F.when(~F.col("_own"), F.struct("_r", "value"))).alias("value")).filter(~F.col("_held"))
+    if types is not None:
+        once = once.drop("kind").join(types, [key, "low"])
     hard = F.when(F.col("kind").isin(HARD_KINDS), "Hard").otherwise("Soft")
-    return once.join(types, [key, "low"]).select(key, "kind", "value", hard.alias("hardness"))
+    return once.select(key, "kind", "value", hard.alias("hardness"))
 
 
 def severity(docs: DataFrame, invented: DataFrame, key: str = "doc_id") -> DataFrame:

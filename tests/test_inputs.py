@@ -1,6 +1,6 @@
 """What the matching queries keep between their steps, and how documents are dealt out."""
 
-from matchloom.plans import common, matching, streams
+from matchloom.plans import audit, common, matching, streams
 from matchloom.streaming import jobs
 
 
@@ -58,3 +58,10 @@ def test_documents_are_screened_once(spark):
     assert got[1] == ("call [PHONE_REDACTED] or mail [EMAIL_REDACTED]", "clean") and got[2] == (rows[1][1], "rejected")
     assert got[3] == ("see DE LA here [URL_REDACTED]", "quarantined") and got[4] == (None, "clean")
     assert got[5] == ("[ADDRESS_REDACTED]}, tel", "clean") and got[6] == ("una\n[ADDRESS_REDACTED]\nfin", "quarantined")
+
+
+def test_audit_reads_each_side_once(spark, tmp_path):
+    spark.createDataFrame([(1, "uno"), (2, "dos")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, scans in ((audit.a3, 2), (audit.a4, 3), (audit.a5, 3)):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == scans
