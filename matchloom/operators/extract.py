@@ -6,12 +6,15 @@ Documents are rows ``(doc_id, lines array<string>)``; :func:`gather_lines` build
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.anchored import openers
 from ..functions.segmented import Running, running
+from ..sources.scratch import stored
 
 # Patterns.
 _EMAIL = r"(?U)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
@@ -230,14 +233,75 @@ def mark_confidence(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.when(~F.col("_any"), "PDF_NO_SEMANTIC_STRUCTURE").alias("warning"))
 
 
+#: Words of a page from which it is spread over tasks. Fewer pass through one, of which a line is held.
+FULL_PAGE = 1_000_000
+
+
 def words_to_lines(words: DataFrame, tol: float = 2.0, key: str = "doc_id") -> DataFrame:
     """``(key, page, line, text)`` from ``(key, page, x, y, text)``.
 
     Words are read from top to bottom; a line holds the words within ``tol`` of its first word's height, so
     the anchor moves only with a new line. Lines are numbered from 0; the words of a line are ordered by place and
-    text. Words without a height are left out. A page is never held in one row, only a line is.
+    text. Words without a height are left out. A page is never held in one row, only a line is: words are shuffled once,
+    by page, and read in order of their height, but for those of very full pages, which are spread over many tasks.
+    Sizes of pages are stored.
     """
-    rows = words.filter(F.col("y").isNotNull()).select(key, "page", "x", "text", (-F.col("y").cast("double")).alias("_ny"))
+    place = F.struct(F.col(key).alias("key"), F.col("page").alias("page"))
+    rows = words.filter(F.col("y").isNotNull()).select(place.alias("_k"), F.col("x").cast("double").alias("x"), "text", (-F.col("y").cast("double")).alias("_ny"))
+    sizes = stored(rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")), "page-sizes")
+    full = sizes.filter(F.col("_n") > FULL_PAGE).select("_k")
+    some = not full.isEmpty()
+    rest = (rows.join(full, "_k", "left_anti") if some else rows).hint("merge").join(sizes.filter(F.col("_n") <= FULL_PAGE), "_k")
+    opens = F.row_number().over(Window.partitionBy("_k").orderBy("_ny")) == 1
+    kinds = T.StructType([rows.schema["_k"], T.StructField("line", T.IntegerType()), T.StructField("words", T.ArrayType(T.StructType([rows.schema["x"], rows.schema["text"]])))])
+    lines = rest.select("_k", "_ny", opens.alias("_first"), "x", "text").mapInArrow(_in_lines(float(tol)), kinds)
+    text = F.array_join(F.transform(F.array_sort("words"), lambda w: w["text"]), " ")
+    out = lines.select(F.col("_k.key").alias(key), "_k.page", "line", text.alias("text"))
+    if not some:
+        return out
+    wide = rows.join(full, "_k").select(F.col("_k.key").alias(key), "_k.page", "x", "text", "_ny")
+    return out.unionByName(_lines_of_full_pages(wide, tol, key))
+
+
+def _in_lines(tol: float):
+    """Arrow function from words in order of their height, page by page, to lines with their words."""
+
+    def in_lines(batches):
+        held, line, limit = None, 0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the open line comes first again; its words are known to follow its first one
+            begun = held.num_rows if held is not None else 0
+            starts, numbers = ([0], [line]) if begun else ([], [])
+            for i, (first, height) in enumerate(zip(batch.column("_first").to_pylist(), batch.column("_ny").to_pylist()), begun):
+                if first or height > limit or height != height and limit == limit:
+                    line = 0 if first else line + 1
+                    limit = height + tol
+                    starts.append(i)
+                    numbers.append(line)
+            if begun:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            held = batch.slice(starts[-1])
+            if len(starts) > 1:
+                yield _lines(batch, starts, numbers[:-1])
+        if held is not None:
+            yield _lines(held, [0, held.num_rows], [line])
+
+    return in_lines
+
+
+def _lines(batch, starts: list[int], numbers: list[int]):
+    """The lines of a batch between ``starts``, one row each."""
+    words = pa.StructArray.from_arrays([batch.column("x"), batch.column("text")], ["x", "text"])
+    return pa.RecordBatch.from_arrays([
+        batch.column("_k").take(pa.array(starts[:-1], pa.int64())), pa.array(numbers, pa.int32()),
+        pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words)], ["_k", "line", "words"])
+
+
+def _lines_of_full_pages(rows: DataFrame, tol: float, key: str) -> DataFrame:
+    """The same for words ``(key, page, x, text, _ny)`` of pages too full for one task: first words of lines are found by
+    :func:`openers`, all others by their place among them."""
     opened = openers(rows, [key, "page"], "_ny", float(tol), strict=True)
     numbered = opened.withColumn("line", F.row_number().over(Window.partitionBy(key, "page").orderBy("_ny")) - 1)
     numbered = numbered.select(F.col(key).alias("_k"), F.col("page").alias("_p"), F.col("_ny").alias("_first"), "line")

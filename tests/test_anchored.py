@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from matchloom.functions.anchored import openers
+from matchloom.operators import extract
 from matchloom.operators.extract import words_to_lines
 from matchloom.operators.privacy import anchored_window_quota
 
@@ -77,3 +78,34 @@ def test_lines_equal_walk(spark, n):
             end = firsts[line + 1] if line + 1 < len(firsts) else float("inf")
             wanted[doc, page, line] = " ".join(w[4] for w in sorted((w for w in mine if first <= -w[3] < end), key=lambda w: (w[2], w[4])))
     assert got == wanted
+
+
+@pytest.mark.parametrize("full", [1_000_000, 60])
+def test_lines_pass_batches_and_full_pages(spark, monkeypatch, full):
+    """Lines and pages go on from one batch to the next; a page that is too full for one task comes out the same."""
+    rng = random.Random(full)
+    words = [(rng.choice([None, "a", "b"]), rng.choice([None, 1]), rng.choice([None, 1.0, 2.5]), rng.choice([None, 5.0, 6.0, float(rng.randrange(90))]), rng.choice([None, f"w{i}"])) for i in range(400)]
+    frame = spark.createDataFrame(words, "doc_id string, page long, x double, y double, text string")
+    monkeypatch.setattr(extract, "FULL_PAGE", full)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["doc_id"], r["page"], r["line"]): r["text"] for r in words_to_lines(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    wanted = {}
+    for doc, page in {w[:2] for w in words}:
+        mine = [w for w in words if w[:2] == (doc, page) and w[3] is not None]
+        firsts = walk([-w[3] for w in mine], 2.0, True)
+        for line, first in enumerate(firsts):
+            end = firsts[line + 1] if line + 1 < len(firsts) else float("inf")
+            held = sorted((w for w in mine if first <= -w[3] < end), key=lambda w: (w[2] is not None, w[2] or 0, w[4] is not None, w[4] or ""))
+            wanted[doc, page, line] = " ".join(w[4] for w in held if w[4] is not None)
+    assert got == wanted
+
+
+def test_words_are_shuffled_once(spark, tmp_path):
+    """The words of pages that are not too full go through one shuffle, by page; sizes of pages through the other."""
+    spark.range(50).selectExpr("id % 3 AS doc_id", "id % 2 AS page", "1D AS x", "double(id) AS y", "string(id) AS text").write.parquet(f"{tmp_path}/words")
+    plan = words_to_lines(spark.read.parquet(f"{tmp_path}/words"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1
