@@ -1,5 +1,10 @@
 """What the matching queries keep between their steps, and how documents are dealt out."""
 
+import re
+
+from pyspark.sql import functions as F
+
+from matchloom.functions import text as tx
 from matchloom.plans import audit, common, matching, streams
 from matchloom.streaming import jobs
 
@@ -65,3 +70,22 @@ def test_audit_reads_each_side_once(spark, tmp_path):
     for query, scans in ((audit.a3, 2), (audit.a4, 3), (audit.a5, 3)):
         plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") == scans
+
+
+def test_documents_are_normalised_once(spark):
+    """Signals and words share the normal form; lines have theirs, where headers and where verbs are sought."""
+    rows = spark.createDataFrame([(1, "The the\nUnd Ñandú, with c++ that 2019 x@y.z\n\u0416\u0416 ok"), (2, "@b.c x@y x2019 forty"), (3, None)], "cv_id long, text string")
+    docs = matching.worked_out(rows)
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(tx._SEPARATORS[-30:]) == 3
+    got = {r["cv_id"]: r for r in docs.collect()}
+    assert got[1]["words"] == ["the", "und", "ñandu", "with", "c++", "that", "2019", "x", "y", "z", "жж", "ok"]
+    assert [got[1][x] for x in matching.SIGNALS[:5]] == [True, True, 2, 1, 13]
+    assert [got[2][x] for x in matching.SIGNALS[:5]] == [False, False, 0, 0, 6] and got[3]["words"] is None
+
+
+def test_latin_texts_are_told_by_every_character(spark):
+    odd = "aé\u00bc\u0130\u0132\u01c4\u2010\u20a8\u1e9a\u3042\U0001f600\x00\x7f\u024f\u0250"
+    got = {r["t"]: r["l"] for r in spark.createDataFrame([("plain " + x + " end",) for x in odd], "t string").withColumn("l", tx.is_latin(F.col("t"))).collect()}
+    assert got == {"plain " + x + " end": not re.search("[^" + re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), tx._SAFE) + "]", x) for x in odd}
+    assert 0 < sum(got.values()) < len(got)
